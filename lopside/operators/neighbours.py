@@ -268,11 +268,12 @@ def _top_k(pairs: DataFrame, k: int, relation: str, metric: str) -> DataFrame:
                 pick = pa.array(order[col])
                 at = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [q.field("id").take(at), d.field("id").take(pick), d.field("label").take(pick), pa.array(dist)],
-                    names=["id", "nid", "nlabel", "dist"],
+                    [q.field("id").take(at), q.field("label").take(at), d.field("id").take(pick),
+                     d.field("label").take(pick), pa.array(dist)],
+                    names=["id", "label", "nid", "nlabel", "dist"],
                 )
 
-    return pairs.mapInArrow(run, "id bigint, nid bigint, nlabel string, dist double")
+    return pairs.mapInArrow(run, "id bigint, label string, nid bigint, nlabel string, dist double")
 
 
 def _merge(found: DataFrame, k: int) -> DataFrame:
@@ -381,7 +382,7 @@ def nearest(
     metric: str = "l2",
     block_rows: int = DATA_BLOCK,
 ) -> DataFrame:
-    """The k nearest data rows of every query row: id, nid, nlabel, dist, rank.
+    """The k nearest data rows of every query row: id, label, nid, nlabel, dist, rank.
 
     ``relation`` restricts neighbours to rows of the query's own class
     (``same``) or of the others (``other``). A row is never its own neighbour.
@@ -488,22 +489,27 @@ def _plan_radius(queries: DataFrame, layout: Layout, totals: np.ndarray) -> Data
     return queries.mapInArrow(run, "id bigint, x array<double>, radius double, cell int, w double")
 
 
-def sum_over_all(points: DataFrame, kernel, names: list[str], block_rows: int = DATA_BLOCK) -> DataFrame:
+def sum_over_all(points: DataFrame, kernel, names: list[str], block_rows: int = DATA_BLOCK,
+                 within: str | None = None) -> DataFrame:
     """Sums of a pair function over every pair of rows: id, w, <names>.
 
     For measures defined on all pairs, where no cell can be skipped. Identical
     (x, label) rows are computed once and weighted; the result has one row per
-    distinct one, with its weight. Neither side is ever held whole.
+    distinct one, with its weight. ``within`` names an int column that restricts
+    pairs to rows of the same group. Neither side is ever held whole.
     """
-    slim = points.groupBy("x", "label").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("w"))
-    slim = pin(slim.select("id", "label", "x", "w"))
-    rows = slim.count()
+    cell = F.lit(0) if within is None else F.col(within).cast("int")
+    slim = points.withColumn("cell", cell).groupBy("x", "label", "cell")
+    slim = pin(slim.agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("w")).select("id", "label", "x", "w", "cell"))
     fields = ["id", "label", "x", "w"]
-    flat = slim.withColumn("cell", F.lit(0))
-    blocks = _pack(flat, block_rows, {0: rows}, _tasks(slim.sparkSession, {0: rows}, block_rows), fields)
+    sizes = {r["cell"]: r["n"] for r in slim.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not sizes:
+        sizes = {0: 0}
+    count = np.zeros(max(sizes) + 1, dtype=np.int64)
+    for c, n in sizes.items():
+        count[c] = n
     nothing = np.array([None], dtype=object)
-    layout = Layout(
-        blocks, np.empty((1, 0)), np.array([rows]), np.array([np.inf]), nothing, nothing, "", block_rows
-    )
-    sums = _sum_pairs(_pairs(flat, fields, layout), kernel, names)
-    return slim.select("id", "w").join(sums, "id")
+    blocks = _pack(slim, block_rows, sizes, _tasks(slim.sparkSession, sizes, block_rows), fields)
+    layout = Layout(blocks, np.empty((1, 0)), count, np.array([np.inf]), nothing, nothing, "", block_rows)
+    sums = _sum_pairs(_pairs(slim, fields, layout), kernel, names)
+    return slim.select("id", "cell", "w").join(sums, "id")

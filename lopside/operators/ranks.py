@@ -115,3 +115,21 @@ def running(df: DataFrame, group: list[str], value: str, measures: list[str], ro
         for m in measures:
             out = out.withColumn(f"{m}_upto", F.col(f"{m}_upto") + F.col(f"{m}_before")).drop(f"{m}_before")
     return out.drop("bucket")
+
+
+def smallest(df: DataFrame, group: list[str], value: str, row_id: str, quota: DataFrame, rows: int,
+             bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """The ``quota.take`` rows of smallest (value, id) in every group.
+
+    Finds the value at which each group's quota is reached from a frequency
+    table, passes everything below it, and ranks only the rows at that value.
+    """
+    freq = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
+    upto = running(freq, group, value, ["n"], rows, bucket_rows=bucket_rows).join(F.broadcast(quota), group)
+    edge = upto.filter((F.col("n_upto") >= F.col("take")) & (F.col("n_upto") - F.col("n") < F.col("take")))
+    edge = edge.select(*group, F.col(value).alias("edge"), (F.col("take") - F.col("n_upto") + F.col("n")).alias("need"))
+    placed = df.join(F.broadcast(edge), group, "left")  # one row per group
+    below = placed.filter(F.col("edge").isNull() | (F.col(value) < F.col("edge")))
+    level = placed.filter(F.col(value) == F.col("edge")).withColumn("one", F.lit(1))
+    level = running(level, group, row_id, ["one"], rows, bucket_rows=bucket_rows).filter(F.col("one_upto") <= F.col("need"))
+    return below.select(df.columns).unionByName(level.select(df.columns))
