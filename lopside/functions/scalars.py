@@ -35,7 +35,8 @@ def std_of(*values: Column) -> Column:
 
 
 def round3(value: Column) -> Column:
-    return F.round(value, 3)
+    """Three decimals, halves to even."""
+    return F.rint(value * 1000) / 1000
 
 
 def format_hms(seconds: Column) -> Column:
@@ -78,12 +79,14 @@ def safe_name(name: Column) -> Column:
 
 
 def report_line(rank: Column, resampler: Column, classifier: Column) -> Column:
-    """Left-aligned columns 7, 25 and 25 wide; longer texts are kept whole."""
+    """Columns 7, 25 and 25 wide, numbers to the right, texts to the left; longer ones are kept whole."""
 
     def pad(value: Column, width: int) -> Column:
         return F.when(F.length(value) < width, F.rpad(value, width, " ")).otherwise(value)
 
-    return F.concat_ws(" ", pad(rank.cast("string"), 7), pad(resampler, 25), pad(classifier, 25))
+    text = rank.cast("string")
+    first = F.when(text.rlike("^[0-9]{1,6}$"), F.lpad(text, 7, " ")).otherwise(pad(text, 7))
+    return F.concat_ws(" ", first, pad(resampler, 25), pad(classifier, 25))
 
 
 def verdict(p: Column, alpha: float = ALPHA) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lopside.functions.draws import draw
+from lopside.functions.scalars import round3
 from lopside.operators.quantiles import quantiles
 from lopside.operators.ranks import running
 
@@ -158,7 +159,7 @@ def class_counts(df: DataFrame, target: str) -> DataFrame:
 def imbalance_ratio(df: DataFrame, target: str) -> DataFrame:
     """Largest over smallest class, 3 decimals; 0 with fewer than two classes."""
     n = class_counts(df, target).agg(F.max("n").alias("hi"), F.min("n").alias("lo"), F.count(F.lit(1)).alias("k"))
-    ratio = F.when(F.col("k") > 1, F.round(F.col("hi") / F.col("lo"), 3)).otherwise(F.lit(0.0))
+    ratio = F.when(F.col("k") > 1, round3(F.col("hi") / F.col("lo"))).otherwise(F.lit(0.0))
     return n.select(ratio.alias("imbalance_ratio"))
 
 

@@ -9,6 +9,7 @@ from lopside.operators.resample.common import class_sizes, minority, others
 from lopside.operators.resample.over import cluster_smote
 from lopside.operators.resample.under import first_store, misjudged, tomek_links
 from lopside.session import pin
+from lopside.sources.tables import with_row_id
 from lopside.suite.base import (
     ALL_LABELS, EMBEDDED, LABELLED, ROLES, all_labels, document_points_sql, embedded, labelled_documents, query, roles, table,
 )
@@ -239,11 +240,10 @@ query("random_over_sampler_multiclass", f"WITH {ROLES}, {SIZES}, {OVER}\n{REPORT
 WITH c AS (SELECT (l_quantity >= 48)::varchar AS label, count(*) AS n FROM lineitem GROUP BY 1)
 SELECT label, (SELECT max(n) FROM c) AS n, (SELECT max(n) FROM c) - n AS n_synthetic FROM c""")
 def over_lineitem(spark, sf):
-    # (order, line) repeats in this table, so rows are numbered by a hash of the whole row
-    df = table(spark, sf, "lineitem")
-    key = F.xxhash64(*df.columns)
+    # (order, line) repeats in this table, so rows are numbered by their whole content
+    df = pin(with_row_id(table(spark, sf, "lineitem"), "id"))
     df = df.select(
-        F.abs(key).alias("id"), (F.col("l_quantity") >= 48).cast("string").alias("label"),
+        "id", (F.col("l_quantity") >= 48).cast("string").alias("label"),
         F.array("l_extendedprice", "l_discount", "l_tax").alias("x"),
     )
     grown = RESAMPLERS["RandomOverSampler"](df)
