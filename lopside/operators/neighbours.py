@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -303,10 +304,10 @@ def _may_hold(layout: Layout, relation: str, labels: np.ndarray) -> np.ndarray:
     return np.repeat((layout.count > 0)[None, :], len(labels), axis=0)
 
 
-def _bare(layout: Layout) -> Layout:
-    """The layout without its DataFrame, small enough to ship with a task."""
-    return Layout(None, layout.pivots, layout.count, layout.radius, layout.low, layout.high, layout.metric,
-                  layout.block_rows)
+def _bare(layout: Layout) -> SimpleNamespace:
+    """What is known of the cells, without the blocks, to ship with a task."""
+    names = ("pivots", "count", "radius", "low", "high", "metric")
+    return SimpleNamespace(**{n: getattr(layout, n) for n in names})
 
 
 def _plan_home(queries: DataFrame, layout: Layout, k: int, relation: str) -> DataFrame:
