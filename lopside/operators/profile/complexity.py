@@ -16,8 +16,8 @@ from lopside.operators.profile.concept import scaled
 from lopside.operators.profile.scatter import Scatter
 from lopside.operators.profile.summary import summarise, summarise_rows
 from lopside.operators.ranks import hash_rank
-from lopside.operators.resample.common import by_label, class_sizes, interpolate, pick
-from lopside.session import pin
+from lopside.operators.resample.common import by_label, class_sizes, fits_broadcast, interpolate, pick
+from lopside.session import parallelism, pin
 
 EXPLAINED = 0.95  # variance share that counts as the dimensions of the data
 
@@ -218,14 +218,34 @@ def border_share(points: DataFrame, metric: str = "l2") -> float:
 # ---- random points between rows of a class: properties only -------------------------------
 
 def between_rows(points: DataFrame, seed: int = SEED) -> DataFrame:
-    """One new point per row, on the way to a random row of its class (negative ids)."""
+    """As many new points as rows: a random class each, between two random rows of it (negative ids)."""
     sizes = class_sizes(points)
-    ranked = hash_rank(points, ["label"], "id", seed, rows=sum(sizes.values()))
-    to = ranked.select("label", F.col("rank").alias("to"), F.col("x").alias("nx"))
-    keys = (F.col("id"), F.lit("mate"))
-    asked = points.withColumn("to", pick(seed, by_label(sizes), *keys))
-    step = uniform(seed, F.col("id"), F.lit("step"))
-    return asked.join(to, ["label", "to"]).select((-1 - F.col("id")).alias("id"), "label", interpolate(F.col("x"), F.col("nx"), step).alias("x"))
+    names, n = sorted(sizes), sum(sizes.values())
+    ranked = pin(hash_rank(points, ["label"], "id", seed, rows=n).select("label", "rank", "x"))
+    no = F.col("no")
+    asked = points.sparkSession.range(n).withColumnRenamed("id", "no")
+    asked = asked.withColumn("label", F.element_at(F.array(*[F.lit(c) for c in names]), pick(seed, F.lit(len(names)), no, F.lit("class")).cast("int")))
+    asked = asked.select("no", "label", pick(seed, by_label(sizes), no, F.lit("a")).alias("a"), pick(seed, by_label(sizes), no, F.lit("b")).alias("b"))
+    dims = points.select(F.size("x")).head()[0]
+    # a class of few rows is asked for each of them very often: those are broadcast
+    small, held = [], 0
+    for c in sorted(sizes, key=lambda c: (sizes[c], c)):
+        if fits_broadcast(held + sizes[c], dims):
+            small.append(c)
+            held += sizes[c]
+    out = None
+    for few in (True, False):
+        mine = F.col("label").isin(small) if few else ~F.col("label").isin(small)
+        if not (small if few else set(names) - set(small)):
+            continue
+        side = ranked.filter(mine)
+        side = F.broadcast(side) if few else side
+        step = uniform(seed, no, F.lit("step"))
+        part = asked.filter(mine).join(side.select("label", F.col("rank").alias("a"), F.col("x").alias("xa")), ["label", "a"])
+        part = part.join(side.select("label", F.col("rank").alias("b"), F.col("x").alias("xb")), ["label", "b"])
+        part = part.select((-1 - no).alias("id"), "label", interpolate(F.col("xa"), F.col("xb"), step).alias("x"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def interpolated_error(points: DataFrame, seed: int = SEED) -> dict[str, float | None]:
@@ -249,7 +269,7 @@ def linearity(points: DataFrame, seed: int = SEED) -> dict[str, object]:
             df = df.filter(F.col("label").isin(a, b))
             return df.select((F.col("label") == b).cast("double").alias("y"), array_to_vector("x").alias("features"))
 
-        model = LinearSVC(labelCol="y", maxIter=50, regParam=0.001).fit(ready(x))
+        model = LinearSVC(labelCol="y", maxIter=25, regParam=0.001).fit(ready(x).coalesce(parallelism(x.sparkSession)))
         wrong = F.col("prediction") != F.col("y")
         margin = F.abs(vector_to_array("rawPrediction")[1])
         norm = float(np.linalg.norm(model.coefficients.toArray())) or 1.0

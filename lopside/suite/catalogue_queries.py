@@ -1,11 +1,11 @@
 """Searching a catalogue of datasets (derived from the customers) and loading files."""
 
 import os
-import tempfile
 
 from pyspark.sql import functions as F
 
 from lopside.functions.draws import uniform, uniform_sql
+from lopside.session import shared_folder
 from lopside.sources import catalogue as cat
 from lopside.sources import tables
 from lopside.suite.base import HOLED, holed_orders, query, table
@@ -147,11 +147,8 @@ def search_log(spark, sf):
 # ---- files -----------------------------------------------------------------------------------------
 
 def _scratch(spark):
-    """A folder both driver and executors reach: the session's checkpoint folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        return tempfile.mkdtemp(prefix="lopside-")
-    return f"{root}/lopside-{os.urandom(6).hex()}"
+    """A new folder both driver and executors reach."""
+    return f"{shared_folder(spark)}/lopside/{os.urandom(8).hex()}"
 
 
 @query("read_csv_drop_nulls", f"""
