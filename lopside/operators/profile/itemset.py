@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lopside.operators.prep import distinct_counts, numeric_columns
@@ -13,6 +13,10 @@ from lopside.operators.quantiles import quantiles
 from lopside.session import pin
 
 
+def _bin(value: Column, cuts: Column) -> Column:
+    return F.size(F.filter(cuts, lambda p: p < value))
+
+
 def discretise(df: DataFrame, columns: list[str]) -> DataFrame:
     """Numeric columns of many values cut into cube-root-of-n bins of equal frequency; all as text."""
     n = df.count()
@@ -24,7 +28,7 @@ def discretise(df: DataFrame, columns: list[str]) -> DataFrame:
     for c in columns:
         if c in many:
             points = F.array(*[F.lit(float(v)) for v in sorted(set(cuts[c]))])
-            out.append(F.size(F.filter(points, lambda p, c=c: p < F.col(f"`{c}`").cast("double"))).cast("string").alias(c))
+            out.append(_bin(F.col(f"`{c}`").cast("double"), points).cast("string").alias(c))
         else:
             out.append(F.col(f"`{c}`").cast("string").alias(c))
     return df.select(*out)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lopside.operators.ranks import running
 
-DIRECT_ROWS = 2_000_000
+DIRECT_ROWS = 1_000_000
 
 
 def order_stats(df: DataFrame, columns: list[str], ranks: Callable[[int], list[int]], direct_rows: int = DIRECT_ROWS,
@@ -31,9 +31,13 @@ def order_stats(df: DataFrame, columns: list[str], ranks: Callable[[int], list[i
     if not cells:
         return {c: [] for c in columns}
     if max(sizes) <= direct_rows:
-        picks = [F.expr(f"percentile_disc({(r + 0.5) / sizes[i]!r}D) WITHIN GROUP (ORDER BY c{i})").alias(f"v{i}_{j}") for i, j, r in cells]
+        picks = []
+        for i, rs in wanted.items():
+            if rs:  # one buffer per column serves all its positions
+                probs = ", ".join(f"{(r + 0.5) / sizes[i]!r}D" for r in rs)
+                picks.append(F.expr(f"percentile_disc(array({probs})) WITHIN GROUP (ORDER BY c{i})").alias(f"v{i}"))
         row = wide.agg(*picks).head()
-        return {c: [row[f"v{i}_{j}"] for j in range(len(wanted[i]))] for i, c in enumerate(columns)}
+        return {c: list(row[f"v{i}"]) if wanted[i] else [] for i, c in enumerate(columns)}
     ends = {}
     for i, rs in wanted.items():
         probs = [min(1.0, max(0.0, r / sizes[i] + d)) for r in rs for d in (-2 * error, 2 * error)]

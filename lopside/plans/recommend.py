@@ -89,15 +89,18 @@ def recommend_all(kb: DataFrame, top: int = 3, strict: bool = False) -> DataFram
                 labels = d.field("label").dictionary_encode()
                 codes = labels.indices.to_numpy(zero_copy_only=False)
                 names = labels.dictionary.to_pylist()
-                order = np.argsort(did, kind="stable")
+                # columns of one combination side by side, ids ascending, so that slices need no copies
+                order = np.lexsort((did, codes))
+                near = np.round(near[:, order], DIGITS)
+                starts = np.searchsorted(codes[order], np.arange(len(names) + 1))
                 ids, got, dist, who = [], [], [], []
                 for c, name in enumerate(names):
-                    cols = order[codes[order] == c]
-                    best = np.round(near[:, cols], DIGITS).argmin(axis=1)
-                    value = near[np.arange(len(qid)), cols[best]]
+                    part = near[:, starts[c]: starts[c + 1]]
+                    best = part.argmin(axis=1)
+                    value = part[np.arange(len(qid)), best]
                     ok = np.isfinite(value)
                     ids.append(qid[ok])
-                    got.append(did[cols[best]][ok])
+                    got.append(did[order[starts[c] + best]][ok])
                     dist.append(value[ok])
                     who += [name] * int(ok.sum())
                 yield pa.RecordBatch.from_arrays(

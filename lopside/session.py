@@ -23,6 +23,9 @@ def local_session(cores: str = "8", app: str = "lopside") -> SparkSession:
     )
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the session names in ``spark.checkpoint.dir``.
 
@@ -32,8 +35,9 @@ def shared_folder(spark: SparkSession) -> str:
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="lopside-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.sparkContext.applicationId
+        folder = _LOCAL.setdefault(app, "") or tempfile.mkdtemp(prefix="lopside-")
+        _LOCAL[app] = folder
     return folder.rstrip("/")
 
 

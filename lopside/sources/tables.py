@@ -12,6 +12,7 @@ from lopside.functions.draws import SPAN
 from lopside.operators.prep import drop_null_rows, impute
 from lopside.operators.ranks import bucket_count, bucket_totals, hash_bucket
 from lopside.operators.resample.common import multiply
+from lopside.session import pin
 
 # The texts a CSV field may use for "missing".
 MISSING = [
@@ -59,7 +60,8 @@ def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     columns = [F.col(f"`{c}`") for c in df.columns]
     rows = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
     rows = rows.withColumn("id", F.xxhash64(*columns)).withColumn("_h", F.xxhash64(F.lit(1), *columns))
-    total = df.count()
+    rows = pin(rows)
+    total = rows.agg(F.sum("_n")).head()[0] or 0
     buckets = bucket_count(total)
     rows = rows.withColumn("bucket", hash_bucket(F.col("id").bitwiseAND(F.lit(SPAN - 1)), buckets))
     upto = Window.partitionBy("bucket").orderBy("id", "_h").rowsBetween(Window.unboundedPreceding, 0)

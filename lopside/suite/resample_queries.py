@@ -49,7 +49,7 @@ def report(points):
 
 
 def run(name, source, **kw):
-    return lambda spark, sf: report(RESAMPLERS[name](source(spark, sf, **kw).points()))
+    return lambda spark, sf: report(RESAMPLERS[name](pin(source(spark, sf, **kw).points())))
 
 
 def subset(*parts):
@@ -68,32 +68,32 @@ NEAR = "SELECT id, nid, nlabel, dist, rank FROM nn"
 
 @query("knn_join", f"WITH {EMBEDDED}, {knn('nn', 'pts', 'pts', 5)} {NEAR}")
 def knn_join(spark, sf):
-    p = embedded(spark, sf).points()
+    p = pin(embedded(spark, sf).points())
     return plain(nearest(p, p, 5))
 
 
 @query("knn_join_same_class", f"WITH {ALL_LABELS}, {knn('nn', 'pts', 'pts', 3, SAME)} {NEAR}")
 def knn_join_same(spark, sf):
-    p = all_labels(spark, sf).points()
+    p = pin(all_labels(spark, sf).points())
     return plain(nearest(p, p, 3, "same"))
 
 
 @query("knn_join_other_class", f"WITH {DOCS}, {knn('nn', 'pts', 'pts', 2, 'd.label <> q.label')} {NEAR}")
 def knn_join_other(spark, sf):
-    p = labelled_documents(spark, sf).points()
+    p = pin(labelled_documents(spark, sf).points())
     return plain(nearest(p, p, 2, "other"))
 
 
 @query("knn_join_manhattan", f"WITH {DOCS}, " + knn("nn", "pts", "pts", 3).replace(
     "list_distance(q.x, d.x)", "list_sum([abs(q.x[i] - d.x[i]) for i in range(1, 7)])") + " " + NEAR)
 def knn_join_manhattan(spark, sf):
-    p = labelled_documents(spark, sf).points()
+    p = pin(labelled_documents(spark, sf).points())
     return plain(nearest(p, p, 3, metric="l1"))
 
 
 @query("knn_join_pivot_cells", f"WITH {ALL_LABELS}, {knn('nn', 'pts', 'pts', 4)} {NEAR}")
 def knn_join_cells(spark, sf):
-    p = all_labels(spark, sf).points()
+    p = pin(all_labels(spark, sf).points())
     return plain(nearest(p, p, 4, block_rows=64))
 
 
@@ -121,7 +121,7 @@ query("random_under_sampler_multiclass", f"WITH {ROLES}, {subset(UNDER)}")(run("
 @query("balanced_class_counts", f"""
 WITH {DOCS}, {UNDER} SELECT label, count(*) AS n FROM pts WHERE id IN (SELECT id FROM kept) GROUP BY 1""")
 def balanced_counts(spark, sf):
-    under = RESAMPLERS["RandomUnderSampler"](labelled_documents(spark, sf).points())
+    under = RESAMPLERS["RandomUnderSampler"](pin(labelled_documents(spark, sf).points()))
     return under.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -318,7 +318,7 @@ query("smote_tomek", f"""WITH {EMBEDDED}, {SIZES}, {SMOTE}, {GROWN}, {tomek_sql(
 
 def counts_only(name, source, **kw):
     def go(spark, sf):
-        out = RESAMPLERS[name](source(spark, sf, **kw).points())
+        out = RESAMPLERS[name](pin(source(spark, sf, **kw).points()))
         return out.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("is_synthetic"), 1)).alias("n_synthetic"))
     return go
 
