@@ -22,9 +22,9 @@ def drop_null_rows(df: DataFrame) -> DataFrame:
 
 
 def _is_missing(df: DataFrame, name: str) -> Column:
-    kind = df.schema[name].dataType
+    kind, value = df.schema[name].dataType, F.col(f"`{name}`")
     floating = isinstance(kind, (T.DoubleType, T.FloatType))
-    return (F.col(name).isNull() | F.isnan(name)) if floating else F.col(name).isNull()
+    return (value.isNull() | F.isnan(value)) if floating else value.isNull()
 
 
 def missing_counts(df: DataFrame) -> DataFrame:
@@ -32,7 +32,7 @@ def missing_counts(df: DataFrame) -> DataFrame:
     if not df.columns:
         return df.sparkSession.createDataFrame([], "column string, missing bigint")
     one = df.agg(*[F.count(F.when(_is_missing(df, c), 1)).alias(c) for c in df.columns])
-    long = one.unpivot([], df.columns, "column", "missing")
+    long = one.unpivot([], [F.col(f"`{c}`") for c in df.columns], "column", "missing")
     return long.filter(F.col("missing") > 0)
 
 
@@ -43,13 +43,13 @@ def total_missing(df: DataFrame) -> DataFrame:
 def column_counts(df: DataFrame) -> DataFrame:
     """(column, n): non-null values per column."""
     one = df.agg(*[F.count(F.when(~_is_missing(df, c), 1)).alias(c) for c in df.columns])
-    return one.unpivot([], df.columns, "column", "n")
+    return one.unpivot([], [F.col(f"`{c}`") for c in df.columns], "column", "n")
 
 
 def drop_empty_columns(df: DataFrame) -> DataFrame:
     """Without the columns that hold nulls only."""
     row = df.agg(*[F.count(F.when(~_is_missing(df, c), 1)).alias(c) for c in df.columns]).head()
-    return df.select(*[c for c in df.columns if row[c] > 0])
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if row[c] > 0])
 
 
 def drop_incomplete_columns(df: DataFrame) -> DataFrame:
@@ -59,10 +59,10 @@ def drop_incomplete_columns(df: DataFrame) -> DataFrame:
     def bad(name: str) -> Column:
         kind = df.schema[name].dataType
         missing = _is_missing(df, name)
-        return missing | (F.abs(name) == infinite) if isinstance(kind, (T.DoubleType, T.FloatType)) else missing
+        return missing | (F.abs(F.col(f"`{name}`")) == infinite) if isinstance(kind, (T.DoubleType, T.FloatType)) else missing
 
     row = df.agg(*[F.count(F.when(bad(c), 1)).alias(c) for c in df.columns]).head()
-    return df.select(*[c for c in df.columns if row[c] == 0])
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if row[c] == 0])
 
 
 def categorical_columns(df: DataFrame) -> list[str]:
@@ -81,11 +81,11 @@ def levels(df: DataFrame, columns: list[str], limit: int = MAX_LEVELS) -> dict[s
     """
     if not columns:
         return {}
-    sets = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).head()
+    sets = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`")).alias(c) for c in columns]).head()
     for c in columns:
         if sets[c] > 1.2 * limit:
             raise ValueError(f"{c} has about {sets[c]} levels, more than {limit}")
-    row = df.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in columns]).head()
+    row = df.agg(*[F.sort_array(F.collect_set(F.col(f"`{c}`"))).alias(c) for c in columns]).head()
     return {c: list(row[c]) for c in columns}
 
 
@@ -96,9 +96,9 @@ def one_hot(df: DataFrame, columns: list[str] | None = None, limit: int = MAX_LE
     """
     columns = categorical_columns(df) if columns is None else columns
     found = levels(df, columns, limit)
-    kept = [F.col(c) for c in df.columns if c not in columns]
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
     dummies = [
-        F.coalesce((F.col(c) == F.lit(v)).cast("int"), F.lit(0)).alias(f"{c}_{v}") for c in columns for v in found[c][1:]
+        F.coalesce((F.col(f"`{c}`") == F.lit(v)).cast("int"), F.lit(0)).alias(f"{c}_{v}") for c in columns for v in found[c][1:]
     ]
     return df.select(*kept, *dummies)
 
@@ -180,7 +180,9 @@ def impute_values(df: DataFrame) -> dict[str, object]:
         if c in numeric:
             continue
         # ties go to the smallest value, so order by count down, value up
-        top = df.filter(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), F.col(c)).limit(1)
+        value = F.col(f"`{c}`")
+        counts = df.filter(value.isNotNull()).groupBy(value.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        top = counts.orderBy(F.desc("n"), "v").limit(1)
         row = top.head()
         fill[c] = row[0] if row else None
     return fill
@@ -194,12 +196,12 @@ def impute(df: DataFrame) -> DataFrame:
     out = []
     for c in df.columns:
         if fill[c] is None:
-            out.append(F.col(c))
+            out.append(F.col(f"`{c}`"))
         elif c in numeric:
-            value = F.col(c).cast("double")
+            value = F.col(f"`{c}`").cast("double")
             out.append(F.when(_is_missing(df, c), F.lit(float(fill[c]))).otherwise(value).alias(c))
         else:
-            out.append(F.coalesce(F.col(c), F.lit(fill[c])).alias(c))
+            out.append(F.coalesce(F.col(f"`{c}`"), F.lit(fill[c])).alias(c))
     return df.select(*out)
 
 
@@ -230,7 +232,7 @@ def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """(feature, n) exact distinct counts. One grouped pass over (feature, value)
     pairs: two-step aggregation keeps a hot value from reaching one task."""
     long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("v")) for c in columns
+        F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("string").alias("v")) for c in columns
     ])).alias("e")).select("e.*").filter(F.col("v").isNotNull())
     return long.distinct().groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
 

@@ -30,7 +30,7 @@ def profile(kb: DataFrame, strict: bool = False, scaling: str = "row") -> DataFr
     fully with ``strict``.
     """
     features = [c for c in kb.columns if c not in INFO]
-    whole = drop_incomplete_columns(kb.select(*features)).columns
+    whole = drop_incomplete_columns(kb.select(*[F.col(f"`{c}`") for c in features])).columns
     values = [F.col(f"`{c}`").cast("double") for c in whole]
     if scaling == "column":
         ends = kb.agg(*[F.struct(F.min(v), F.max(v)).alias(f"e{i}") for i, v in enumerate(values)]).head()
