@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lopside.functions.draws import uniform
+from lopside.session import parallelism
 
 BROADCAST_BYTES = 32 << 20
 SPREAD_COPIES = 100_000
@@ -98,7 +99,9 @@ def multiply(df: DataFrame, times: str, index: str, total: int) -> DataFrame:
     many = F.col(times).cast("bigint")
     parts = df.filter(many > 0).withColumn("_from", F.explode(F.sequence(F.lit(0).cast("bigint"), many - 1, step)))
     if total > SPREAD_COPIES:
-        parts = parts.repartition(F.xxhash64("id", "_from"))
+        # a fixed number of partitions: the ranges are few bytes, so adaptive execution would merge them
+        tasks = min(parallelism(df.sparkSession), total // SPREAD_COPIES + 1)
+        parts = parts.repartition(tasks, F.xxhash64("id", "_from"))
     last = F.least(F.col("_from") + step, many) - 1
     return parts.withColumn(index, F.explode(F.sequence(F.col("_from"), last))).drop("_from")
 
