@@ -31,6 +31,7 @@ QUERY_BLOCK = 512
 SALT_BLOCKS = 64
 MAX_PIVOTS = 16_384
 PIVOT_BYTES = 64 << 20
+BLOCK_BYTES = 8 << 20
 DIGITS = 9
 _CELL = [T.StructField("cell", T.IntegerType())]
 
@@ -183,7 +184,9 @@ def lay_out(data: DataFrame, metric: str, block_rows: int = DATA_BLOCK) -> Layou
     """Cells and blocks of a frame (id, label, x, w), small frames being one cell."""
     spark = data.sparkSession
     fields = ["id", "label", "x", "w"]
-    rows = data.count()
+    rows, dims = data.agg(F.count(F.lit(1)), F.max(F.size("x"))).head()
+    dims = max(1, dims or 1)
+    block_rows = max(1, min(block_rows, BLOCK_BYTES // (8 * dims)))  # wide rows, fewer to a block
     if rows <= 2 * block_rows:
         blocks = _pack(data.withColumn("cell", F.lit(0)), block_rows, {0: rows}, _chunks(rows, block_rows), fields)
         nothing = np.array([None], dtype=object)
@@ -191,8 +194,7 @@ def lay_out(data: DataFrame, metric: str, block_rows: int = DATA_BLOCK) -> Layou
             blocks, np.empty((1, 0)), np.array([rows]), np.array([np.inf]), nothing, nothing, metric, block_rows
         )
     first = data.select("id", "x").orderBy(draw(SEED, F.col("id")), "id")
-    dims = len(first.head()["x"])
-    wanted = min(MAX_PIVOTS, math.ceil(math.sqrt(rows)), PIVOT_BYTES // (8 * dims))
+    wanted = min(MAX_PIVOTS, math.ceil(math.sqrt(rows)), max(1, PIVOT_BYTES // (8 * dims)))
     pivots = np.unique(np.array([r["x"] for r in first.limit(wanted).collect()]), axis=0)
     placed = pin(_assign(data, pivots, metric))
     stats = placed.groupBy("cell").agg(
