@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lopside.llm import minhash, mixing, packing
+from lopside.llm import minhash, mixing, packing, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -40,3 +40,13 @@ def op8(spark, sf_dir):
 @query("op10_best_fit_packing")
 def op10(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op6_line_first_quality")
+def op6(spark, sf_dir):
+    return quality.rated(table(spark, sf_dir, "documents"))
+
+
+@query("op9_simhash_fingerprints")
+def op9(spark, sf_dir):
+    return simhash.fingerprinted(table(spark, sf_dir, "documents"))
