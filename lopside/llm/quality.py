@@ -18,9 +18,12 @@ from lopside.llm import text as tx
 class Rules:
     """What a line must pass and what a document may lose."""
 
-    #: A line of so many words or more must end in one of ``ends``.
+    #: A line of so many words or more must hold one of ``ends``.
     sentence_words: int = 8
-    ends: str = ".!?…:;,\"'”’»)]。！？|"
+    ends: str = ".!?…:;。！？"
+    #: More than so many symbols to a word, in a line of three words or more, are not prose.
+    symbols: str = "#*$%&|<>{}~^=_\\"
+    most_symbols: float = 0.5
     #: So many separators, at most ``item_words`` words to each, make a menu.
     separators: str = "|»›•·"
     menu_items: int = 3
@@ -49,7 +52,9 @@ def failing(line: str, words: int, rules: Rules) -> str | None:
             return "boilerplate"
     if line.count("!") >= rules.shouts and line == line.upper() and sum(map(str.isalpha, line)) >= rules.shout_letters:
         return "shouting"
-    if words >= rules.sentence_words and line.rstrip(" \t\r\x0b\x0c")[-1] not in rules.ends:
+    if words >= 3 and sum(map(line.count, rules.symbols)) > rules.most_symbols * words:
+        return "punctuation"
+    if words >= rules.sentence_words and not any(e in line for e in rules.ends):
         return "punctuation"
     return None
 
@@ -127,7 +132,7 @@ def rated(docs: DataFrame, rules: Rules = Rules(), with_text: bool = False) -> D
     """The columns of SCHEMA (and clean_text) of every row of ``docs`` (doc_id, text).
 
     Lines are judged first: an equal earlier line in the document, a menu, a notice, shouting, or a
-    long line without closing punctuation removes a line. A document is kept unless it fails the base
+    line of symbols or without any sentence mark removes a line. A document is kept unless it fails the base
     rules (under 50 words, or more than half of them in repeated three-word windows) or loses more than
     ``most_lost`` percent of its words with its lines.
 
