@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lopside.llm import minhash, mixing, packing, quality, simhash
+from lopside.llm import minhash, mixing, packing, quality, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -50,3 +50,22 @@ def op6(spark, sf_dir):
 @query("op9_simhash_fingerprints")
 def op9(spark, sf_dir):
     return simhash.fingerprinted(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op5_warc_round_trip",
+    """WITH told AS (
+  SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages),
+hashed AS (SELECT *, sha1(html) AS hex FROM told),
+bits AS (
+  SELECT page_id, strlen(html)::bigint AS payload_bytes, CASE WHEN page_id < last THEN last END AS refers_to,
+    list_transform(range(4), lambda i: ('0x' || hex[10 * i + 1 : 10 * i + 10])::bigint) AS fifths
+  FROM hashed)
+SELECT page_id, payload_bytes, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to,
+  list_aggregate(list_transform(range(32), lambda k:
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((fifths[k // 8 + 1] >> (35 - 5 * (k % 8))) & 31) + 1]), 'string_agg', '') AS payload_digest
+FROM bits""",
+)
+def op5(spark, sf_dir):
+    read = warc.round_trip(table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
