@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lopside.llm import minhash, mixing, packing, quality, simhash, toxicity, warc
+from lopside.llm import minhash, mixing, packing, privacy, quality, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -75,3 +75,8 @@ def op5(spark, sf_dir):
 def op7(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return toxicity.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op3_information_theoretic_pii")
+def op3(spark, sf_dir):
+    return privacy.found(table(spark, sf_dir, "documents"))
