@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lopside.llm import minhash, mixing, packing, privacy, quality, simhash, toxicity, warc
+from lopside.llm import minhash, mixing, packing, privacy, quality, simhash, tokens, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -80,3 +80,8 @@ def op7(spark, sf_dir):
 @query("op3_information_theoretic_pii")
 def op3(spark, sf_dir):
     return privacy.found(table(spark, sf_dir, "documents"))
+
+
+@query("op4_trie_token_counts")
+def op4(spark, sf_dir):
+    return tokens.counted(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
