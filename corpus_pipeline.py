@@ -1,6 +1,58 @@
-"""From raw documents to packed training sequences, stage by stage."""
+"""From raw documents to packed training sequences, stage by stage.
+
+Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, in the columns of ``documents``; the last
+returns the pieces of the packed sequences. ``run`` writes each stage's result and reads it back for the next.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from lopside.llm import lines, minhash, mixing, packing, toxicity
+from lopside.session import pin
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Fit on the labelled documents outside the test fold; documents called toxic go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.drop_toxic(docs, toxicity.train(docs, labels))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal or nearly equal lines the first stays; documents that had words and lose them all go."""
+    return lines.without(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents that share four fifths of their five-word shingles the first stays."""
+    return minhash.keep_one(docs, size=5, percent=80)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources come to their target weights: documents are repeated, cut or left out; rows without doc_id are left out."""
+    return mixing.mixed(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents in sequences of at most 2048 tokens."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", line_dedup),
+    ("minhash_near_dedup", near_dedup),
+    ("mixing_to_weights", mix),
+    ("best_fit_packing", pack),
+]
+
+#: SQL cannot express compression distance or edit joins; the stages are tested against brute force.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        docs = pin(stage(spark, docs, sf_dir))
+    return docs
