@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lopside.llm import minhash, mixing, packing, privacy, quality, simhash, tokens, toxicity, warc
+from lopside.llm import lines, minhash, mixing, packing, privacy, quality, simhash, tokens, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -85,3 +86,13 @@ def op3(spark, sf_dir):
 @query("op4_trie_token_counts")
 def op4(spark, sf_dir):
     return tokens.counted(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@query("op1_segment_edit_line_dedup")
+def op1(spark, sf_dir):
+    return lines.duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("pipeline")
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -245,11 +246,11 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` that the model does not call toxic, with all their columns; the text is scored in place."""
-    score = F.pandas_udf(lambda texts: _calls(model, texts), "boolean")
-    return docs.filter(~score(F.coalesce("text", F.lit(""))))
+    """The rows of ``docs`` that the model does not call toxic, with all their columns."""
 
+    @F.pandas_udf("boolean")
+    def calls(texts: pd.Series) -> pd.Series:
+        score = model.scorer()
+        return texts.map(lambda t: score(t)[1] >= 0.5).astype(bool)
 
-def _calls(model: Model, texts):
-    rate = model.scorer()
-    return texts.map(lambda t: rate(t)[1] >= 0.5).astype(bool)
+    return docs.filter(~calls(F.coalesce("text", F.lit(""))))
