@@ -77,7 +77,7 @@ def signatures(elements: np.ndarray, bounds: np.ndarray, m: int) -> np.ndarray:
 
 
 def _sketches(size: int, bands: int, rows: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64())), ("slots", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll, m = tx.Roll(), bands * rows
@@ -95,12 +95,8 @@ def _sketches(size: int, bands: int, rows: int):
                 np.cumsum(tx.mix(sets), out=total[0, 1:])
                 np.cumsum(tx.mix(sets ^ np.uint64(0x5851F42D4C957F2D)), out=total[1, 1:])
                 identity = (total[:, bounds[1:]] - total[:, bounds[:-1]]).view(np.int64)
-                low = np.pad((tx.mix(signed) & np.uint64(255)).astype(np.uint8), ((0, 0), (0, -m % 7))).reshape(n, -1, 7)
-                packed = np.ascontiguousarray(np.pad(low, ((0, 0), (0, 0), (0, 1)))).view(np.int64)[:, :, 0]
-                lists = []
-                for values in (key.view(np.int64), packed):
-                    lists.append(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(full * values.shape[1])]).astype(np.int32), values[full].ravel()))
-                yield tx.batch_of(schema, doc_id=part.column("doc_id"), n_shingles=np.diff(bounds), set_a=identity[0], set_b=identity[1], bands=lists[0], slots=lists[1])
+                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(full * bands)]).astype(np.int32), key[full].view(np.int64).ravel())
+                yield tx.batch_of(schema, doc_id=part.column("doc_id"), n_shingles=np.diff(bounds), set_a=identity[0], set_b=identity[1], bands=lists)
 
     return run
 
@@ -153,15 +149,73 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return placed.mapInArrow(_confirm(size, percent), "u long, v long")
 
 
-def equal_slots(count: int):
-    """How many of the 8-bit slots packed seven to a long in two rows' ``slots`` agree, for use inside a join."""
-    low, high = F.lit(0x7F7F7F7F7F7F7F), F.lit(0x80808080808080)
-    total = F.lit(-(-count % 7))
-    for k in range(-(-count // 7)):
-        x = F.col("a.slots")[k].bitwiseXOR(F.col("b.slots")[k])
-        unequal = (x.bitwiseAND(low) + low).bitwiseOR(x)  # the high bit of every byte that is not zero
-        total = total + F.bit_count(F.bitwise_not(unequal).bitwiseAND(high))
-    return total
+BLOCK = 512
+COLUMNS = 4096
+
+
+def _block_links(sets: list[np.ndarray], labels: np.ndarray, halves: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of different labels (and, if there are two halves, of different ones) whose sets reach the similarity."""
+    number = np.array([len(s) for s in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), number)
+    shared = times[column] > 1
+    row, column = row[shared], np.cumsum(times > 1)[column[shared]] - 1
+    both = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [low, low + COLUMNS])
+        part = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+        part[row[a:b], column[a:b] - low] = 1
+        both += part @ part.T
+    both = both.astype(np.int64)
+    linked = 100 * both >= percent * (number[:, None] + number[None, :] - both)
+    linked &= labels[:, None] < labels[None, :]
+    if len(np.unique(halves)) > 1:
+        linked &= halves[:, None] != halves[None, :]
+    return np.nonzero(linked)
+
+
+def _blocks(size: int, percent: int):
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        roll, at, held = tx.Roll(), None, []
+
+        def done():
+            sets, labels, halves, docs = zip(*held)
+            u, v = _block_links(list(sets), np.array(labels), np.array(halves), percent)
+            docs = np.array(docs)
+            return tx.batch_of(schema, u=docs[u], v=docs[v])
+
+        for batch in batches:
+            for part, data, offsets in tx.chunks(batch):
+                sets, bounds = shingle_sets(data, offsets, roll, size)
+                for k, (key, lo, hi, mine, doc, label) in enumerate(zip(*(part.column(c).to_pylist() for c in ("key", "lo", "hi", "mine", "doc_id", "label")))):
+                    if (key, lo, hi) != at:
+                        if len(held) > 1:
+                            yield done()
+                        at, held = (key, lo, hi), []
+                    held.append((sets[bounds[k] : bounds[k + 1]].copy(), label, mine, doc))
+        if len(held) > 1:
+            yield done()
+
+    return run
+
+
+def crossing(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (u, v) between rows of ``members`` (key, doc_id, label) of one key and different labels, confirmed on full sets.
+
+    A key's members are cut into chunks of about BLOCK, and every pair of chunks meets in one block, where
+    all intersections come from one product of 0/1 matrices; only links leave it.
+    """
+    parts = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    mine = F.pmod(F.xxhash64("doc_id"), F.col("parts"))
+    placed = members.join(parts, "key").select("key", "doc_id", "label", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+    placed = placed.select("key", "doc_id", "label", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
+    block = ["key", "lo", "hi"]
+    placed = placed.join(texts, "doc_id").select(*block, "mine", "doc_id", "label", "text").repartition(*block).sortWithinPartitions(*block)
+    return placed.mapInArrow(_blocks(size, percent), "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 24, rows: int = 4) -> DataFrame:
@@ -169,42 +223,39 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
 
     Documents are linked when 100 * intersection >= percent * union of their shingle sets; the component
     is named by its smallest doc_id and that document is kept. Equal sets are collapsed first. Bands of
-    ``rows`` slots propose candidates (at 0.8, 24 bands of 4 miss one pair in 300,000): first every
-    member of a bucket with the bucket's smallest document, then, in buckets that still hold more than
-    one component, members of different components whose signatures agree within five deviations of the
-    threshold. Links are confirmed on full sets. Texts are hashed to 64 bits per shingle.
+    ``rows`` slots propose candidates (at 0.8, 24 bands of 4 miss one pair in 300,000). First every
+    member of a bucket is held against the bucket's center, the member that meets most others over all
+    its buckets; then all members of one bucket that are still in different components are held against
+    each other, block by block. Links are confirmed on full sets, of which each shingle is a 64-bit hash.
 
     A null or empty text has no shingles, is linked with nothing and kept. Rows that share a doc_id are
     one document. A row without doc_id is its own component (null) and kept. Columns other than doc_id
     and text are not read. An empty table gives an empty result.
     """
-    m = bands * rows
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, slots array<long>"
+    schema = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
     sketch = pin(texts.mapInArrow(_sketches(size, bands, rows), schema))
     named = sketch.filter("doc_id is not null and n_shingles > 0")
     same = ["n_shingles", "set_a", "set_b"]
     classes = pin(named.groupBy(*same).agg(F.min("doc_id").alias("rep")))
-    reps = named.join(classes.withColumnRenamed("rep", "doc_id"), [*same, "doc_id"], "left_semi")
+    reps = named.join(classes.withColumnRenamed("rep", "doc_id"), [*same, "doc_id"], "left_semi").dropDuplicates([*same, "doc_id"])
+
     buckets = reps.select(F.explode("bands").alias("key"), "doc_id")
-    centers = buckets.groupBy("key").agg(F.min("doc_id").alias("center"), F.max("doc_id").alias("last")).filter("center < last")
-    stars = buckets.join(centers, "key").filter("doc_id > center").select("center", F.col("doc_id").alias("doc")).distinct()
-    links = pin(confirmed(pin(stars), texts, size, percent))
+    crowd = buckets.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    buckets = pin(buckets.join(crowd, "key"))
+    score = buckets.groupBy("doc_id").agg(F.sum("n").alias("score"))
+    scored = buckets.join(score, "doc_id").select("key", "doc_id", F.struct(F.col("score"), (-F.col("doc_id")).alias("at")).alias("rank"))
+    centers = scored.groupBy("key").agg((-F.max("rank")["at"]).alias("center"))
+    stars = buckets.join(centers, "key").filter("doc_id != center").select("center", F.col("doc_id").alias("doc")).distinct()
+    stars = pin(stars)
+    links = pin(confirmed(stars, texts, size, percent))
     labels = components(links)
 
-    crowded = buckets.join(centers.select("key"), "key", "left_semi").distinct()
-    crowded = crowded.join(labels, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label"))
-    crowded = pin(crowded)
-    split = crowded.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
-    members = pin(crowded.join(split.select("key"), "key", "left_semi").join(reps.select("doc_id", "n_shingles", "slots").distinct(), "doc_id"))
-    least = int(m * percent / 100 - 5 * (m * percent / 100 * (1 - percent / 100)) ** 0.5)
-    likely = (F.col("a.label") < F.col("b.label")) & (equal_slots(m) >= F.lit(least))
-    likely &= (100 * F.least("a.n_shingles", "b.n_shingles") >= percent * F.greatest("a.n_shingles", "b.n_shingles"))
-    more = members.alias("a").join(members.alias("b"), (F.col("a.key") == F.col("b.key")) & likely)
-    more = pin(more.select(F.least("a.doc_id", "b.doc_id").alias("center"), F.greatest("a.doc_id", "b.doc_id").alias("doc")).distinct())
-    known = stars.select("center", "doc")
-    more = more.join(known, ["center", "doc"], "left_anti")
-    extra = pin(confirmed(pin(more), texts, size, percent))
+    placed = buckets.join(labels, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label"))
+    placed = pin(placed)
+    split = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
+    members = pin(placed.join(split.select("key"), "key", "left_semi"))
+    extra = pin(crossing(members, texts, size, percent))
     if not extra.isEmpty():
         labels = components(links.union(extra))
     named_by = classes.join(labels, F.col("rep") == F.col("node"), "left").select(*same, F.coalesce("label", "rep").alias("component"))
@@ -214,6 +265,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns."""
+    """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns; of rows that share a doc_id one."""
     gone = near_duplicates(docs, **how).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    kept = docs.filter("doc_id is not null").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return kept.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
