@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lopside.llm import text as tx
 from lopside.llm.graph import components
+from lopside.llm.names import fresh
 from lopside.session import pin
 
 GRAM = 3
@@ -309,19 +310,19 @@ def without(docs: DataFrame, **how) -> DataFrame:
 
     Documents that had words and lose all of them go; all other rows and columns stay.
     """
-    gone = duplicates(docs, **how).filter("n_dropped > 0").select(F.col("doc_id").alias("_id"), F.col("dropped").alias("_dropped"))
+    own, dropped = fresh(docs, "_id", "_dropped")
+    gone = duplicates(docs, **how).filter("n_dropped > 0").select(F.col("doc_id").alias(own), F.col("dropped").alias(dropped))
 
     @F.pandas_udf("string")
-    def cut(text: pd.Series, dropped: pd.Series) -> pd.Series:
-        def one(t, d):
-            away = set(d.tolist())
-            return "\n".join(line for k, line in enumerate(t.split("\n")) if k not in away)
+    def cut(text: pd.Series, away: pd.Series) -> pd.Series:
+        def one(t, places):
+            return "\n".join(line for k, line in enumerate(t.split("\n")) if k not in places)
 
-        return pd.Series([one(t, d) for t, d in zip(text, dropped)], dtype=object)
+        return pd.Series([one(t, set(a.tolist())) for t, a in zip(text, away)], dtype=object)
 
-    joined = docs.join(gone, F.col("doc_id") == F.col("_id"), "left")
-    same = joined.filter("_id is null").select(docs.columns)
-    out = joined.filter("_id is not null").withColumn("text", cut("text", "_dropped")).filter(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")))
+    joined = docs.join(gone, F.col("doc_id") == F.col(own), "left")
+    same = joined.filter(F.col(own).isNull()).select(docs.columns)
+    out = joined.filter(F.col(own).isNotNull()).withColumn("text", cut("text", dropped)).filter(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return same.unionByName(out.select(docs.columns))

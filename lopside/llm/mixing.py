@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lopside.llm import text as tx
+from lopside.llm.names import fresh
 from lopside.session import pin
 
 WEIGHTS = (5, 2, 1)
@@ -211,16 +212,18 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
 
     Texts are found again by doc_id, which must be unique; rows without one are left out.
     """
+    own, size, skip, words, uses, most, copy = fresh(docs, "_id", "_size", "_skip", "_words", "_uses", "_most", "_copy")
     spans = Mix(docs, **how).pieces().filter("uses > 0 and doc_id is not null").groupBy("doc_id", "start", "size").agg(
-        F.collect_list("skip").alias("_skip"), F.collect_list("words").alias("_words"), F.collect_list("uses").alias("_uses"), F.max("uses").alias("_most"))
+        F.collect_list("skip").alias(skip), F.collect_list("words").alias(words), F.collect_list("uses").alias(uses), F.max("uses").alias(most))
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, size: pd.Series, skip: pd.Series, words: pd.Series, uses: pd.Series, copy: pd.Series) -> pd.Series:
         return pd.Series([_cut(t, n, s.tolist(), w.tolist(), u.tolist(), c) for t, n, s, w, u, c in zip(text, size, skip, words, uses, copy)], dtype=object)
 
-    spans = spans.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "_skip", "_words", "_uses", F.explode(F.sequence(F.lit(1).cast("long"), "_most")).alias("_copy"))
-    joined = docs.join(spans, F.col("doc_id") == F.col("_id"))
-    text = cut("text", "_size", "_skip", "_words", "_uses", "_copy")
+    times = F.explode(F.sequence(F.lit(1).cast("long"), most)).alias(copy)
+    spans = spans.select(F.col("doc_id").alias(own), F.col("size").alias(size), skip, words, uses, times)
+    joined = docs.join(spans, F.col("doc_id") == F.col(own))
+    text = cut("text", size, skip, words, uses, copy)
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
