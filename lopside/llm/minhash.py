@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lopside.llm import text as tx
 from lopside.llm.graph import components
+from lopside.llm.names import fresh
 from lopside.session import pin
 
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -144,7 +145,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     placed = pairs.join(width, "center").select("center", F.pmod(F.xxhash64("doc"), F.col("width")).alias("chunk"), "doc")
     heads = placed.select("center", "chunk").distinct().select("center", "chunk", F.lit(0).alias("side"), F.col("center").alias("doc_id"))
     wanted = heads.union(placed.select("center", "chunk", F.lit(1).alias("side"), F.col("doc").alias("doc_id")))
-    placed = wanted.join(texts, "doc_id").select("center", "chunk", "side", "doc_id", "text")
+    placed = wanted.join(texts.hint("merge"), "doc_id").select("center", "chunk", "side", "doc_id", "text")
     placed = placed.repartition("center", "chunk").sortWithinPartitions("center", "chunk", "side", "doc_id")
     return placed.mapInArrow(_confirm(size, percent), "u long, v long")
 
@@ -214,7 +215,7 @@ def crossing(members: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     placed = members.join(parts, "key").select("key", "doc_id", "label", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
     placed = placed.select("key", "doc_id", "label", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
     block = ["key", "lo", "hi"]
-    placed = placed.join(texts, "doc_id").select(*block, "mine", "doc_id", "label", "text").repartition(*block).sortWithinPartitions(*block)
+    placed = placed.join(texts.hint("merge"), "doc_id").select(*block, "mine", "doc_id", "label", "text").repartition(*block).sortWithinPartitions(*block)
     return placed.mapInArrow(_blocks(size, percent), "u long, v long").distinct()
 
 
@@ -266,6 +267,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns; of rows that share a doc_id one."""
-    gone = near_duplicates(docs, **how).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.filter("doc_id is not null").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    (other,) = fresh(docs, "_gone")
+    gone = near_duplicates(docs, **how).filter(~F.col("kept")).select(F.col("doc_id").alias(other)).distinct()
+    kept = docs.filter("doc_id is not null").join(gone, F.col("doc_id") == F.col(other), "left_anti")
     return kept.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
