@@ -61,10 +61,11 @@ def label_scores(preds: DataFrame, by: list[str], positive: str | None = None) -
     f1 is the macro average and g_mean the geometric mean of all recalls.
     """
     c = class_scores(confusion(preds, by), by)
-    n, hits = F.sum("support"), F.sum("hits")
-    expected = F.sum(F.col("support") * F.col("predicted"))
-    true_sq, pred_sq = F.sum(F.col("support") * F.col("support")), F.sum(F.col("predicted") * F.col("predicted"))
-    spread = F.sqrt((n * n - pred_sq).cast("double")) * F.sqrt((n * n - true_sq).cast("double"))
+    support, predicted = F.col("support").cast("double"), F.col("predicted").cast("double")  # products outgrow a bigint
+    n, hits = F.sum(support), F.sum("hits").cast("double")
+    expected = F.sum(support * predicted)
+    true_sq, pred_sq = F.sum(support * support), F.sum(predicted * predicted)
+    spread = F.sqrt(F.greatest(n * n - pred_sq, F.lit(0.0))) * F.sqrt(F.greatest(n * n - true_sq, F.lit(0.0)))
     chance = expected / (n * n)
     found = [
         (hits / n).alias("accuracy"),
@@ -72,7 +73,7 @@ def label_scores(preds: DataFrame, by: list[str], positive: str | None = None) -
         F.when(chance < 1, (hits / n - chance) / (1 - chance)).otherwise(F.lit(0.0)).alias("cohen_kappa"),
         F.avg("precision").alias("precision_macro"),
         F.avg("recall").alias("recall_macro"),
-        (F.sum(F.col("f1") * F.col("support")) / n).alias("f1_weighted"),
+        (F.sum(F.col("f1") * support) / n).alias("f1_weighted"),
         F.when(spread > 0, (hits * n - expected) / spread).otherwise(F.lit(0.0)).alias("matthews_corrcoef"),
     ]
     if positive is None:
@@ -107,7 +108,7 @@ def roc_auc(preds: DataFrame, by: list[str], positive: str, rows: int | None = N
     s = running(s, by, "score", ["neg"], preds.count() if rows is None else rows)
     below = F.col("neg_upto") - F.col("neg")
     won = F.sum(F.col("pos") * (below + F.col("neg") / 2))
-    pairs = F.sum("pos") * F.sum("neg")
+    pairs = F.sum("pos").cast("double") * F.sum("neg")
     area = F.when(pairs > 0, won / pairs).alias("roc_auc")
     return s.groupBy(*by).agg(area) if by else s.agg(area)
 
@@ -116,7 +117,7 @@ def average_precision(preds: DataFrame, by: list[str], positive: str, rows: int
     """Sum over score thresholds of precision times the gain in recall."""
     s = _by_score(preds, by, F.col("y") == F.lit(positive))
     s = running(s, by, "score", ["pos", "neg"], preds.count() if rows is None else rows, descending=True)
-    gain = F.sum(F.col("pos") * F.col("pos_upto") / (F.col("pos_upto") + F.col("neg_upto")))
+    gain = F.sum(F.col("pos").cast("double") * F.col("pos_upto") / (F.col("pos_upto") + F.col("neg_upto")))
     area = F.when(F.sum("pos") > 0, gain / F.sum("pos")).alias("average_precision")
     return s.groupBy(*by).agg(area) if by else s.agg(area)
 

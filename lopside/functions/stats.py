@@ -64,13 +64,14 @@ def wilcoxon(pairs: DataFrame, by: list[str], a: str = "a", b: str = "b", alpha:
     )
     ranked = running(freq, by, "size", ["n"], pairs.count() if rows is None else rows)
     ranked = ranked.withColumn("rank", F.col("n_upto") - (F.col("n") - 1) / 2)
-    n = F.col("n")
+    n = F.col("n").cast("double")  # cubes outgrow a bigint
     sums = ranked.groupBy(*by).agg(
         F.sum(n).alias("n"),
         F.sum(F.col("rank") * F.col("up")).alias("plus"),
         F.sum(F.col("rank") * (n - F.col("up"))).alias("minus"),
         F.sum(n * n * n - n).alias("ties"),
     )
+    n = F.col("n")
     w = F.least("plus", "minus")
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48
     tested = sums.select(*by, w.alias("statistic"), ((w - n * (n + 1) / 4) / F.sqrt(var)).alias("z"))

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lopside.functions.draws import draw
-from lopside.functions.scalars import round3
+from lopside.functions.scalars import round3, safe_name
 from lopside.operators.quantiles import quantiles
 from lopside.operators.ranks import running
 
@@ -126,24 +125,33 @@ def factorize(df: DataFrame, column: str, row_id: str) -> DataFrame:
     return out.select(df.columns)
 
 
-def sanitize_names(names: list[str]) -> list[str]:
-    """Names of letters, digits and underscores, made unique with _2, _3, ..."""
-    used: set[str] = set()
-    out = []
-    for name in names:
-        base = re.sub(r"[^0-9a-zA-Z_]", "_", str(name)).strip("_") or "feature"
-        base = f"f_{base}" if base[0].isdigit() else base
-        unique, n = base, 1
-        while unique in used:
-            n += 1
-            unique = f"{base}_{n}"
-        used.add(unique)
-        out.append(unique)
-    return out
+def unique_names(names: DataFrame) -> DataFrame:
+    """(place, name) with names of letters, digits and underscores, duplicates numbered _2, _3, ... by place.
+
+    Names with one base are numbered in a window. A number can give the name another base has of itself; of
+    such rows the first keeps it and the others count on, until all names differ.
+    """
+    base = names.select("place", safe_name(F.col("name")).alias("base"))
+    among = Window.partitionBy("base").orderBy("place")
+    numbered = base.withColumn("no", F.row_number().over(among))
+    shown = F.when(F.col("no") == 1, F.col("base")).otherwise(F.concat_ws("_", "base", "no"))
+    while True:
+        numbered = numbered.withColumn("name", shown)
+        later = F.row_number().over(Window.partitionBy("name").orderBy("place")) > 1
+        rows = numbered.withColumn("later", later).collect()  # a row per column of a table
+        if not any(r["later"] for r in rows):
+            return numbered.select("place", "name")
+        moved = [(r["place"], r["base"], r["no"] + int(r["later"])) for r in rows]
+        numbered = names.sparkSession.createDataFrame(moved, "place int, base string, no int")
+
+
+def sanitize_names(spark: SparkSession, names: list[str]) -> list[str]:
+    table = spark.createDataFrame(list(enumerate(map(str, names))), "place int, name string")
+    return [r["name"] for r in unique_names(table).orderBy("place").collect()]
 
 
 def sanitize(df: DataFrame) -> DataFrame:
-    return df.toDF(*sanitize_names(df.columns))
+    return df.toDF(*sanitize_names(df.sparkSession, df.columns))
 
 
 def problem_type(df: DataFrame, target: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lopside.operators.ranks import running
@@ -13,6 +13,12 @@ from lopside.operators.ranks import running
 DIRECT_ROWS = 1_000_000
 
 
+def _known(column: str) -> Column:
+    """The column as double, NaN as null: a missing value has no place in an order."""
+    value = F.col(f"`{column}`").cast("double")
+    return F.when(~F.isnan(value), value)
+
+
 def order_stats(df: DataFrame, columns: list[str], ranks: Callable[[int], list[int]], direct_rows: int = DIRECT_ROWS,
                 error: float = 0.001) -> dict[str, list[float]]:
     """The values at the 0-based positions ``ranks(n)`` of each column's n sorted values.
@@ -24,7 +30,7 @@ def order_stats(df: DataFrame, columns: list[str], ranks: Callable[[int], list[i
     """
     if not columns:
         return {}
-    wide = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    wide = df.select(*[_known(c).alias(f"c{i}") for i, c in enumerate(columns)])
     sizes = wide.agg(*[F.count(f"c{i}").alias(f"n{i}") for i in range(len(columns))]).head()
     wanted = {i: ranks(sizes[i]) if sizes[i] else [] for i in range(len(columns))}
     cells = [(i, j, r) for i, rs in wanted.items() for j, r in enumerate(rs)]
@@ -66,7 +72,7 @@ def quantiles(df: DataFrame, columns: list[str], probs: list[float], **options)
         return [side(p * (n - 1)) for p in probs for side in (math.floor, math.ceil)]
 
     stats = order_stats(df, columns, both, **options)
-    counts = df.agg(*[F.count(f"`{c}`").alias(f"n{i}") for i, c in enumerate(columns)]).head() if columns else []
+    counts = df.agg(*[F.count(_known(c)).alias(f"n{i}") for i, c in enumerate(columns)]).head() if columns else []
     sizes = {c: counts[i] for i, c in enumerate(columns)}
     out: dict[str, list[float | None]] = {}
     for c in columns:

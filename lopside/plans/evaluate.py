@@ -59,7 +59,7 @@ def encoded(ds: Dataset) -> Dataset:
     plain = [c for c in ds.features if c not in text]
     exprs = [F.col(f"`{c}`") for c in plain]
     exprs += [F.coalesce((F.col(f"`{c}`") == F.lit(v)).cast("int"), F.lit(0)) for c in text for v in found[c][1:]]
-    names = sanitize_names(plain + [f"{c}_{v}" for c in text for v in found[c][1:]])
+    names = sanitize_names(ds.df.sparkSession, plain + [f"{c}_{v}" for c in text for v in found[c][1:]])
     df = ds.df.select(F.col(ds.row_id), *[e.alias(n) for e, n in zip(exprs, names)], F.col(f"`{ds.target}`").alias("target"))
     return Dataset(df, names, "target", ds.row_id, ds.name)
 
@@ -91,7 +91,7 @@ def evaluate(points: DataFrame, resamplers: list[str], classifiers: list[str], f
             train = pin(resample(mine.filter(F.col("fold") != fold).select("id", "label", "x"), balancing, seed).select("id", "label", "x"))
         except Exception as e:  # noqa: BLE001 - any failure is a result here
             for c in classifiers:
-                failed[balancing, c] = f"{type(e).__name__}: {e}"[:500]
+                failed[balancing, c] = f"{type(e).__name__}: {e}"
             return parts
         prepared = time.time() - start
         for c in classifiers:
@@ -102,7 +102,7 @@ def evaluate(points: DataFrame, resamplers: list[str], classifiers: list[str], f
                 parts.append(out)
                 spent[balancing, c] += prepared + time.time() - start
             except Exception as e:  # noqa: BLE001
-                failed[balancing, c] = f"{type(e).__name__}: {e}"[:500]
+                failed[balancing, c] = f"{type(e).__name__}: {e}"
         return parts
 
     tasks = [(b, r, f) for b in resamplers for r in range(repeats) for f in range(folds)]

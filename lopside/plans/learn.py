@@ -106,7 +106,7 @@ def learn_folder(spark: SparkSession, folder: str, base: KnowledgeBase, **option
             learn(load(spark, f"{folder.rstrip('/')}/{name}"), base, **options)
             rows.append((name, "success", None))
         except Exception:  # noqa: BLE001 - reported, not raised
-            rows.append((name, "failed", traceback.format_exc(limit=-1)[-500:]))
+            rows.append((name, "failed", traceback.format_exc(limit=-1)))
     return spark.createDataFrame(rows, "dataset string, status string, error string")
 
 

@@ -24,14 +24,16 @@ def positions(full: DataFrame, row_id: str) -> DataFrame:
     """Add ``position``: 0-based place in the table sorted by final score, best first.
 
     Scores have three decimals, so the table of scores is short and gives every
-    score its first position; rows of one score are ranked in hashed buckets.
+    score its first position; rows of one score are ranked in hashed buckets. Rows
+    without a score come last.
     """
     rows = full.count()
     freq = full.groupBy("final score").agg(F.count(F.lit(1)).alias("n"))
-    down = Window.orderBy(F.desc("final score")).rowsBetween(Window.unboundedPreceding, -1)
-    first = freq.select("final score", F.coalesce(F.sum("n").over(down), F.lit(0)).alias("first"))  # one row per score
+    down = Window.orderBy(F.desc_nulls_last("final score")).rowsBetween(Window.unboundedPreceding, -1)
+    first = freq.select(F.col("final score").alias("_score"), F.coalesce(F.sum("n").over(down), F.lit(0)).alias("first"))  # one row per score
     ranked = hash_rank(full, ["final score"], row_id, rows=rows)
-    return ranked.join(first, "final score").withColumn("position", F.col("first") + F.col("rank") - 1).drop("first", "rank")
+    placed = ranked.join(first, F.col("final score").eqNullSafe(F.col("_score")))
+    return placed.withColumn("position", F.col("first") + F.col("rank") - 1).drop("first", "rank", "_score")
 
 
 def rank_sums(full: DataFrame, column: str, row_id: str) -> DataFrame:

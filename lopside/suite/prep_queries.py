@@ -96,13 +96,15 @@ def column_counts(spark, sf):
 
 
 @query("impute", f"""
-WITH {HOLED}, m AS (SELECT median(price) AS price, median(cust)::double AS cust FROM holed),
+WITH {HOLED}, m AS (SELECT median(price) AS price, median(cust)::double AS cust, median(o_orderkey) FILTER (o_orderkey % 4 <> 0)::double AS odd FROM holed),
 f AS (SELECT priority, count(*) AS n FROM holed WHERE priority IS NOT NULL GROUP BY 1 ORDER BY n DESC, priority LIMIT 1)
 SELECT o_orderkey::double AS o_orderkey, coalesce(h.price, m.price) AS price, coalesce(h.priority, f.priority) AS priority,
-  coalesce(h.cust::double, m.cust) AS cust, status
+  coalesce(h.cust::double, m.cust) AS cust, status, CASE WHEN o_orderkey % 4 = 0 THEN m.odd ELSE o_orderkey::double END AS odd
 FROM holed h, m, f""")
 def impute(spark, sf):
-    return prep.impute(holed_orders(spark, sf))
+    key = F.col("o_orderkey")
+    odd = F.when(key % 4 == 0, float("nan")).otherwise(key.cast("double"))
+    return prep.impute(holed_orders(spark, sf).withColumn("odd", odd))
 
 
 @query("one_hot_drop_first", """

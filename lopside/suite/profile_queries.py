@@ -150,11 +150,11 @@ def part_items(spark, sf):
     return table(spark, sf, "part").select("p_brand", "p_type", F.col("p_size").cast("string").alias("size"))
 
 
-ITEMS = """n AS (SELECT count(*)::double AS n FROM part), it AS (
+ITEMS = """n AS (SELECT count(*)::double AS n FROM part), it AS MATERIALIZED (
   SELECT 0 AS a, p_brand AS v, count(*) AS k FROM part GROUP BY 2 UNION ALL SELECT 1, p_type, count(*) FROM part GROUP BY 2
   UNION ALL SELECT 2, p_size::varchar, count(*) FROM part GROUP BY 2),
-lg AS (SELECT p_partkey, unnest([0, 1, 2]) AS a, unnest([p_brand, p_type, p_size::varchar]) AS v FROM part),
-jt AS (SELECT x.a, x.v AS va, y.a AS b, y.v AS vb, count(*) AS k FROM lg x JOIN lg y ON x.p_partkey = y.p_partkey AND x.a < y.a GROUP BY 1, 2, 3, 4),
+lg AS MATERIALIZED (SELECT p_partkey, unnest([0, 1, 2]) AS a, unnest([p_brand, p_type, p_size::varchar]) AS v FROM part),
+jt AS MATERIALIZED (SELECT x.a, x.v AS va, y.a AS b, y.v AS vb, count(*) AS k FROM lg x JOIN lg y ON x.p_partkey = y.p_partkey AND x.a < y.a GROUP BY 1, 2, 3, 4),
 tw AS (SELECT x.a, x.v AS va, y.a AS b, y.v AS vb, (x.k + y.k - 2 * coalesce(jt.k, 0)) / n AS s
   FROM it x JOIN it y ON x.a < y.a LEFT JOIN jt ON jt.a = x.a AND jt.va = x.v AND jt.b = y.a AND jt.vb = y.v, n)"""
 

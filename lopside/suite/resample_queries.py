@@ -29,7 +29,7 @@ DIST = "round(list_distance(q.x, d.x), 9)"
 
 def knn(name, q, d, k, cond="true"):
     """A CTE: the k nearest rows of ``d`` to each row of ``q``."""
-    return f"""{name} AS (SELECT * FROM (
+    return f"""{name} AS MATERIALIZED (SELECT * FROM (
   SELECT q.id, q.label, q.x, d.id AS nid, d.label AS nlabel, d.x AS nx, {DIST} AS dist,
     row_number() OVER (PARTITION BY q.id ORDER BY {DIST}, d.id) AS rank
   FROM {q} q JOIN {d} d ON d.id <> q.id AND {cond}) WHERE rank <= {k})"""

@@ -280,13 +280,13 @@ def best_run(spark, sf):
 
 def old_and_new(spark, sf):
     full = full_results(spark, sf)
-    old = ranking.best_runs(full.filter("o_orderkey % 3 = 0"), "binary", "o_orderkey").select(*[F.col(f"`{c}`") for c in KEEP])
-    new = ranking.best_runs(full.filter("o_orderkey % 3 = 1"), "binary", "o_orderkey").select(*[F.col(f"`{c}`") for c in KEEP])
+    old = ranking.best_runs(full.filter("o_orderkey % 2 = 0"), "binary", "o_orderkey").select(*[F.col(f"`{c}`") for c in KEEP])
+    new = ranking.best_runs(full.filter("o_orderkey % 2 = 1"), "binary", "o_orderkey").select(*[F.col(f"`{c}`") for c in KEEP])
     return old, new
 
 
 OLD_NEW = ", ".join([FULL] + [
-    BEST.format(src=f"(SELECT * FROM full_kb WHERE o_orderkey % 3 = {i})").replace("best AS", f"{n} AS")
+    BEST.format(src=f"(SELECT * FROM full_kb WHERE o_orderkey % 2 = {i})").replace("best AS", f"{n} AS")
     for i, n in ((0, "old"), (1, "new"))])
 MERGED = f"""merged AS (SELECT CASE WHEN o.dataset IS NULL THEN 'insert' WHEN n."final score" > o."final score" THEN 'update' ELSE 'keep' END AS action,
   o, n, o.dataset AS od, n.dataset AS nd FROM old o FULL JOIN new n ON o.dataset = n.dataset)"""
@@ -301,14 +301,14 @@ def upsert_results(spark, sf):
 
 
 @query("insert_full_results", f"""
-WITH {FULL} SELECT {_ALL}, "final score" FROM full_kb WHERE o_orderkey % 3 = 0
-UNION ALL SELECT {_ALL}, "final score" FROM full_kb WHERE o_orderkey % 3 = 1
-  AND dataset NOT IN (SELECT dataset FROM full_kb WHERE o_orderkey % 3 = 0)""")
+WITH {FULL} SELECT {_ALL}, "final score" FROM full_kb WHERE o_orderkey % 2 = 0
+UNION ALL SELECT {_ALL}, "final score" FROM full_kb WHERE o_orderkey % 2 = 1
+  AND dataset NOT IN (SELECT dataset FROM full_kb WHERE o_orderkey % 2 = 0)""")
 def insert_full(spark, sf):
     full = full_results(spark, sf)
     cols = [F.col(f"`{c}`") for c in KEEP + ["final score"]]
-    stored = full.filter("o_orderkey % 3 = 0").select(*cols)
-    new = full.filter("o_orderkey % 3 = 1").drop("o_orderkey", "final score")
+    stored = full.filter("o_orderkey % 2 = 0").select(*cols)
+    new = full.filter("o_orderkey % 2 = 1").drop("o_orderkey", "final score")
     return kb.insert_full_results(stored, new, "binary")
 
 
@@ -377,9 +377,15 @@ POSITIONS = f"""pos AS (SELECT *, row_number() OVER (ORDER BY "final score" DESC
   ('0x' || substr(md5('42|' || o_orderkey::varchar), 1, 8))::bigint, o_orderkey) - 1 AS position FROM full_kb)"""
 
 
-@query("kb_positions", f"WITH {FULL}, {POSITIONS} SELECT o_orderkey, position FROM pos")
+_NULLS = """(SELECT * REPLACE (CASE WHEN o_orderkey % 11 <> 0 THEN "final score" END AS "final score") FROM full_kb)"""
+
+
+@query("kb_positions", f"""
+WITH {FULL}, {POSITIONS.replace('"final score" DESC', '"final score" DESC NULLS LAST').replace('FROM full_kb', f'FROM {_NULLS}')}
+SELECT o_orderkey, position FROM pos""")
 def kb_positions(spark, sf):
-    return ranking.positions(full_results(spark, sf), "o_orderkey").select("o_orderkey", "position")
+    full = full_results(spark, sf).withColumn("final score", F.when(F.col("o_orderkey") % 11 != 0, F.col("final score")))
+    return ranking.positions(full, "o_orderkey").select("o_orderkey", "position")
 
 
 @query("rank_sum_resamplers", f"""
@@ -515,7 +521,7 @@ def recommend_all(spark, sf):
 
 
 @query("upsert_characteristics_learned", f"""
-WITH {CHAR}, new AS (SELECT * FROM ch WHERE c_custkey % 2 = 0), stored AS (SELECT * FROM ch WHERE c_custkey % 3 = 0)
+WITH {CHAR}, new AS (SELECT * FROM ch WHERE c_custkey % 2 = 0), stored AS (SELECT * FROM ch WHERE c_custkey % 2 = 1 OR c_custkey % 3 = 0)
 SELECT n.dataset, n.f0 + 1 AS f0, CASE WHEN s.dataset IS NULL OR n.c_custkey % 4 = 0 THEN 'SMOTE' ELSE s."pre processing" END AS "pre processing",
   CASE WHEN s.dataset IS NULL OR n.c_custkey % 4 = 0 THEN 'SVC' ELSE s.algorithm END AS algorithm
 FROM new n LEFT JOIN stored s USING (dataset)
@@ -523,26 +529,31 @@ UNION ALL SELECT dataset, f0, "pre processing", algorithm FROM stored WHERE data
 def upsert_characteristics(spark, sf):
     ch = characteristics(spark, sf).select("dataset", "f0", "pre processing", "algorithm")
     no = F.substring_index("dataset", " ", -1).cast("int")
-    stored, new = ch.filter(no % 3 == 0), ch.filter(no % 2 == 0).select("dataset", (F.col("f0") + 1).alias("f0"))
+    stored, new = ch.filter((no % 2 == 1) | (no % 3 == 0)), ch.filter(no % 2 == 0).select("dataset", (F.col("f0") + 1).alias("f0"))
     best = new.select("dataset", F.lit("SMOTE").alias("pre processing"), F.lit("SVC").alias("algorithm"), (no % 4 == 0).alias("updated"))
     return kb.upsert_characteristics(stored, new, best).select("dataset", "f0", "pre processing", "algorithm")
 
 
 @query("upsert_characteristics_recommended", f"""
-WITH {CHAR}, new AS (SELECT * FROM ch WHERE c_custkey % 2 = 0), stored AS (SELECT * FROM ch WHERE c_custkey % 3 = 0)
+WITH {CHAR}, new AS (SELECT * FROM ch WHERE c_custkey % 2 = 0), stored AS (SELECT * FROM ch WHERE c_custkey % 2 = 1 OR c_custkey % 3 = 0)
 SELECT dataset, f0 + 1 AS f0, '?' AS "pre processing", '?' AS algorithm FROM new WHERE dataset NOT IN (SELECT dataset FROM stored)
 UNION ALL SELECT dataset, f0, "pre processing", algorithm FROM stored""")
 def upsert_characteristics_seen(spark, sf):
     ch = characteristics(spark, sf).select("dataset", "f0", "pre processing", "algorithm")
     no = F.substring_index("dataset", " ", -1).cast("int")
-    stored, new = ch.filter(no % 3 == 0), ch.filter(no % 2 == 0).select("dataset", (F.col("f0") + 1).alias("f0"))
+    stored, new = ch.filter((no % 2 == 1) | (no % 3 == 0)), ch.filter(no % 2 == 0).select("dataset", (F.col("f0") + 1).alias("f0"))
     return kb.upsert_characteristics(stored, new, None).select("dataset", "f0", "pre processing", "algorithm")
 
 
-@query("characteristics_wide_row", f"WITH {CHAR} SELECT dataset, f0, f1, f2 FROM ch")
+_EACH = [f"f{i}" for i in range(N_FEATURES)]
+
+
+@query("characteristics_wide_row", f"""
+WITH {CHAR} SELECT dataset, {', '.join(c for c in _EACH if c not in ('f5', 'f6'))}, CASE WHEN f0 > 0.1 THEN f5 END AS f5,
+  CASE WHEN f0 < 0.1 THEN 'infinity'::double ELSE f6 END AS f6 FROM ch""")
 def wide_row(spark, sf):
-    long = characteristics(spark, sf).unpivot(["dataset"], ["f0", "f1", "f2"], "feature", "value")
-    return long.groupBy("dataset").pivot("feature", ["f0", "f1", "f2"]).agg(F.first("value"))
+    long = characteristics(spark, sf).unpivot(["dataset"], _EACH, "feature", "value")
+    return long.groupBy("dataset").pivot("feature", _EACH).agg(F.first("value"))
 
 
 # ---- fold scores of three systems --------------------------------------------------------------------

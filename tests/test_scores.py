@@ -64,8 +64,8 @@ def test_elapsed_and_names(spark):
     assert [r[2] for r in rows] == ["a/b_clean.csv", "b_clean", "x.y/c_clean.dat", "d.e_clean.csv"]
 
 
-def test_safe_names():
-    assert prep.sanitize_names(["a b", "a-b", "--", "1x", "a_b_2", "ok"]) == ["a_b", "a_b_2", "feature", "f_1x", "a_b_2_2", "ok"]
+def test_safe_names(spark):
+    assert prep.sanitize_names(spark, ["a b", "a-b", "--", "1x", "a_b_2", "ok"]) == ["a_b", "a_b_2", "feature", "f_1x", "a_b_2_2", "ok"]
 
 
 def test_imputation_ties_and_empty_columns(spark):
