@@ -17,7 +17,7 @@ from lopside.operators.profile.scatter import Scatter
 from lopside.operators.profile.summary import summarise, summarise_rows
 from lopside.operators.ranks import hash_rank
 from lopside.operators.resample.common import by_label, class_sizes, fits_broadcast, interpolate, pick
-from lopside.session import parallelism, pin
+from lopside.session import pin
 
 EXPLAINED = 0.95  # variance share that counts as the dimensions of the data
 
@@ -269,7 +269,7 @@ def linearity(points: DataFrame, seed: int = SEED) -> dict[str, object]:
             df = df.filter(F.col("label").isin(a, b))
             return df.select((F.col("label") == b).cast("double").alias("y"), array_to_vector("x").alias("features"))
 
-        model = LinearSVC(labelCol="y", maxIter=25, regParam=0.001).fit(ready(x).coalesce(parallelism(x.sparkSession)))
+        model = LinearSVC(labelCol="y", maxIter=100, regParam=0.001).fit(ready(x))
         wrong = F.col("prediction") != F.col("y")
         margin = F.abs(vector_to_array("rawPrediction")[1])
         norm = float(np.linalg.norm(model.coefficients.toArray())) or 1.0

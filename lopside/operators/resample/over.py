@@ -216,7 +216,7 @@ def kmeans_smote(points: DataFrame, seed: int = SEED, clusters: int = 8, balance
     from pyspark.ml.functions import array_to_vector
 
     vectors = pin(points.withColumn("features", array_to_vector("x")))
-    model = KMeans(k=clusters, seed=seed, maxIter=20).fit(vectors)
+    model = KMeans(k=clusters, seed=seed, maxIter=300).fit(vectors)
     found = model.transform(vectors).select("id", F.col("prediction").alias("cluster"))
     return cluster_smote(points, found, seed, balance=balance)
 
@@ -237,7 +237,7 @@ def svm_smote(points: DataFrame, seed: int = SEED, k: int = 5, m: int = 10, out_
         few = points.filter(F.col("label") == c)
         ks = _clamped(sizes, [c], k)
         vectors = points.withColumn("features", array_to_vector("x")).withColumn("y", (F.col("label") == c).cast("double"))
-        model = LinearSVC(labelCol="y", maxIter=20, regParam=0.01).fit(vectors)
+        model = LinearSVC(labelCol="y", maxIter=100, regParam=0.01).fit(vectors)
         mine = model.transform(vectors.filter(F.col("y") == 1.0))
         support = mine.filter(vector_to_array("rawPrediction")[1] <= 1.0).select("id", "label", "x")
         foreign = nearest(support, points, m).groupBy("id").agg(

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lopside.functions.draws import SEED
+from lopside.functions.scalars import euclidean
 from lopside.operators.folds import stratified_folds
 from lopside.operators.neighbours import nearest
 from lopside.operators.ranks import hash_take, smallest
@@ -205,10 +206,11 @@ def instance_hardness(points: DataFrame, seed: int = SEED, folds: int = 5, trees
 
 
 @resampler("ClusterCentroids")
-def cluster_centroids(points: DataFrame, seed: int = SEED, flat_limit: int = 200) -> DataFrame:
-    """Every class but the minority replaced by as many k-means centres as the minority has rows.
+def cluster_centroids(points: DataFrame, seed: int = SEED, method: str = "kmeans") -> DataFrame:
+    """Every class but the minority replaced by as many cluster centres as the minority has rows.
 
-    Above ``flat_limit`` centres the clustering is hierarchical (bisecting).
+    ``method`` is "kmeans" or "bisecting" (hierarchical), the same at every size. A clustering may end with fewer
+    clusters than asked for; the rows farthest from their centres then stand in for the missing ones.
     """
     from pyspark.ml.clustering import BisectingKMeans, KMeans
     from pyspark.ml.functions import array_to_vector
@@ -221,16 +223,23 @@ def cluster_centroids(points: DataFrame, seed: int = SEED, flat_limit: int = 200
         if sizes[c] == k:
             out = out.unionByName(originals(mine.select("id", "label", "x")))
             continue
-        maker = KMeans(k=k, seed=seed, maxIter=20) if k <= flat_limit else BisectingKMeans(k=k, seed=seed, maxIter=10)
-        placed = maker.fit(mine).transform(mine).select("prediction", "x")
+        maker = {"kmeans": KMeans, "bisecting": BisectingKMeans}[method](k=k, seed=seed, maxIter=300)
+        placed = pin(maker.fit(mine).transform(mine).select("id", "prediction", "x"))
+        found = placed.select("prediction").distinct().count()
         # centres as per-feature means: one combined aggregation, no centre leaves the cluster
         cells = placed.select("prediction", F.posexplode("x").alias("pos", "v"))
         means = cells.groupBy("prediction", "pos").agg(F.avg("v").alias("v"))
         centres = means.groupBy("prediction").agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("cells"))
+        centres = centres.select("prediction", F.col("cells.v").alias("x"))
+        if found < k:
+            apart = placed.join(centres.withColumnRenamed("x", "centre"), "prediction").select("id", "x", euclidean(F.col("x"), F.col("centre")).alias("apart"))
+            far = apart.orderBy(F.desc("apart"), "id").limit(k - found)
+            more = far.select((F.row_number().over(Window.orderBy(F.desc("apart"), "id")) + k - 1).alias("prediction"), "x")
+            centres = centres.unionByName(more)
         none = F.lit(None).cast("bigint")
         out = out.unionByName(centres.select(
             (-1 - start - F.col("prediction")).cast("bigint").alias("id"), F.lit(c).alias("label"),
-            F.col("cells.v").alias("x"), F.lit(True).alias("is_synthetic"), none.alias("src_id"), none.alias("nbr_id"),
+            "x", F.lit(True).alias("is_synthetic"), none.alias("src_id"), none.alias("nbr_id"),
         ))
-        start += k
+        start += 2 * k
     return out

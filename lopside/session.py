@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -23,21 +25,19 @@ def local_session(cores: str = "8", app: str = "lopside") -> SparkSession:
     )
 
 
-_LOCAL: dict[str, str] = {}
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder the session names in ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a folder of its own.
+    A local session without that setting gets one, in a folder that goes when the program ends; on a cluster it
+    must be set.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        app = spark.sparkContext.applicationId
-        folder = _LOCAL.setdefault(app, "") or tempfile.mkdtemp(prefix="lopside-")
-        _LOCAL[app] = folder
+        folder = tempfile.mkdtemp(prefix="lopside-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import posixpath
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lopside.dataset import Dataset
@@ -21,15 +21,18 @@ MISSING = [
 ]
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",", drop_nulls: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, sep: str = ",", drop_nulls: bool = True, row_id: str | None = None) -> DataFrame:
     """A CSV with header as typed columns, rows with a missing field dropped.
 
+    With ``row_id`` a column of that name numbers the rows that stay 0.. in file order.
+
     Fields are read as text, trimmed and freed of missing markers; then each
     column becomes the narrowest of bigint, double, boolean and string that holds
     all its values, found in one pass.
     """
     raw = spark.read.csv(path, header=True, sep=sep, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
-    text = raw.select(*[F.when(~F.trim(F.col(f"`{c}`")).isin(MISSING), F.col(f"`{c}`")).alias(c) for c in raw.columns])
+    fields = [F.when(~F.trim(F.col(f"`{c}`")).isin(MISSING), F.col(f"`{c}`")).alias(c) for c in raw.columns]
+    text = raw.select(*fields)
     checks = []
     for i, c in enumerate(text.columns):
         col = F.col(f"`{c}`")
@@ -46,10 +49,32 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", drop_nulls: bool =
         if seen[f"n{i}"]:
             kind = "bigint" if seen[f"i{i}"] else "double" if seen[f"d{i}"] else "boolean" if seen[f"b{i}"] else "string"
         typed.append(F.col(f"`{c}`").cast(kind).alias(c))
+    if row_id is not None:
+        return _in_file_order(raw.select(*fields, *_place()).select(*typed, "_path", "_block"), row_id, drop_nulls)
     out = text.select(*typed)
     return drop_null_rows(out) if drop_nulls else out
 
 
+def _place() -> list[Column]:
+    """Where a row was read: its file, and the first byte of the split of that file."""
+    return [F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block")]
+
+
+def _in_file_order(df: DataFrame, name: str, drop_nulls: bool) -> DataFrame:
+    """Number rows 0.. by file name and place in the file, whatever the splits.
+
+    A task reads a split from its start, so a counter that rises within the task orders the split's rows;
+    the counts of all earlier splits, a row per split, give every split its offset.
+    """
+    rows = (drop_null_rows(df) if drop_nulls else df).withColumn("_at", F.monotonically_increasing_id())
+    rows = pin(rows)
+    splits = rows.groupBy("_path", "_block").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("_first"))
+    earlier = Window.orderBy("_path", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("_path", "_block", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
+    placed = rows.join(splits, ["_path", "_block"]).withColumn(name, (F.col("_at") + F.col("_shift")).cast("bigint"))
+    return placed.drop("_path", "_block", "_at", "_shift")
+
+
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     """Number rows 0.. in an order given by their content alone.
 
@@ -73,11 +98,12 @@ def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
 
 
 def load(spark: SparkSession, path: str, target: str | None = None) -> Dataset:
-    """A CSV file as a dataset named after the file; the last column is the target."""
-    df = read_csv(spark, path)
-    target = target or df.columns[-1]
-    features = [c for c in df.columns if c != target]
-    return Dataset(with_row_id(df), features, target, "row_id", posixpath.basename(path.rstrip("/")))
+    """A CSV file as a dataset named after the file; the last column is the target, row ids follow the file."""
+    df = read_csv(spark, path, row_id="row_id")
+    columns = [c for c in df.columns if c != "row_id"]
+    target = target or columns[-1]
+    features = [c for c in columns if c != target]
+    return Dataset(df, features, target, "row_id", posixpath.basename(path.rstrip("/")))
 
 
 def read_registered(spark: SparkSession, path: str, name: str, number: int, target: str, features: list[str] | None = None) -> Dataset:
@@ -94,12 +120,12 @@ def read_summaries(spark: SparkSession, path: str) -> DataFrame:
 
 
 def list_csv(spark: SparkSession, folder: str) -> list[str]:
-    """Sorted CSV file names of a folder on any Hadoop file system."""
+    """Sorted CSV names in a folder on any Hadoop file system: files, and folders of parts as Spark writes them."""
     where = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(where):
         raise FileNotFoundError(f"no such folder: {folder}")
-    names = [s.getPath().getName() for s in fs.listStatus(where) if s.isFile()]
+    names = [s.getPath().getName() for s in fs.listStatus(where)]
     return sorted(n for n in names if n.lower().endswith(".csv"))
 
 

@@ -162,6 +162,48 @@ def read_csv(spark, sf):
     return read.select(F.col("o_orderkey").cast("bigint"), "price", "priority", F.col("cust").cast("double"), "status")
 
 
+@query("load_in_file_order", f"""
+WITH {HOLED} SELECT (row_number() OVER (ORDER BY o_orderkey) - 1)::bigint AS row_id, o_orderkey, price, status FROM holed WHERE price IS NOT NULL""")
+def load_in_file_order(spark, sf):
+    path = f"{_scratch(spark)}/ordered"
+    df = holed_orders(spark, sf).select("o_orderkey", "price", "status").repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey")
+    df.write.csv(path, header=True)
+    ds = tables.load(spark, path)
+    return ds.df.select("row_id", F.col("o_orderkey").cast("bigint"), "price", "status")
+
+
+@query("read_summary_table", """
+SELECT c_custkey::bigint AS id, c_mktsegment AS segment, CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal END AS balance FROM customer""")
+def read_summary_table(spark, sf):
+    path = f"{_scratch(spark)}/summaries.tsv"
+    balance = F.when(F.col("c_custkey") % 5 != 0, F.col("c_acctbal").cast("string")).otherwise("n/a")
+    rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"), balance.alias("balance"))
+    rows.write.csv(path, header=True, sep="\t")
+    return tables.read_summaries(spark, path).select(F.col("id").cast("bigint"), "segment", "balance")
+
+
+@query("read_imbalance_file", """
+SELECT c_custkey::bigint AS id, c_custkey % 40 / 10.0::double AS "imbalance ratio" FROM customer
+WHERE c_custkey % 40 / 10.0 > 2.0 AND c_custkey % 40 / 10.0 <= 2.5""")
+def read_imbalance_file(spark, sf):
+    path = f"{_scratch(spark)}/ratios.csv"
+    ratio = (F.col("c_custkey") % 40 / 10).alias("imbalance ratio")
+    table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), ratio).write.csv(path, header=True)
+    return cat.imbalance_band(tables.read_csv(spark, path).select(F.col("id").cast("bigint"), F.col("imbalance ratio").cast("double")))
+
+
+@query("folder_of_tables", """
+SELECT DISTINCT 'part ' || p_type || '.csv' AS dataset, CASE WHEN p_type IN ('PROMO', 'SMALL') THEN 'skipped' ELSE 'todo' END AS status FROM part""")
+def folder_of_tables(spark, sf):
+    folder = _scratch(spark)
+    kinds = [r[0] for r in table(spark, sf, "part").select("p_type").distinct().collect()]  # six kinds of part
+    for kind in kinds:
+        table(spark, sf, "part").filter(F.col("p_type") == kind).write.csv(f"{folder}/files/part {kind}.csv", header=True)
+    names = spark.createDataFrame([(n,) for n in tables.list_csv(spark, f"{folder}/files")], "dataset string")
+    done = names.filter(F.col("dataset").isin("part PROMO.csv", "part SMALL.csv"))
+    return tables.batch_plan(names, done)
+
+
 @query("read_registered", """
 SELECT p_size, p_retailprice, p_brand, p_type AS class, 'parts (id:7)' AS dataset FROM part""")
 def read_registered(spark, sf):

@@ -96,3 +96,51 @@ def test_out_of_fold(blobs):
     assert mine.groupBy("repeat", "id").count().filter("count > 1").isEmpty()
     scores = ev.fold_scores(out).filter(F.col("pre processing") == "SMOTE")
     assert scores.count() == 6 and scores.agg(F.min("recall_macro")).head()[0] > 0.9
+
+
+def test_row_ids_follow_the_file_whatever_the_splits(spark, tmp_path):
+    from lopside.sources.tables import load
+
+    rows = [(k * 7 % 1000, ["x", "y", "NA"][k % 3], "p" if k % 2 else "q") for k in range(1000)]
+    path = tmp_path / "rows.csv"
+    path.write_text("a,b,c\n" + "\n".join(",".join(map(str, r)) for r in rows) + "\n")
+    want = [(i, *r) for i, r in enumerate(r for r in rows if r[1] != "NA")]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("100m", "700", "1500"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            ds = load(spark, str(path))
+            assert [tuple(r) for r in ds.df.select("row_id", "a", "b", "c").orderBy("row_id").collect()] == want
+            assert ds.features == ["a", "b"] and ds.target == "c"
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_missing_values_and_large_counts(spark):
+    from pyspark.sql import functions as F
+
+    from lopside.functions import metrics
+    from lopside.operators import prep
+    from lopside.operators.quantiles import quantiles
+
+    nan = float("nan")
+    df = spark.createDataFrame([(v,) for v in (1.0, 2.0, 3.0, 4.0, 5.0, nan, nan, nan, nan, None)], "v double")
+    assert quantiles(df, ["v"], [0.5])["v"] == quantiles(df, ["v"], [0.5], direct_rows=2)["v"] == [3.0]
+    assert sorted(r.v for r in prep.impute(df).collect()) == [1.0, 2.0] + [3.0] * 6 + [4.0, 5.0]
+    big = spark.createDataFrame([("a", 5 * 10**9, 5 * 10**9, 4 * 10**9), ("b", 3 * 10**9, 3 * 10**9, 2 * 10**9)], "label string, support long, predicted long, hits long")
+    rates = big.withColumn("precision", F.col("hits") / F.col("predicted")).withColumn("recall", F.col("hits") / F.col("support")).withColumn("f1", F.col("recall"))
+    original, metrics.class_scores = metrics.class_scores, lambda c, by: rates
+    try:
+        row = metrics.label_scores(spark.createDataFrame([("a", "a")], "y string, yhat string"), []).head()
+    finally:
+        metrics.class_scores = original
+    assert abs(row.accuracy - 0.75) < 1e-12 and abs(row.cohen_kappa - (0.75 - 34 / 64) / (1 - 34 / 64)) < 1e-9
+
+
+def test_a_centre_for_every_row_wanted(spark):
+    from lopside.operators.resample.common import RESAMPLERS
+
+    rows = [(k, "low", [float(k), 0.0]) for k in range(5)] + [(10 + k, "high", [1.0, float(k // 40)]) for k in range(80)]
+    points = spark.createDataFrame(rows, "id long, label string, x array<double>")
+    got = RESAMPLERS["ClusterCentroids"](points).groupBy("label").count().collect()
+    assert {r["label"]: r["count"] for r in got} == {"low": 5, "high": 5}
