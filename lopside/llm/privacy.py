@@ -173,7 +173,7 @@ class Disclosure:
 
     A context is a found value with ``window`` words on either side. Contexts, and uses of a term, that repeat with
     AROUND characters on either side count once, so copied passages prove nothing. With n(e, t) contexts in which term t
-    stands beside value e and n(t) uses of t in the corpus, the information t gives about e is PMI = log2 p(e|t) + IC(e), where
+    stands beside value e and n(t) uses of t in the corpus (or contexts with t, if more), the information t gives about e is PMI = log2 p(e|t) + IC(e), where
     p(e|t) = n(e, t) / n(t) and IC(e) = -log2 p(e). A term with at least ``support`` contexts is generalised if
     PMI >= ``generalise`` * IC(e) and removed if PMI >= ``remove`` * IC(e) for some e.
     """
@@ -184,9 +184,15 @@ class Disclosure:
         schema = "high long, low long, doc_id long, base string, n_email long, n_ip long, n_card long, n_phone long, contexts array<struct<entity:long,term:string,context:long>>"
         self.rows = pin(texts.mapInArrow(_found(window), schema))
         contexts = self.rows.select(F.explode("contexts").alias("c")).select("c.*").distinct()
-        together = pin(contexts.groupBy("entity", "term").agg(F.count("*").alias("together")).filter(F.col("together") >= support))
+        contexts = pin(contexts)
         values = contexts.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
         total = contexts.select("entity", "context").distinct().count()
+        beside = contexts.select("term", "context").distinct().groupBy("term").agg(F.count("*").alias("n_beside"))
+        together = contexts.groupBy("entity", "term").agg(F.count("*").alias("together")).filter(F.col("together") >= support)
+        content = -F.log2(F.col("n_entity") / F.lit(float(max(total, 1))))
+        # n(t) is at least the number of contexts with t, which rules most terms out before the texts are read again
+        most = F.col("together") * F.pow(F.lit(2.0), (1 - generalise) * content)
+        together = pin(together.join(values, "entity").join(beside, "term").filter(F.col("n_beside") <= most))
         terms = together.select("term").distinct()
         marked = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
         parts = terms.mapInArrow(_bits, "at long, byte short").groupBy("at").agg(F.bit_or("byte").alias("byte"))
@@ -197,8 +203,7 @@ class Disclosure:
             used = texts.mapInArrow(_uses(marked.tobytes()), USES).join(terms, "term", "left_semi")
             self.used = pin(used.dropDuplicates(["high", "low", "term"]))
         uses = self.used.select("term", F.explode("context").alias("context")).distinct().groupBy("term").agg(F.count("*").alias("n_term"))
-        known = together.join(uses, "term").join(values, "entity")
-        content = -F.log2(F.col("n_entity") / F.lit(float(max(total, 1))))
+        known = together.join(uses, "term").withColumn("n_term", F.greatest("n_term", "n_beside"))
         share = F.log2(F.least(F.lit(1.0), F.col("together") / F.col("n_term")))
         pmi = known.select("entity", "term", "together", "n_term", "n_entity", content.alias("ic"), (content + share).alias("pmi"))
         self.evidence = pmi.filter((F.col("ic") > 0) & (F.col("pmi") >= generalise * F.col("ic")))
