@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+from multiprocessing.pool import ThreadPool
+from typing import NamedTuple
 
 from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lopside.functions.draws import SEED
@@ -17,16 +19,38 @@ from lopside.session import pin
 PIN_EVERY = 5  # rounds between two cuts of the weights' lineage
 
 
-def _votes(df: DataFrame, models: list, strengths: list[float], k: int) -> DataFrame:
-    """Add ``votes``: per class the summed strength of the models choosing it."""
-    out = df.withColumn("votes", F.array(*[F.lit(0.0)] * k))
-    for model, s in zip(models, strengths):
-        out = model.transform(out)
-        chosen = F.col("prediction")
-        cells = [F.col("votes")[i] + F.when(chosen == float(i), F.lit(s)).otherwise(0.0) for i in range(k)]
-        out = out.withColumn("next", F.array(*cells)).drop("votes", "prediction", "rawPrediction", "probability")
-        out = out.withColumnRenamed("next", "votes")
-    return out
+class Stump(NamedTuple):
+    """A tree of depth 1: the class where feature <= cut, and the class elsewhere."""
+
+    feature: int
+    cut: float
+    low: float
+    high: float
+
+    @classmethod
+    def of(cls, model) -> Stump:
+        root = model._call_java("rootNode")
+        if root.subtreeDepth() == 0:
+            return cls(0, math.inf, root.prediction(), root.prediction())
+        split = root.split()
+        return cls(split.featureIndex(), split.threshold(), root.leftChild().prediction(), root.rightChild().prediction())
+
+    def chosen(self, x: Column) -> Column:
+        return F.when(x[self.feature] <= F.lit(self.cut), F.lit(self.low)).otherwise(F.lit(self.high))
+
+
+def _votes(x: Column, stumps: list[Stump], strengths: list[float], k: int) -> Column:
+    """Per class the summed strength of the stumps choosing it: one expression over an array of all stumps."""
+    table = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip("fclhs", (*m, s))]) for m, s in zip(stumps, strengths)])
+
+    def share(i: int) -> Column:
+        def step(total: Column, m: Column) -> Column:
+            choice = F.when(F.get(x, m["f"]) <= m["c"], m["l"]).otherwise(m["h"])
+            return total + F.when(choice == float(i), m["s"]).otherwise(0.0)
+
+        return F.aggregate(table, F.lit(0.0), step)
+
+    return F.array(*[share(i) for i in range(k)])
 
 
 def _boost(train: DataFrame, classes: list[str], seed: int, rounds: int, balanced: bool) -> tuple[list, list[float]]:
@@ -35,15 +59,15 @@ def _boost(train: DataFrame, classes: list[str], seed: int, rounds: int, balance
     With ``balanced`` every stump is fitted on an under-sampled draw of the rows.
     """
     k = len(classes)
-    now = pin(ready(train, classes).withColumn("w", F.lit(1.0)))
+    now = pin(ready(train, classes).withColumns({"w": F.lit(1.0), "x": vector_to_array("features")}))
     models, strengths = [], []
     for r in range(rounds):
         part = now
         if balanced:
             picked = random_under(now.select("id", "label", F.array(F.lit(0.0)).alias("x")), seed, key=f"b{r}")
             part = pin(now.join(picked.select("id"), "id", "left_semi"))
-        model = DecisionTreeClassifier(labelCol="y", weightCol="w", maxDepth=1, seed=seed + r).fit(part)
-        seen = model.transform(now).withColumn("miss", F.col("prediction") != F.col("y"))
+        model = Stump.of(DecisionTreeClassifier(labelCol="y", weightCol="w", maxDepth=1, seed=seed + r).fit(part))
+        seen = now.withColumn("miss", model.chosen(F.col("x")) != F.col("y"))
         sums = seen.agg(F.sum("w").alias("w"), F.sum(F.when(F.col("miss"), F.col("w")).otherwise(0.0)).alias("e")).head()
         error = sums["e"] / sums["w"]
         if error >= 1 - 1 / k:
@@ -58,7 +82,7 @@ def _boost(train: DataFrame, classes: list[str], seed: int, rounds: int, balance
         if error <= 0:
             break
         scale = F.when(F.col("miss"), F.col("w") * math.exp(strength)).otherwise(F.col("w")) / sums["w"]
-        now = seen.select("id", "label", "y", "features", scale.alias("w"))
+        now = seen.select("id", "label", "y", "features", "x", scale.alias("w"))
         if (r + 1) % PIN_EVERY == 0:
             now = pin(now)
     return models, strengths
@@ -66,7 +90,7 @@ def _boost(train: DataFrame, classes: list[str], seed: int, rounds: int, balance
 
 def _voting(models: list, strengths: list[float], classes: list[str]) -> Predictor:
     def predict(test: DataFrame) -> DataFrame:
-        out = _votes(ready(test, classes), models, strengths, len(classes))
+        out = ready(test, classes).withColumn("votes", _votes(vector_to_array("features"), models, strengths, len(classes)))
         first = F.array_position("votes", F.array_max("votes")) - 1
         return output(out.withColumn("prediction", first), classes, F.col("votes"))
 
@@ -91,10 +115,12 @@ def _samples(train: DataFrame, seed: int, members: int):
 
 @classifier("EasyEnsembleClassifier")
 def easy_ensemble(train: DataFrame, classes: list[str], seed: int = SEED, effort: Effort = Effort()) -> Predictor:
-    """AdaBoost on balanced samples; each member's votes count as shares."""
+    """AdaBoost on balanced samples, fitted side by side; each member's votes count as shares."""
+    samples = list(_samples(train, seed, effort.members))
+    with ThreadPool(8) as pool:
+        fitted = pool.map(lambda s: _boost(s[1], classes, seed + s[0], effort.rounds, False), samples, chunksize=1)
     models, strengths = [], []
-    for b, sample in _samples(train, seed, effort.members):
-        m, s = _boost(sample, classes, seed + b, effort.rounds, False)
+    for m, s in fitted:
         models += m
         strengths += [v / sum(s) for v in s]
     return _voting(models, strengths, classes)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
@@ -17,7 +18,7 @@ from lopside.operators.folds import stratified_folds
 from lopside.operators.prep import categorical_columns, levels, sanitize_names
 from lopside.operators.resample import resample
 from lopside.operators.resample.common import class_sizes
-from lopside.session import pin
+from lopside.session import pin, shared_folder
 from lopside.sources.kb import STORED_AS
 
 # The portfolios in force for two classes and for more.
@@ -65,7 +66,7 @@ def encoded(ds: Dataset) -> Dataset:
 
 
 def evaluate(points: DataFrame, resamplers: list[str], classifiers: list[str], folds: int = 10, repeats: int = 3,
-             seed: int = SEED, effort: Effort = Effort(), parallelism: int = 4) -> Outcome:
+             seed: int = SEED, effort: Effort = Effort(), parallelism: int = 8) -> Outcome:
     """Out-of-fold predictions of every combination.
 
     Only training parts are resampled, once per (resampler, fold) for all
@@ -78,6 +79,7 @@ def evaluate(points: DataFrame, resamplers: list[str], classifiers: list[str], f
     problem = "multiclass" if len(classes) > 2 else "binary"
     positive = classes[-1] if problem == "binary" else None
     dealt = pin(stratified_folds(points, "label", "id", folds, repeats, seed))
+    spark, folder = points.sparkSession, f"{shared_folder(points.sparkSession)}/lopside/{uuid.uuid4().hex}"
     spent: dict[tuple[str, str], float] = {(b, c): 0.0 for b in resamplers for c in classifiers}
     failed: dict[tuple[str, str], str] = {}
 
@@ -85,33 +87,30 @@ def evaluate(points: DataFrame, resamplers: list[str], classifiers: list[str], f
         balancing, repeat, fold = task
         mine = dealt.filter(F.col("repeat") == repeat)
         test = mine.filter(F.col("fold") == fold).select("id", "label", "x")
-        parts = []
         start = time.time()
         try:
             train = pin(resample(mine.filter(F.col("fold") != fold).select("id", "label", "x"), balancing, seed).select("id", "label", "x"))
         except Exception as e:  # noqa: BLE001 - any failure is a result here
             for c in classifiers:
                 failed[balancing, c] = f"{type(e).__name__}: {e}"
-            return parts
+            return
         prepared = time.time() - start
         for c in classifiers:
             start = time.time()
             try:
                 out = CLASSIFIERS[c](train, classes, seed, effort)(test)
-                out = pin(out.select(F.lit(balancing).alias(RUN[0]), F.lit(c).alias(RUN[1]), F.lit(repeat).alias("repeat"), F.lit(fold).alias("fold"), "id", "y", "yhat", "scores"))
-                parts.append(out)
+                out = out.select(F.lit(balancing).alias(RUN[0]), F.lit(c).alias(RUN[1]), F.lit(repeat).alias("repeat"), F.lit(fold).alias("fold"), "id", "y", "yhat", "scores")
+                out.write.parquet(f"{folder}/{uuid.uuid4().hex}")
+                written.append(out.schema)
                 spent[balancing, c] += prepared + time.time() - start
             except Exception as e:  # noqa: BLE001
                 failed[balancing, c] = f"{type(e).__name__}: {e}"
-        return parts
 
     tasks = [(b, r, f) for b in resamplers for r in range(repeats) for f in range(folds)]
+    written: list = []
     with ThreadPool(max(1, parallelism)) as pool:
-        parts = [p for got in pool.map(one, tasks, chunksize=1) for p in got]
-    predictions = None
-    for p in parts:
-        predictions = p if predictions is None else predictions.unionByName(p)
-    spark = points.sparkSession
+        pool.map(one, tasks, chunksize=1)
+    predictions = spark.read.schema(written[0]).parquet(f"{folder}/*") if written else None
     rows = [(b, c, "failed" if (b, c) in failed else "success", failed.get((b, c)), round(t, 3)) for (b, c), t in spent.items()]
     runs = spark.createDataFrame(rows, "`pre processing` string, algorithm string, status string, error string, time double")
     if predictions is not None:

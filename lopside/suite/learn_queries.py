@@ -14,8 +14,6 @@ from lopside.session import pin
 from lopside.suite.base import EMBEDDED, embedded, labelled_documents, query, roles
 from lopside.suite.resample_queries import SIZES
 
-LIGHT = Effort(trees=5, rounds=5, members=3, depth=5, iterations=20)
-
 
 def held_out(spark, sf, source):
     p = pin(holdout(source(spark, sf).points(), "id"))
@@ -26,7 +24,7 @@ def held_out(spark, sf, source):
 def accuracy_of(name, source):
     def go(spark, sf):
         train, test = held_out(spark, sf, source)
-        out = CLASSIFIERS[name](train, sorted(class_sizes(train)), 42, LIGHT)(test)
+        out = CLASSIFIERS[name](train, sorted(class_sizes(train)), 42, Effort())(test)
         return out.groupBy("y", "yhat").agg(F.count(F.lit(1)).alias("n"))
     return go
 
@@ -58,38 +56,38 @@ def nearest_neighbours(spark, sf):
 
 @query("cross_validate")
 def cross_validate(spark, sf):
-    out = ev.evaluate(labelled_documents(spark, sf).points(), ["RandomUnderSampler"], ["GaussianNB"], folds=3, repeats=1, effort=LIGHT)
+    out = ev.evaluate(labelled_documents(spark, sf).points(), ["RandomUnderSampler"], ["GaussianNB"])
     return ev.fold_scores(out)
 
 
 @query("cross_validate_multiclass")
 def cross_validate_multiclass(spark, sf):
-    out = ev.evaluate(roles(spark, sf).points(), ["RandomOverSampler"], ["GaussianNB"], folds=3, repeats=1, effort=LIGHT)
+    out = ev.evaluate(roles(spark, sf).points(), ["RandomOverSampler"], ["GaussianNB"])
     return ev.fold_scores(out)
 
 
 @query("fault_isolation")
 def fault_isolation(spark, sf):
     # the default cluster condition is met nowhere in this table, so that run fails and the other stands
-    out = ev.evaluate(labelled_documents(spark, sf).points(), ["KMeansSMOTE", "(no pre processing)"], ["GaussianNB"], folds=2, repeats=1, effort=LIGHT)
+    out = ev.evaluate(labelled_documents(spark, sf).points(), ["KMeansSMOTE", "(no pre processing)"], ["GaussianNB"])
     return out.runs.select("pre processing", "algorithm", "status")
 
 
 @query("single_combination_by_fold")
 def single_combination(spark, sf):
-    out = ev.evaluate(labelled_documents(spark, sf).points(), ["RandomOverSampler"], ["GaussianNB"], folds=3, repeats=1, effort=LIGHT)
+    out = ev.evaluate(labelled_documents(spark, sf).points(), ["RandomOverSampler"], ["GaussianNB"])
     return ev.final_by_fold(out, "documents", "LM").drop("time")
 
 
 @query("evaluate_without_resampling")
 def without_resampling(spark, sf):
-    return assess_plain(labelled_documents(spark, sf), classifiers=["GaussianNB"], folds=3, repeats=1, effort=LIGHT).drop("time")
+    return assess_plain(labelled_documents(spark, sf), classifiers=["GaussianNB"]).drop("time")
 
 
 @query("best_combination")
 def best_combination(spark, sf):
     """Which of 2 x 2 combinations has the best composite for the documents' quality labels."""
-    rows, _, kind = assess(labelled_documents(spark, sf), ["SMOTE", "RandomUnderSampler"], ["GaussianNB", "LogisticRegression"], folds=3, repeats=1, effort=LIGHT)
+    rows, _, kind = assess(labelled_documents(spark, sf), ["SMOTE", "RandomUnderSampler"], ["GaussianNB", "LogisticRegression"])
     numbered = rows.withColumn("no", F.when(F.col("pre processing") == "SMOTE", 0).otherwise(1))
     return best_runs(numbered, kind, "no").select("dataset", "pre processing", "algorithm", "balanced accuracy", "roc auc")
 
@@ -97,11 +95,11 @@ def best_combination(spark, sf):
 @query("no_leakage", f"""
 WITH {EMBEDDED}, {SIZES} SELECT 0::bigint AS tested_twice, 0::bigint AS synthetic_rows_tested, count(*) AS tested FROM pts""")
 def no_leakage(spark, sf):
-    """Out-of-fold predictions cover every row once and no row made by a resampler."""
+    """Out-of-fold predictions of a repeat cover every row once and no row made by a resampler."""
     p = pin(embedded(spark, sf).points())
-    out = ev.evaluate(p, ["SMOTE"], ["GaussianNB"], folds=3, repeats=1, effort=LIGHT)
-    seen = pin(out.predictions.select("id"))
-    twice = seen.groupBy("id").count().filter("count > 1")
+    out = ev.evaluate(p, ["SMOTE"], ["GaussianNB"])
+    seen = pin(out.predictions.select("repeat", "id"))
+    twice = seen.groupBy("repeat", "id").count().filter("count > 1")
     return seen.agg(
         F.lit(twice.count()).cast("bigint").alias("tested_twice"),
         F.count(F.when(F.col("id") < 0, 1)).alias("synthetic_rows_tested"), F.countDistinct("id").alias("tested"),
