@@ -19,7 +19,7 @@ from lopside.operators.prep import problem_type
 from lopside.session import pin
 from lopside.sources import kb as store
 from lopside.sources.kb import KnowledgeBase
-from lopside.sources.tables import batch_summary, list_csv, load
+from lopside.sources.tables import list_csv, load
 
 
 def assess(ds: Dataset, resamplers: list[str] | None = None, classifiers: list[str] | None = None, folds: int = 10,
@@ -108,7 +108,3 @@ def learn_folder(spark: SparkSession, folder: str, base: KnowledgeBase, **option
         except Exception:  # noqa: BLE001 - reported, not raised
             rows.append((name, "failed", traceback.format_exc(limit=-1)))
     return spark.createDataFrame(rows, "dataset string, status string, error string")
-
-
-def summary(statuses: DataFrame) -> DataFrame:
-    return batch_summary(statuses)

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lopside.operators.ranks import hash_rank
-from lopside.sources.kb import prune
 
 # The names dropped while the portfolio was reduced.
 WEAK_RESAMPLERS = [
@@ -54,10 +53,6 @@ def reduce_portfolio(full: DataFrame, column: str, row_id: str, share: float = 0
     return full.join(sums.filter(F.col("score") <= cut).select(column), column, "left_semi")
 
 
-def drop_weak(full: DataFrame) -> DataFrame:
-    return prune(prune(full, "pre processing", WEAK_RESAMPLERS), "algorithm", WEAK_CLASSIFIERS)
-
-
 def dataset_counts(full: DataFrame) -> DataFrame:
     return full.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
 

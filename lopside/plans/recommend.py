@@ -127,6 +127,7 @@ def report(best: DataFrame) -> DataFrame:
     return lines.orderBy("rank").select("rank", report_line(F.col("r"), F.col("p"), F.col("a")).alias("line"))
 
 
+# Fixed value: the report's title.
 TITLE = "Top performing combinations of Pre Processing Technique with a Classifier Algorithm"
 
 

@@ -272,6 +272,16 @@ BEST = f"""best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dat
   FROM {{src}}) WHERE r = 1)"""
 
 
+_FIVE = ", ".join(f'"{m}"' for m in kb.BINARY_METRICS)
+
+
+@query("row_score_and_deviation", f"""
+WITH {FULL} SELECT o_orderkey, "final score" AS score, {r3(f"list_stddev_pop([{_FIVE}])")} AS deviation FROM full_kb""")
+def row_score(spark, sf):
+    scored = kb.score_rows(full_results(spark, sf).drop("final score"))
+    return scored.select("o_orderkey", F.col("final score").alias("score"), F.col("final score std").alias("deviation"))
+
+
 @query("best_run_per_dataset", f"""
 WITH {FULL}, {BEST.format(src='full_kb')} SELECT dataset, "pre processing", algorithm, "final score" FROM best""")
 def best_run(spark, sf):
