@@ -16,6 +16,8 @@ from lopside.llm.names import fresh
 from lopside.session import pin
 
 GRAM = 3
+#: Bytes of text cut into lines at a time: each code point takes some twenty words of memory on the way.
+LINE_BYTES = 1 << 18
 FILTER_BITS = 1 << 26
 
 
@@ -150,7 +152,7 @@ def _keyed(k: int, least: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for batch in batches:
-            for part, data, offsets in tx.chunks(batch):
+            for part, data, offsets in tx.chunks(batch, limit=LINE_BYTES):
                 cut = Cut(data, offsets)
                 codes, first = hashes.over(cut.symbols, 0)
                 _, second = hashes.over(cut.symbols, 1)
@@ -174,7 +176,7 @@ def _occurrences(bits: bytes | None, least: int):
         hashes = Hashes()
         marked = None if bits is None else np.frombuffer(bits, np.uint8)
         for batch in batches:
-            for part, data, offsets in tx.chunks(batch):
+            for part, data, offsets in tx.chunks(batch, limit=LINE_BYTES):
                 cut = Cut(data, offsets)
                 high, low = (hashes.over(cut.symbols, w)[1](cut.start, cut.end) for w in (0, 1))
                 lines = [None] * len(high)

@@ -163,7 +163,7 @@ class Mix:
         begin = F.greatest(F.col("start"), F.col("block") * self.length)
         stop = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * self.length)
         cut = cut.select("*", (begin - F.col("start")).alias("skip"), (stop - begin).alias("words"))
-        return cut.join(used, ["source_no", "block"], "left").drop("block").fillna(0, ["uses"])
+        return cut.join(used.hint("merge"), ["source_no", "block"], "left").drop("block").fillna(0, ["uses"])
 
     def taken(self) -> DataFrame:
         """doc_id, size, source_size, target, taken of every row."""

@@ -1,6 +1,6 @@
 """Words, lines and rolling hashes of many texts at once, as numpy arrays over their UTF-8 bytes.
 
-A word is a run of bytes other than 0x20 and 0x09-0x0D. Texts are handled in chunks of about a
+A word is a run of bytes other than 0x20 and 0x09-0x0D. Texts are handled in chunks of about half a
 megabyte, so a task's memory does not depend on how many rows an Arrow batch holds; one longer text
 is a chunk of its own. A null text counts as empty.
 """
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 U64 = np.uint64
 
 
@@ -47,7 +47,7 @@ class Roll:
 
     def _reach(self, n: int) -> None:
         if len(self.up) < n:
-            n = max(n, 2 * CHUNK_BYTES)
+            n = 1 << (n - 1).bit_length()
             self.up, self.down = (np.cumprod(np.concatenate([np.ones(1, U64), np.full(n - 1, b, U64)])) for b in (self.base, self.inverse))
 
     def sums(self, symbols: np.ndarray) -> np.ndarray:

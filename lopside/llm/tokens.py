@@ -128,7 +128,7 @@ def _counted(names: list[bytes], logs: np.ndarray):
         roll = tx.Roll()
         pieces = Pieces(names, logs, roll)
         for batch in batches:
-            for part, data, offsets in tx.chunks(batch, limit=4 * tx.CHUNK_BYTES):
+            for part, data, offsets in tx.chunks(batch, limit=8 * tx.CHUNK_BYTES):
                 start, end, bounds = tx.words(data, offsets)
                 word = roll.spans(roll.sums(tx.byte_codes(seed=1)[data]), start, end)
                 _, sample, inverse = np.unique(word, return_index=True, return_inverse=True)

@@ -8,7 +8,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -131,11 +130,14 @@ class Model:
 
 
 def _contexts(texts: list[str]) -> Counter:
-    pairs = set()
+    """How many different words each word comes after."""
+    number: dict[bytes, int] = {}
+    pairs = [np.zeros(0, dtype=np.int64)]
     for text in texts:
-        words = words_of(text)
-        pairs.update(zip([b"", *words], words))
-    return Counter(w for _, w in pairs)
+        at = np.array([number.setdefault(w, len(number)) for w in words_of(text)], dtype=np.int64)
+        pairs.append(np.unique((np.concatenate([[0], at[:-1] + 1])[: len(at)] << 32) | at))
+    counts = np.bincount(np.unique(np.concatenate(pairs)) & 0xFFFFFFFF, minlength=len(number))
+    return Counter(dict(zip(number, counts.tolist())))
 
 
 def _evidence(a: int, n: int, b: int, m: int) -> float:
@@ -248,9 +250,11 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` that the model does not call toxic, with all their columns."""
 
-    @F.pandas_udf("boolean")
-    def calls(texts: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
-        return texts.map(lambda t: score(t)[1] >= 0.5).astype(bool)
+        for batch in batches:
+            for part, data, offsets in tx.chunks(batch):
+                kept = np.array([score(t)[1] < 0.5 for t in tx.decoded(data, offsets)], dtype=bool)
+                yield part.filter(pa.array(kept))
 
-    return docs.filter(~calls(F.coalesce("text", F.lit(""))))
+    return docs.mapInArrow(run, docs.schema)
