@@ -272,7 +272,7 @@ def duplicates(docs: DataFrame, max_edits: int = 1, min_chars: int = 20) -> Data
     sample = keys(np.zeros(0, dtype=np.int64), lambda at, size: at.astype(np.uint64), k, least)
     own, probe = [f"own_{i}" for i in range(len(sample[0]))], [f"probe_{i}" for i in range(len(sample[1]))]
     names = ["high", "low", "sketch", *own, *probe]
-    keyed = texts.filter("doc_id is not null").mapInArrow(_keyed(k, least, names), "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    keyed = texts.filter("doc_id is not null").mapInArrow(tx.trimmed(_keyed(k, least, names)), "doc_id long, " + ", ".join(f"{n} long" for n in names))
     distinct = pin(keyed.groupBy("high", "low").agg(*[F.min(n).alias(n) for n in names[2:]]))
     index = distinct.select(F.explode(F.array(*own)).alias("key"), "high", "sketch").alias("a")
     asked = distinct.select(F.explode(F.array(*probe)).alias("key"), "high", "sketch").filter("key is not null").alias("b")
@@ -282,15 +282,15 @@ def duplicates(docs: DataFrame, max_edits: int = 1, min_chars: int = 20) -> Data
 
     wanted = pairs.select(F.col("a").alias("high")).union(pairs.select(F.col("b").alias("high"))).distinct()
     marked = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    for at, byte in wanted.mapInArrow(_marks, "at long, byte short").groupBy("at").agg(F.bit_or("byte").alias("byte")).toLocalIterator():
+    for at, byte in wanted.mapInArrow(tx.trimmed(_marks), "at long, byte short").groupBy("at").agg(F.bit_or("byte").alias("byte")).toLocalIterator():
         marked[at] = byte & 255  # at most a row per byte of the filter
-    seen = pin(texts.mapInArrow(_occurrences(marked.tobytes() if marked.any() else None, least), OCCURRENCES))
+    seen = pin(texts.mapInArrow(tx.trimmed(_occurrences(marked.tobytes() if marked.any() else None, least)), OCCURRENCES))
 
     lines = seen.filter("line is not null and doc_id is not null").join(wanted, "high", "left_semi").groupBy("high", "low").agg(F.min("line").alias("line"))
     lines = pin(lines)
     side = lambda s: lines.select(F.col("high").alias(f"{s}_high"), F.col("low").alias(f"{s}_low"), F.col("line").alias(f"{s}_line"))
     both = pairs.join(side("a"), F.col("a") == F.col("a_high")).join(side("b"), F.col("b") == F.col("b_high"))
-    links = pin(both.select("a_high", "a_low", "a_line", "b_high", "b_low", "b_line").mapInArrow(_confirmed(k), "a_high long, a_low long, b_high long, b_low long"))
+    links = pin(both.select("a_high", "a_low", "a_line", "b_high", "b_low", "b_line").mapInArrow(tx.trimmed(_confirmed(k)), "a_high long, a_low long, b_high long, b_low long"))
     a, b = F.struct(F.col("a_high").alias("high"), F.col("a_low").alias("low")), F.struct(F.col("b_high").alias("high"), F.col("b_low").alias("low"))
     ends = links.select(a.alias("u"), b.alias("v"))
     linked = ends.union(ends.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().groupBy(F.col("u").alias("node")).agg(F.count("*").alias("n_links"))
@@ -304,7 +304,7 @@ def duplicates(docs: DataFrame, max_edits: int = 1, min_chars: int = 20) -> Data
     none = F.lit(None).cast("long")
     bare = seen.filter("place < 0").select("doc_id", "place", none.alias("class_high"), none.alias("class_low"), none.alias("class_doc"), none.alias("n_links"))
     told = told.select(bare.columns).union(bare).repartition("doc_id").sortWithinPartitions("doc_id", "place")
-    return told.mapInArrow(_verdicts(), "doc_id long, n_lines long, n_dropped long, n_links long, first_docs array<long>, dropped array<int>")
+    return told.mapInArrow(tx.trimmed(_verdicts()), "doc_id long, n_lines long, n_dropped long, n_links long, first_docs array<long>, dropped array<int>")
 
 
 def without(docs: DataFrame, **how) -> DataFrame:

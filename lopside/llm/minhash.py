@@ -147,7 +147,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     wanted = heads.union(placed.select("center", "chunk", F.lit(1).alias("side"), F.col("doc").alias("doc_id")))
     placed = wanted.join(texts.hint("merge"), "doc_id").select("center", "chunk", "side", "doc_id", "text")
     placed = placed.repartition("center", "chunk").sortWithinPartitions("center", "chunk", "side", "doc_id")
-    return placed.mapInArrow(_confirm(size, percent), "u long, v long")
+    return placed.mapInArrow(tx.trimmed(_confirm(size, percent)), "u long, v long")
 
 
 BLOCK = 512
@@ -216,7 +216,7 @@ def crossing(members: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     placed = placed.select("key", "doc_id", "label", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
     block = ["key", "lo", "hi"]
     placed = placed.join(texts.hint("merge"), "doc_id").select(*block, "mine", "doc_id", "label", "text").repartition(*block).sortWithinPartitions(*block)
-    return placed.mapInArrow(_blocks(size, percent), "u long, v long").distinct()
+    return placed.mapInArrow(tx.trimmed(_blocks(size, percent)), "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 24, rows: int = 4) -> DataFrame:
@@ -235,7 +235,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
-    sketch = pin(texts.mapInArrow(_sketches(size, bands, rows), schema))
+    sketch = pin(texts.mapInArrow(tx.trimmed(_sketches(size, bands, rows)), schema))
     named = sketch.filter("doc_id is not null and n_shingles > 0")
     same = ["n_shingles", "set_a", "set_b"]
     classes = pin(named.groupBy(*same).agg(F.min("doc_id").alias("rep")))

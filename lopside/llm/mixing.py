@@ -143,7 +143,7 @@ class Mix:
         self.sources = spark.createDataFrame(listed, "source_no int, name string, source_size long, target double")
         numbered = sized.join(F.broadcast(self.sources), F.col("source").eqNullSafe(F.col("name"))).select("doc_id", "source_no", "size")
         ranged = numbered.repartitionByRange("source_no", "doc_id", "size").sortWithinPartitions("source_no", "doc_id", "size")
-        placed = ranged.withColumn("part", F.spark_partition_id()).mapInArrow(_starts(), "doc_id long, source_no int, size long, part int, inside long")
+        placed = ranged.withColumn("part", F.spark_partition_id()).mapInArrow(tx.trimmed(_starts()), "doc_id long, source_no int, size long, part int, inside long")
         placed = pin(placed)
         ends = placed.groupBy("source_no", "part").agg(F.max(F.col("inside") + F.col("size")).alias("words"))
         before = F.sum("words").over(_before())
@@ -152,7 +152,7 @@ class Mix:
         shards = max(1, math.ceil(int(quota.sum()) / per_shard))
         step = max(1, math.ceil(shards / 100_000))
         ranges = spark.range(0, shards, step, min(shards, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))).select("id", F.least(F.col("id") + step, F.lit(shards)).alias("stop"))
-        self.slots = ranges.mapInArrow(_slots(quota, blocks, per_shard, seed), "shard long, slot long, source_no int, block long")
+        self.slots = ranges.mapInArrow(tx.trimmed(_slots(quota, blocks, per_shard, seed)), "shard long, slot long, source_no int, block long")
 
     def pieces(self) -> DataFrame:
         """(doc_id, size, source_no, start, skip, words, uses): the words skip to skip + words - 1 of a document lie in

@@ -31,7 +31,13 @@ def encoder(model: str):
     import tiktoken
     from tokenizers import Tokenizer
 
-    slow, spec = Tokenizer.from_str(model), json.loads(model)
+    spec, loaded = json.loads(model), []
+
+    def slow(text: str) -> np.ndarray:
+        if not loaded:
+            loaded.append(Tokenizer.from_str(model))
+        return np.array(loaded[0].encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
     marks = [t["content"] for t in spec.get("added_tokens", [])]
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in shown]
@@ -43,13 +49,13 @@ def encoder(model: str):
     step = spec.get("pre_tokenizer") or {}
     usual = step.get("type") == "ByteLevel" and not step.get("add_prefix_space") and step.get("use_regex", True) and not spec.get("normalizer")
     if not (usual and made == sorted(made) and len(ranks) == len(made) + 256):
-        return lambda text: np.array(slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        return slow
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     fast, odd = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), re.compile(PLAIN)
 
     def encode(text: str) -> np.ndarray:
         if odd.search(text) or any(m in text for m in marks):
-            return np.array(slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+            return slow(text)
         return np.array(fast.encode_ordinary(text), dtype=np.uint32)
 
     return encode
@@ -89,7 +95,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
         model = file.read()
     schema = "row long, doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_pieces(model, capacity, end_id, keep_ids), schema)
+    return rows.mapInArrow(tx.trimmed(_pieces(model, capacity, end_id, keep_ids)), schema)
 
 
 def reduced(counts: dict[int, int], capacity: int) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
@@ -236,4 +242,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
     schema = pa.schema([(n, kinds.get(n, pa.int64())) for n in [*names, "sequence_id", "offset"]])
     spark_kinds = {"piece": "int", "ids": "array<int>"}
     spark_schema = ", ".join(f"`{n}` {spark_kinds.get(n, 'long')}" for n in [*names, "sequence_id", "offset"])
-    return ranked.select(*names, "rank").mapInArrow(_placed(plan(totals, capacity), names, schema), spark_schema)
+    return ranked.select(*names, "rank").mapInArrow(tx.trimmed(_placed(plan(totals, capacity), names, schema)), spark_schema)

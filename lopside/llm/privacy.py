@@ -182,7 +182,7 @@ class Disclosure:
         spark = docs.sparkSession
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         schema = "high long, low long, doc_id long, base string, n_email long, n_ip long, n_card long, n_phone long, contexts array<struct<entity:long,term:string,context:long>>"
-        self.rows = pin(texts.mapInArrow(_found(window), schema))
+        self.rows = pin(texts.mapInArrow(tx.trimmed(_found(window)), schema))
         contexts = self.rows.select(F.explode("contexts").alias("c")).select("c.*").distinct()
         contexts = pin(contexts)
         values = contexts.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
@@ -195,12 +195,12 @@ class Disclosure:
         together = pin(together.join(values, "entity").join(beside, "term").filter(F.col("n_beside") <= most))
         terms = together.select("term").distinct()
         marked = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-        parts = terms.mapInArrow(_bits, "at long, byte short").groupBy("at").agg(F.bit_or("byte").alias("byte"))
+        parts = terms.mapInArrow(tx.trimmed(_bits), "at long, byte short").groupBy("at").agg(F.bit_or("byte").alias("byte"))
         for at, byte in parts.toLocalIterator():  # at most one row per byte of the filter
             marked[at] = byte & 255
         self.used = spark.createDataFrame([], USES)
         if marked.any():
-            used = texts.mapInArrow(_uses(marked.tobytes()), USES).join(terms, "term", "left_semi")
+            used = texts.mapInArrow(tx.trimmed(_uses(marked.tobytes())), USES).join(terms, "term", "left_semi")
             self.used = pin(used.dropDuplicates(["high", "low", "term"]))
         uses = self.used.select("term", F.explode("context").alias("context")).distinct().groupBy("term").agg(F.count("*").alias("n_term"))
         known = together.join(uses, "term").withColumn("n_term", F.greatest("n_term", "n_beside"))

@@ -141,4 +141,4 @@ def rated(docs: DataFrame, rules: Rules = Rules(), with_text: bool = False) -> D
     empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_rated(rules, with_text), SCHEMA + ", clean_text string" * with_text)
+    return rows.mapInArrow(tx.trimmed(_rated(rules, with_text)), SCHEMA + ", clean_text string" * with_text)

@@ -134,13 +134,13 @@ def digests(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     schema = DIGEST + ", part int, edge int, text string"
-    done = pin(rows.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(_in_order(), schema))
+    done = pin(rows.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(tx.trimmed(_in_order()), schema))
     edges = done.filter("edge is not null").select("doc_id", "part", "edge", "text")
     parts = sorted(r[0] for r in edges.select("part").distinct().collect())
     ring = [(p, e, p if e else parts[k - 1]) for k, p in enumerate(parts) for e in (0, 1)]
     ring = docs.sparkSession.createDataFrame(ring, "part int, edge int, seam int")  # two rows per range
     seams = edges.join(F.broadcast(ring), ["part", "edge"]).repartition("seam").sortWithinPartitions("seam", F.col("edge").desc())
-    seams = seams.select("doc_id", "edge", "text").mapInArrow(_across(), DIGEST)
+    seams = seams.select("doc_id", "edge", "text").mapInArrow(tx.trimmed(_across()), DIGEST)
     return done.filter("edge is null").select(seams.columns).unionByName(seams)
 
 

@@ -158,4 +158,4 @@ def counted(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """
     names, logs = vocabulary(vocabulary_path)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_counted(names, logs), "doc_id long, n_pretokens long, n_tokens long, log_score double")
+    return rows.mapInArrow(tx.trimmed(_counted(names, logs)), "doc_id long, n_pretokens long, n_tokens long, log_score double")

@@ -242,7 +242,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     empty result; a model fitted on no rows calls everything ordinary.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = rows.mapInArrow(_scored(model), "doc_id long, score double, evidence double")
+    out = rows.mapInArrow(tx.trimmed(_scored(model)), "doc_id long, score double, evidence double")
     held = F.coalesce(fold("doc_id") == 0, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
@@ -257,4 +257,4 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
                 kept = np.array([score(t)[1] < 0.5 for t in tx.decoded(data, offsets)], dtype=bool)
                 yield part.filter(pa.array(kept))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tx.trimmed(run), docs.schema)
