@@ -210,10 +210,15 @@ class Disclosure:
         verdict = F.when(F.max(F.col("pmi") / F.col("ic")) >= remove, "remove").otherwise("generalise")
         self.terms = pin(self.evidence.groupBy("term").agg(verdict.alias("action")))
 
-    def spans(self) -> DataFrame:
-        """doc_id, the counts and base of every row, and found: array of (term, action, start)."""
+    def spans(self, distinct: bool = False) -> DataFrame:
+        """doc_id, the counts and base of every row, and found: array of (term, action, start).
+
+        ``distinct``: without doc_id, a row for each text."""
         told = self.used.join(self.terms, "term").groupBy("high", "low").agg(F.collect_list(F.struct("term", "action", "start")).alias("found"))
-        return self.rows.drop("contexts").join(told, ["high", "low"], "left")
+        rows = self.rows.drop("contexts")
+        if distinct:
+            rows = rows.drop("doc_id").dropDuplicates(["high", "low"])
+        return rows.join(told, ["high", "low"], "left")
 
 
 def _digest(base, found):
@@ -238,13 +243,59 @@ def found(docs: DataFrame, **how) -> DataFrame:
 
 
 def cleaned(text: str, spans: str, generalised: set[str] = frozenset()) -> str:
-    """``text`` with every span replaced: base kinds by their name, terms by a general word or by nothing."""
+    """``text`` with every span replaced: base kinds by their name, terms by a general word or by nothing.
+
+    Of spans that overlap the first gives the name, and all that they cover goes."""
     edits = sorted((int(a), int(b), k) for k, a, b in (s.split(":") for s in spans.split(",") if s))
     out, at = [], 0
     for a, b, kind in edits:
         if a < at:
+            at = max(at, b)
             continue
         word = f"[{kind}]" if kind != "term" else "[something]" if folded(text[a:b]) in generalised else ""
         out += [text[at:a], word]
         at = b
     return "".join(out) + text[at:]
+
+
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("high", pa.int64()), ("low", pa.int64()), ("doc_id", pa.int64()), ("text", pa.string())])
+    for batch in batches:
+        for part, data, offsets in tx.chunks(batch):
+            high, low = zip(*map(_identity, tx.decoded(data, offsets)))
+            yield tx.batch_of(schema, high=high, low=low, doc_id=part.column("doc_id"), text=part.column("text"))
+
+
+SANITISED = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_term long, n_generalised long, n_removed long, text string"
+_COUNTS = ("n_email", "n_ip", "n_card", "n_phone")
+
+
+def _sanitised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    whole = {"long": pa.int64(), "string": pa.string()}
+    schema = pa.schema([(n, whole[t]) for n, t in (c.split() for c in SANITISED.split(", "))])
+    for batch in batches:
+        for part, data, offsets in tx.chunks(batch):
+            told = {n: [] for n in ("base_sha256", "spans", "n_term", "n_generalised", "n_removed", "text")}
+            empty = part.column("text").is_null().to_pylist()
+            for text, none, base, found in zip(tx.decoded(data, offsets), empty, part.column("base").to_pylist(), part.column("found").to_pylist()):
+                sha, spans, n_term = _digest(base, found)
+                general = {f["term"] for f in found or [] if f["action"] == "generalise"}
+                uses = [s.split(":") for s in spans.split(",") if s.startswith("term:")]
+                n_general = sum(folded(text[int(a) : int(b)]) in general for _, a, b in uses)
+                for column, value in zip(told.values(), (sha, spans, n_term, n_general, n_term - n_general, None if none else cleaned(text, spans, general))):
+                    column.append(value)
+            yield tx.batch_of(schema, doc_id=part.column("doc_id"), **{n: part.column(n) for n in _COUNTS}, **told)
+
+
+def sanitised(docs: DataFrame, **how) -> DataFrame:
+    """The columns of ``found``, n_generalised, n_removed and the sanitised text of every row of ``docs``.
+
+    Of the same spans that ``spans`` lists, values become the name of their kind, and a disclosing term becomes
+    "[something]" or goes, by its action; the two numbers count its uses. Equal texts share one row of
+    spans. A null text stays null; else as ``found``.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    told = Disclosure(docs, **how).spans(distinct=True)
+    named = texts.mapInArrow(tx.trimmed(_named), "high long, low long, doc_id long, text string")
+    both = named.join(told.hint("merge"), ["high", "low"])
+    return both.select("doc_id", "text", *_COUNTS, "base", "found").mapInArrow(tx.trimmed(_sanitised), SANITISED)

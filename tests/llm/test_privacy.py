@@ -82,3 +82,31 @@ def test_cleaned():
     text = "mail a@b.de or Quxland please"
     assert privacy.cleaned(text, "email:5:11,term:15:22") == "mail [email] or  please"
     assert privacy.cleaned(text, "email:5:11,term:15:22", {"quxland"}) == "mail [email] or [something] please"
+
+
+def test_overlapping_spans_go_whole():
+    assert privacy.cleaned("call a@1.2.3.4 now", "email:5:12,ip:7:14") == "call [email] now"
+
+
+def test_every_text_is_sanitised(spark):
+    rng = random.Random(6)
+    filler = lambda: " ".join(rng.choice(["the", "of", "river", "house", "walks", "green"]) for _ in range(12))
+    rows = [(k, f"{filler()} bob@site.org wrote zanzibarian notes {filler()}") for k in range(8)]
+    rows += [(100 + k, f"{filler()} user{k}@other.net wrote plain notes {filler()}") for k in range(40)]
+    rows += [(200, f"{filler()} zanzibarian notes again {filler()}"), (201, ""), (202, None), (100, rows[0][1]), (None, rows[1][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for how, word, column in (({"generalise": 0.6, "remove": 0.6}, "", "n_removed"), ({"generalise": 0.6, "remove": 2.0}, "[something]", "n_generalised")):
+        got = privacy.sanitised(docs, **how).collect()
+        want = [(d, t if t is None else re.sub(r"[a-z0-9]+@[a-z]+\.[a-z]+", "[email]", t).replace("zanzibarian", word)) for d, t in rows]
+        assert sorted((str(r.doc_id), str(r.text)) for r in got) == sorted((str(d), str(t)) for d, t in want)
+        assert all(r[column] == r.n_term for r in got) and sum(r.n_term for r in got) == 11
+        same = lambda rs: sorted((str(r.doc_id), r.n_email, r.base_sha256, r.spans, r.n_term) for r in rs)
+        assert same(got) == same(privacy.found(docs, **how).collect())
+
+
+def test_the_query_returns_sanitised_text(spark):
+    from lopside.llm.queries import QUERIES
+
+    rows = QUERIES["op3_information_theoretic_pii"](spark, "/root/testdata/sf0.001").collect()
+    assert any(r.n_email for r in rows)
+    assert not any(kind == "email" for r in rows for kind, _, _ in privacy.base_spans(r.text or ""))
