@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lopside.llm import text as tx
+from lopside.llm.graph import components
 from lopside.session import pin
 
 BITS = 128
@@ -173,10 +174,144 @@ def within(marks: DataFrame, queries: DataFrame, radius: int = 3, blocks: int =
     return met.groupBy(F.col("b.high").alias("high"), F.col("b.low").alias("low")).agg(F.sum("a.n").alias("n_within"))
 
 
-def fingerprinted(docs: DataFrame, radius: int = 3, every: int = 20) -> DataFrame:
+#: Bits that near copies of five-word Jaccard 0.8 lie apart; see README.
+WIDE = 23
+#: Held at once; each that is near takes some 200 bytes on the way.
+PAIRS_AT_ONCE = 1 << 17
+#: More than any block has.
+BLOCK_BITS = 48
+SPREAD = "at long, high long, low long, n long"
+LINKED = "a_high long, a_low long, b_high long, b_low long, n long"
+
+
+def _cuts(radius: int) -> np.ndarray:
+    """Starts of so many even blocks of the bits that within ``radius`` one of them differs in at most one bit."""
+    blocks = max(3, (radius + 2) // 2)  # three at least, as a block has to fit BLOCK_BITS
+    return np.arange(blocks) * BITS // blocks
+
+
+def _bits_of(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    return np.unpackbits(np.stack([low, high], axis=1).view(np.uint8), axis=1, bitorder="little")
+
+
+def _spread(radius: int):
+    """Under twice the number of each block and its bits, every fingerprint; under the odd number after those and those
+    with one bit turned, each that asks. So the probes of a key follow its fingerprints."""
+    schema = pa.schema([(n, pa.int64()) for n in ("at", "high", "low", "n")])
+    cuts = _cuts(radius)
+    sizes = np.diff(np.append(cuts, BITS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low_row in range(0, len(batch), 2000):
+                part = batch.slice(low_row, 2000)
+                high, low, n = (part.column(c).to_numpy() for c in ("high", "low", "n"))
+                asks = part.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+                bits = _bits_of(high, low).astype(np.int64)
+                for j, (cut, size) in enumerate(zip(cuts, sizes)):
+                    own = (bits[:, cut : cut + size] << np.arange(size)).sum(axis=1)
+                    yield tx.batch_of(schema, at=(j << BLOCK_BITS | own) << 1, high=high, low=low, n=n)
+                    turned = np.concatenate([[0], 1 << np.arange(size)])
+                    probes = (own[asks][:, None] ^ turned[None, :]).ravel()
+                    again = np.repeat(np.flatnonzero(asks), len(turned))
+                    yield tx.batch_of(schema, at=(j << BLOCK_BITS | probes) << 1 | 1, high=high[again], low=low[again], n=n[again])
+
+    return run
+
+
+def _joined(i: np.ndarray, j: np.ndarray, n: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest i of the component of each of ``n`` left and ``m`` right ends of the links (i, j); n where none is."""
+    left, right = np.arange(n), np.full(m, n)
+    while True:
+        np.minimum.at(right, j, left[i])
+        new = left.copy()
+        np.minimum.at(new, i, right[j])
+        if (new == left).all():
+            return left, right
+        left = new
+
+
+def _met(radius: int):
+    schema = pa.schema([(n, pa.int64()) for n in ("a_high", "a_low", "b_high", "b_low", "n")])
+    cuts = _cuts(radius)
+
+    def rows(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        a, b = a.view(np.int64), b.view(np.int64)
+        return tx.batch_of(schema, a_high=a[:, 0], a_low=a[:, 1], b_high=b[:, 0], b_low=b[:, 1], n=n)
+
+    def links(block: int, held: np.ndarray, number: np.ndarray, asked: np.ndarray) -> Iterator[pa.RecordBatch]:
+        step = max(1, PAIRS_AT_ONCE // len(asked))
+        for k in range(0, len(held), step):
+            b = held[k : k + step]
+            apart = np.bitwise_count(asked[:, None, 0] ^ b[None, :, 0]) + np.bitwise_count(asked[:, None, 1] ^ b[None, :, 1])
+            i, j = np.nonzero(apart <= radius)
+            x = asked[i] ^ b[j]
+            first = np.argmax(np.add.reduceat(_bits_of(x[:, 0], x[:, 1]), cuts, axis=1, dtype=np.uint8) <= 1, axis=1) == block
+            i, j = i[first], j[first]
+            if not len(i):
+                continue
+            sums = np.zeros(len(asked), dtype=np.int64)
+            np.add.at(sums, i, number[k : k + step][j])
+            own = np.flatnonzero(sums)
+            yield rows(asked[own], asked[own], sums[own])
+            left, right = _joined(i, j, len(asked), len(b))
+            on, met = np.flatnonzero(left < np.arange(len(asked))), np.flatnonzero(right < len(asked))
+            ends = np.concatenate([asked[on], b[met]])
+            yield rows(asked[np.concatenate([left[on], right[met]])], ends, np.zeros(len(ends), np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            at, number = batch.column("at").to_numpy(), batch.column("n").to_numpy()
+            both = np.stack([batch.column("high").to_numpy(), batch.column("low").to_numpy()], axis=1).view(np.uint64)
+            heads = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else at
+            for a, b in zip(heads, np.append(heads[1:], len(at))):
+                if at[a] >> 1 != key:
+                    key, held = at[a] >> 1, []
+                if not at[a] & 1:
+                    held.append((both[a:b], number[a:b]))
+                elif held:
+                    held = [tuple(map(np.concatenate, zip(*held)))] if len(held) > 1 else held
+                    for k in range(a, b, 256):
+                        yield from links(int(key >> BLOCK_BITS), *held[0], both[k : min(b, k + 256)])
+
+    return run
+
+
+def linked(marks: DataFrame, radius: int = WIDE) -> DataFrame:
+    """Rows of LINKED for ``marks`` (high, low, n, asks; distinct): the n of an a that asks sum to the rows of ``marks``
+    within ``radius`` bits of it, itself as well, and the (a, b) have the components that all such pairs have.
+
+    The bits are cut into so many blocks that at least one differs in at most one bit. For each block a fingerprint
+    stands under its bits there, and one that asks is held against those under its own bits and under each with one bit
+    turned. The whole distance is exact, and a pair counts in the first block in which it meets. Sums and the stars of
+    each block's components leave a task, never pairs.
+    """
+    spread = marks.select("high", "low", "n", "asks").mapInArrow(tx.trimmed(_spread(radius)), SPREAD)
+    spread = spread.repartition(F.shiftright("at", 1)).sortWithinPartitions("at")
+    return spread.mapInArrow(tx.trimmed(_met(radius)), LINKED)
+
+
+def classes(rows: DataFrame, every: int, radius: int) -> DataFrame:
+    """(high, low, n_near, class_id) for every distinct fingerprint of ``rows``; see ``fingerprinted``."""
+    marks = rows.groupBy("high", "low").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.coalesce(F.max(F.col("doc_id") % every == 0), F.lit(False)).alias("asks"))
+    marks = pin(marks)
+    links = pin(linked(marks, radius))
+    near = links.groupBy(F.col("a_high").alias("high"), F.col("a_low").alias("low")).agg((F.sum("n") - 1).alias("n_near"))
+    ends = links.select(F.struct(F.col("a_high").alias("high"), F.col("a_low").alias("low")).alias("u"), F.struct(F.col("b_high").alias("high"), F.col("b_low").alias("low")).alias("v"))
+    labels = components(ends.filter("u != v")).select("node.high", "node.low", "label")
+    named = marks.join(labels, ["high", "low"], "left").withColumn("label", F.coalesce("label", F.struct("high", "low")))
+    named = pin(named)
+    firsts = named.groupBy("label").agg(F.min("least").alias("class_id"))
+    return named.join(firsts, "label").join(near, ["high", "low"], "left").select("high", "low", "n_near", "class_id")
+
+
+def fingerprinted(docs: DataFrame, radius: int = 3, every: int = 20, wide: int = WIDE) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row of ``docs``,
     and for rows whose doc_id is divisible by ``every``: n_within, the other rows whose fingerprint is at most ``radius``
-    of 128 bits away.
+    of 128 bits away, and n_near, those at most ``wide`` bits away, which takes in near copies. class_id of every row is
+    the smallest doc_id of its class: rows of one fingerprint, and those within ``wide`` bits of a row that asks, are of
+    one class with it.
 
     The next document is the next in ascending (doc_id, hash of the text), after the last the first; an
     only row follows itself. A null text is empty. A null doc_id sorts first, stays null and asks nothing. Rows that share
@@ -185,8 +320,8 @@ def fingerprinted(docs: DataFrame, radius: int = 3, every: int = 20) -> DataFram
     rows = pin(digests(docs))
     asked = rows.filter(F.col("doc_id") % every == 0)
     near = within(rows, asked, radius)
-    out = rows.withColumn("asks", F.col("doc_id") % every == 0)
-    own = out.filter("asks").join(near, ["high", "low"]).withColumn("n_within", F.col("n_within") - 1)
-    rest = out.filter("asks is null or not asks").withColumn("n_within", F.lit(None).cast("long"))
-    columns = [n for n, _ in _FIELDS[:7]] + ["n_within"]
-    return own.select(columns).unionByName(rest.select(columns))
+    asks = F.col("doc_id") % every == 0
+    told = classes(rows, every, wide).join(near.withColumn("n_within", F.col("n_within") - 1), ["high", "low"], "left")
+    out = rows.join(told, ["high", "low"])
+    columns = [n for n, _ in _FIELDS[:7]]
+    return out.select(*columns, F.when(asks, F.col("n_within")).alias("n_within"), F.when(asks, F.col("n_near")).alias("n_near"), "class_id")

@@ -83,3 +83,63 @@ def test_weights_and_shared_halves():
     following = simhash.fingerprints(texts[1:], tx.Roll())
     assert simhash.likeness(a, b).mean() > simhash.likeness(a, following).mean() + 0.1
     assert (simhash.fingerprints(["same words here"] * 2, tx.Roll())[0] == simhash.fingerprints(["same words here", "x"], tx.Roll())[0]).all()
+
+
+def classes_of(docs, every, wide):
+    """n_near and class_id of each (doc_id, text) from all pairs."""
+    marks = simhash.fingerprints([t for _, t in docs], tx.Roll())
+    root = list(range(len(docs)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    near = {}
+    for k, (d, _) in enumerate(docs):
+        apart = np.bitwise_count(marks ^ marks[k]).sum(axis=1)
+        if d % every == 0:
+            near[d] = int((apart <= wide).sum()) - 1
+        for j in np.flatnonzero(apart <= (wide if d % every == 0 else 0)):
+            root[find(int(j))] = find(k)
+    least = {}
+    for k, (d, _) in enumerate(docs):
+        least[find(k)] = min(least.get(find(k), d), d)
+    return {d: (near.get(d), least[find(k)]) for k, (d, _) in enumerate(docs)}
+
+
+def test_near_copies_are_found_and_named(spark):
+    rng = random.Random(12)
+    docs = []
+    for k in range(0, 900, 3):
+        own = [f"w{rng.randrange(900)}" for _ in range(150)]
+        docs.append((k, " ".join(own)))
+        for n in (1, 2):
+            for _ in range(n):  # a changed word each, so 0.9 and more of the five-word shingles stay
+                own[rng.randrange(150)] = f"x{rng.randrange(900)}"
+            docs.append((k + n, " ".join(own)))
+    docs += [(5000 + k, "") for k in range(40)]
+    rows = simhash.fingerprinted(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()
+    got = {r.doc_id: (r.n_near, r.class_id) for r in rows}
+    assert got == classes_of(docs, 20, simhash.WIDE)
+    assert all(got[d] == (2, d - d % 3) for d in range(0, 900, 20))
+
+
+def test_wide_search_is_exact(spark):
+    rng = random.Random(13)
+    base, marks = [rng.getrandbits(128) for _ in range(10)], set()
+    for _ in range(500):
+        value = rng.choice(base)
+        for _ in range(rng.randrange(30)):
+            value ^= 1 << rng.randrange(128)
+        marks.add(value)
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    marks = sorted(marks)
+    row = lambda v: (signed(v >> 64), signed(v & (1 << 64) - 1))
+    table = spark.createDataFrame([(*row(v), 1 + k % 2, k % 3 == 0) for k, v in enumerate(marks)], "high long, low long, n long, asks boolean").repartition(3)
+    for radius in (1, 4, 23):
+        got = {}
+        for r in simhash.linked(table, radius).collect():
+            got[r.a_high, r.a_low] = got.get((r.a_high, r.a_low), 0) + r.n
+        near = lambda a, b: bin(a ^ b).count("1") <= radius  # noqa: B023, E731
+        assert got == {row(a): sum(1 + j % 2 for j, b in enumerate(marks) if near(a, b)) for k, a in enumerate(marks) if k % 3 == 0}
