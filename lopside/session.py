@@ -52,7 +52,18 @@ def pin(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lopside/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.pinned_at = path
+    return table
+
+
+def unpin(table: DataFrame) -> None:
+    """Delete the files of a table that ``pin`` returned, once nothing that is still to run reads it; others stay."""
+    path = getattr(table, "pinned_at", None)
+    if path is not None:
+        jvm = table.sparkSession._jvm
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 def parallelism(spark: SparkSession) -> int:
