@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lopside.llm import lines, minhash, mixing, packing, privacy, quality, simhash, tokens, toxicity, warc
+from lopside.llm import fim, lines, minhash, mixing, packing, privacy, quality, simhash, tokens, toxicity, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -93,6 +93,35 @@ def op1(spark, sf_dir):
     return lines.duplicates(table(spark, sf_dir, "documents"))
 
 
+@query(
+    "op11_fill_in_middle",
+    """WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS tokens, sha256('1:' || doc_id) AS hex
+  FROM documents),
+drawn AS (
+  SELECT *, len(tokens) AS n, list_transform([1, 9, 17, 25], lambda k: ('0x' || hex[k : k + 7])::bigint) AS h FROM cut),
+placed AS (
+  SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS low, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS high,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+      WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn),
+parts AS (
+  SELECT *, array_to_string(tokens[1:low], '') AS prefix, array_to_string(tokens[low + 1:high], '') AS middle, array_to_string(tokens[high + 1:], '') AS suffix
+  FROM placed)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+FROM parts""",
+)
+def op11(spark, sf_dir):
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
+@query("op13_vector_codes")
+def op13(spark, sf_dir):
+    return vectors.quantised(table(spark, sf_dir, "embeddings"))
+
+
 @query("pipeline")
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
