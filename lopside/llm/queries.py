@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lopside.llm import fim, lines, minhash, mixing, packing, privacy, quality, simhash, tokens, toxicity, vectors, warc
+from lopside.llm import fim, jaccard, lines, minhash, mixing, packing, privacy, quality, simhash, tokens, toxicity, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -117,6 +117,11 @@ def op11(spark, sf_dir):
     return fim.digests(table(spark, sf_dir, "documents"))
 
 
+@query("op12_ngram_jaccard_join")
+def op12(spark, sf_dir):
+    return jaccard.similar(table(spark, sf_dir, "documents"))
+
+
 @query("op13_vector_codes")
 def op13(spark, sf_dir):
     return vectors.quantised(table(spark, sf_dir, "embeddings"))
