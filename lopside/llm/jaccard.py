@@ -81,15 +81,15 @@ def prefixes(own: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndar
 
 
 def _short(hashes: np.ndarray) -> np.ndarray:
-    """32 bits of each hash, for filters that may err on the side of a candidate."""
-    return hashes.astype(np.uint32).view(np.int32)
+    """16 bits of each hash, for filters that may err on the side of a candidate."""
+    return hashes.astype(np.uint16).view(np.int16)
 
 
-SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, rare array<long>, low array<int>, high array<int>"
+SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, rare array<long>, low array<smallint>, high array<smallint>"
 
 
 def _sketched(size: int, percent: int, counts):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("rare", pa.list_(pa.int64())), ("low", pa.list_(pa.int32())), ("high", pa.list_(pa.int32()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("rare", pa.list_(pa.int64())), ("low", pa.list_(pa.int16())), ("high", pa.list_(pa.int16()))])
 
     def lists(arrays, dtype):
         ends = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
@@ -107,7 +107,7 @@ def _sketched(size: int, percent: int, counts):
                 firsts = [prefixes(sets[a:b], often, percent) if b > a else (sets[:0],) * 3 for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
                 rare, low, high = zip(*firsts)
                 yield tx.batch_of(schema, doc_id=part.column("doc_id"), n_shingles=np.diff(bounds), set_a=identity[0], set_b=identity[1],
-                                  rare=lists(rare, np.int64), low=lists([_short(a) for a in low], np.int32), high=lists([_short(a) for a in high], np.int32))
+                                  rare=lists(rare, np.int64), low=lists([_short(a) for a in low], np.int16), high=lists([_short(a) for a in high], np.int16))
 
     return run
 
@@ -154,15 +154,6 @@ def starred(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     return rows.mapInArrow(tx.trimmed(_starred(size, percent)), "u long, v long")
 
 
-def _overlaps(lists: list[np.ndarray]) -> np.ndarray:
-    """Which pairs of the given lists share an element, as a square of booleans."""
-    n = len(lists)
-    row = np.repeat(np.arange(n), [len(x) for x in lists])
-    _, column, times = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
-    shared = times[column] > 1
-    return _products(row[shared], (np.cumsum(times > 1) - 1)[column[shared]], n) > 0
-
-
 def _products(row: np.ndarray, column: np.ndarray, n: int, step: int = 4096) -> np.ndarray:
     """How many columns each two of n rows share, from the (row, column) ones of a 0/1 matrix, a strip of columns at a time."""
     order = np.argsort(column, kind="stable")
@@ -176,36 +167,83 @@ def _products(row: np.ndarray, column: np.ndarray, n: int, step: int = 4096) ->
     return both
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[tuple]]:
-    """Rows of one (key, lo, hi), which come sorted by them."""
-    at, held = None, []
-    for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("key", "lo", "hi", *columns))):
-            if row[:3] != at:
-                if len(held) > 1:
-                    yield held
-                at, held = row[:3], []
-            held.append(row)
-    if len(held) > 1:
-        yield held
+def _ragged(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column and each row's bounds in them."""
+    offsets = column.offsets.to_numpy()
+    return column.values.to_numpy(zero_copy_only=False), offsets
+
+
+def _shared(lists: tuple[np.ndarray, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For every pair (a, b) of rows whether their lists of 16- or 64-bit values have one in common."""
+    values, offsets = lists
+    _, number = np.unique(values, return_inverse=True)
+    low, size = offsets[:-1], np.diff(offsets)
+    wide = int(number.max(initial=0)) + 1
+    held = np.sort(np.repeat(np.arange(len(size)), size) * wide + number[low[0] : offsets[-1]]) if len(size) else number
+    pair = np.repeat(np.arange(len(a)), size[a])
+    at = np.arange(len(pair)) - np.repeat(np.cumsum(size[a]) - size[a], size[a]) + np.repeat(low[a], size[a])
+    want = b[pair] * wide + number[at]
+    place = np.minimum(np.searchsorted(held, want), max(len(held) - 1, 0))
+    hit = held[place] == want if len(held) else np.zeros(len(want), dtype=bool)
+    return np.bincount(pair[hit], minlength=len(a)) > 0
+
+
+def _pairs(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All (a, b), a < b, of rows of one group; groups are given by their first row and the one behind their last."""
+    row = np.concatenate([np.arange(x, y) for x, y in zip(first.tolist(), last.tolist())])
+    many = np.repeat(last, last - first) - row - 1
+    a = np.repeat(row, many)
+    return a, a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many)
+
+
+#: Pairs that are looked at together in one task.
+PAIRS = 1 << 17
 
 
 def _surviving(percent: int):
-    schema = pa.schema([(c, pa.int64()) for c in ("key", "lo", "hi", "mine", "doc_id", "label")])
+    """Of rows sorted by (key, lo, hi), those that have a partner in their block which only the full sets can rule out."""
+    out = ["key", "lo", "hi", "mine", "doc_id", "label"]
+
+    def judged(rows: pa.RecordBatch, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        a, b = _pairs(first, last)
+        label, n, mine, lo, hi = (rows.column(c).to_numpy() for c in ("label", "n_shingles", "mine", "lo", "hi"))
+        ok = (label[a] != label[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+        ok &= (lo[a] == hi[a]) | (mine[a] != mine[b])
+        a, b = a[ok], b[ok]
+        for column, want in (("smaller", False), ("low", True), ("high", True)):
+            ok = _shared(_ragged(rows.column(column)), a, b) == want
+            a, b = a[ok], b[ok]
+        return np.union1d(a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _grouped(batches, ["mine", "doc_id", "label", "n_shingles", "low", "high"]):
-            _, lo, hi, mine, doc, label, n, low, high = zip(*rows)
-            label, n, mine = np.array(label), np.array(n), np.array(mine)
-            ask = (label[:, None] != label[None, :]) & (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :]))
-            if lo[0] != hi[0]:
-                ask &= mine[:, None] != mine[None, :]
-            if ask.any():
-                for lists in (low, high):
-                    ask &= _overlaps([np.array(x, dtype=np.int64) for x in lists])
-            keep = [r for r, k in zip(rows, ask.any(axis=1)) if k]
-            if keep:
-                yield tx.batch_of(schema, **{c: [r[k] for r in keep] for k, c in enumerate(schema.names)})
+        left = None
+
+        def whole(rows: pa.RecordBatch, end: bool):
+            """The surviving rows of all blocks that are complete, and the rows of the last one unless it is the end."""
+            key = np.stack([rows.column(c).to_numpy() for c in ("key", "lo", "hi")])
+            cut = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+            first = np.concatenate([[0], cut])
+            last = np.append(cut, len(rows))
+            rest = len(rows) if end else int(first[-1])
+            first, last = first[last <= rest], last[last <= rest]
+            number = np.cumsum((last - first) * (last - first - 1) // 2)
+            found = []
+            for low in range(0, int(number[-1]) if len(number) else 0, PAIRS):
+                some = (number > low) & (number <= low + PAIRS) if low + PAIRS <= number[-1] else number > low
+                if some.any():
+                    found.append(judged(rows, first[some], last[some]))
+            keep = np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
+            return rows.select(out).take(pa.array(keep)), rows.slice(rest)
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            if left is not None and len(left):
+                batch = pa.Table.from_batches([left, batch]).combine_chunks().to_batches()[0]
+            kept, left = whole(batch, False)
+            yield kept
+        if left is not None and len(left):
+            yield whole(left, True)[0]
 
     return run
 
@@ -260,18 +298,21 @@ def _linked(size: int, percent: int):
 def crossing(members: DataFrame, sketch: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (u, v) between members (key, doc, label, n_shingles) of one key and different labels, confirmed on full sets.
 
-    A key's members are cut into chunks and every two chunks meet in a block. There the other orders' prefixes come
-    first: a member that shares them with none of the block leaves. Only those left are joined with their texts; of
-    their links a block gives out a spanning forest.
+    A key's members are cut into chunks and every two chunks meet in a block. There the cheap tests come first: two
+    members are asked about only under the smallest key they share, and only if they share shingles in the other two
+    orders. Members with such a partner are joined with their texts; of their links a block gives out a spanning forest.
     """
     parts = members.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("parts"))
     parts = pin(parts.filter("parts > 1"))
+    own = members.groupBy("doc", "label", "n_shingles").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # no more than its prefix
+    own = pin(own.join(sketch.select(F.col("doc_id").alias("doc"), "low", "high").hint("merge"), "doc"))
+    placed = own.select("*", F.posexplode("keys").alias("pos", "key")).withColumn("smaller", F.slice("keys", 1, F.col("pos"))).drop("keys", "pos")
     many = F.coalesce("parts", F.lit(1).cast("long"))
-    placed = members.join(parts, "key", "left").withColumn("mine", F.pmod(F.xxhash64("doc"), many))
+    placed = placed.join(parts, "key", "left").withColumn("mine", F.pmod(F.xxhash64("doc"), many))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), many - 1)))
-    placed = placed.select("key", "label", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), F.col("doc").alias("doc_id"), "n_shingles")
+    placed = placed.select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", F.col("doc").alias("doc_id"), "label", "n_shingles", "smaller", "low", "high")
     block = ["key", "lo", "hi"]
-    placed = placed.join(sketch.select("doc_id", "low", "high").hint("merge"), "doc_id").repartition(*block).sortWithinPartitions(*block)
+    placed = placed.repartition(*block).sortWithinPartitions(*block)
     left = pin(placed.mapInArrow(tx.trimmed(_surviving(percent)), "key long, lo long, hi long, mine long, doc_id long, label long"))
     rows = left.join(texts.hint("merge"), "doc_id").select(*block, "mine", "doc_id", "label", "text").repartition(*block).sortWithinPartitions(*block)
     return rows.mapInArrow(tx.trimmed(_linked(size, percent)), "u long, v long").distinct()
