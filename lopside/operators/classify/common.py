@@ -27,7 +27,9 @@ class Effort:
     trees: int = 100       # trees of a forest, steps of a boosted model
     rounds: int = 50       # rounds of AdaBoost and RUSBoost
     members: int = 10      # members of a bagged or balanced ensemble
-    depth: int = 12        # depth limit of otherwise unlimited trees
+    depth: int = 30        # depth limit of Spark's own trees, the largest it allows; grown trees have none
+    cuts: int = 16         # random cut points per feature and node of a grown forest
+    waves: int = 512       # random features that stand for a Gaussian kernel
     iterations: int = 100  # steps of linear solvers
 
 

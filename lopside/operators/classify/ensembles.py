@@ -6,13 +6,16 @@ import math
 from multiprocessing.pool import ThreadPool
 from typing import NamedTuple
 
-from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lopside.functions.draws import SEED
 from lopside.operators.classify.common import Effort, Predictor, classifier, output, ready
+from lopside.operators.classify.grower import Plan
+from lopside.operators.classify.single import grown, root_of
+from lopside.operators.resample.common import class_sizes
 from lopside.operators.resample.under import random_under
 from lopside.session import pin
 
@@ -154,10 +157,13 @@ def balanced_bagging(train: DataFrame, classes: list[str], seed: int = SEED, eff
 
 @classifier("BalancedRandomForestClassifier")
 def balanced_forest(train: DataFrame, classes: list[str], seed: int = SEED, effort: Effort = Effort()) -> Predictor:
-    """Trees on bootstrapped balanced samples with a random feature subset per node."""
-    models = [
-        RandomForestClassifier(labelCol="y", numTrees=max(1, effort.trees // effort.members), maxDepth=effort.depth,
-                               featureSubsetStrategy="sqrt", seed=seed + b).fit(ready(sample, classes))
-        for b, sample in _samples(train, seed, effort.members)
-    ]
-    return _averaged(models, classes)
+    """Every tree on a balanced bootstrap of its own.
+
+    A row counts in a tree as often as a Poisson draw says whose mean is the smallest class size over that of its
+    class, so each class has about as many draws as the smallest; what is left of chance is evened out by class
+    weights. A node tries sqrt(d) features with ``effort.cuts`` random cuts each.
+    """
+    sizes = class_sizes(train)
+    few = min(sizes.values(), default=1)
+    share = tuple(few / sizes[c] if sizes.get(c) else 0.0 for c in classes)
+    return grown(train, classes, Plan(effort.trees, root_of(train), cuts=effort.cuts, share=share, seed=seed))

@@ -1,11 +1,13 @@
 """Spark ML classifiers under the names of the portfolio, and nearest-neighbour voting.
 
 The two external boosting libraries of the portfolio are represented by
-gradient-boosted-tree presets; the RBF machine by a linear one.
+gradient-boosted-tree presets; the kernel machine by random Fourier features.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import (
     GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier,
 )
@@ -13,8 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lopside.functions.draws import SEED
-from lopside.operators.classify.common import Effort, Predictor, classifier, fitted, score_map
+from lopside.operators.classify.common import Effort, Predictor, classifier, fitted, output, score_map
+from lopside.operators.classify.grower import Plan, grow, leaf_scores
+from lopside.operators.kernel import fourier_map
 from lopside.operators.neighbours import nearest
+from lopside.operators.resample.common import by_label
+from lopside.session import pin
 
 
 def _per_class(estimator, classes: list[str], weighted: bool = False):
@@ -59,12 +65,28 @@ def forest_baseline(train: DataFrame, classes: list[str], seed: int = SEED, effo
     return fitted(rf, train, classes)
 
 
+def grown(train: DataFrame, classes: list[str], plan: Plan) -> Predictor:
+    """A forest of unlimited depth, grown level by level."""
+    y = by_label({c: i for i, c in enumerate(classes)})
+    forest = grow(train.select("id", y.alias("y"), "x"), len(classes), plan)
+
+    def predict(test: DataFrame) -> DataFrame:
+        out = leaf_scores(test, forest)
+        first = F.array_position("votes", F.array_max("votes")) - 1
+        return output(out.withColumn("prediction", first), classes, F.col("votes"))
+
+    return predict
+
+
+def root_of(train: DataFrame) -> int:
+    """How many features a node tries: the square root of their number."""
+    return max(1, math.isqrt(train.agg(F.max(F.size("x"))).head()[0] or 1))
+
+
 @classifier("ExtraTreesClassifier")
 def extra_trees(train: DataFrame, classes: list[str], seed: int = SEED, effort: Effort = Effort()) -> Predictor:
-    """Extra-trees style: no bootstrap, few coarse split candidates per node."""
-    rf = RandomForestClassifier(labelCol="y", weightCol="weight", numTrees=effort.trees, maxDepth=effort.depth, maxBins=8, bootstrap=False,
-                                featureSubsetStrategy="sqrt", seed=seed)
-    return fitted(rf, train, classes, True)
+    """All rows in every tree, one random cut for each of sqrt(d) features of a node, classes of equal weight."""
+    return grown(train, classes, Plan(effort.trees, root_of(train), seed=seed))
 
 
 @classifier("BaggingClassifier")
@@ -85,7 +107,12 @@ def bayes(train: DataFrame, classes: list[str], seed: int = SEED, effort: Effort
 
 @classifier("SVC")
 def machine(train: DataFrame, classes: list[str], seed: int = SEED, effort: Effort = Effort()) -> Predictor:
-    return fitted(_per_class(LinearSVC(labelCol="y", maxIter=effort.iterations, regParam=0.01), classes), train, classes)
+    """A Gaussian kernel as random features, a hinge loss with cost 1 a row; one machine per class beyond two."""
+    train = pin(train.select("id", "label", "x"))
+    mapped = fourier_map(train, waves=effort.waves, seed=seed)
+    svc = LinearSVC(labelCol="y", maxIter=effort.iterations, regParam=1.0 / max(1, train.count()), standardization=False)
+    predict = fitted(_per_class(svc, classes), pin(mapped(train)), classes)
+    return lambda test: predict(mapped(test.select("id", "label", "x")))
 
 
 def vote(near: DataFrame) -> DataFrame:

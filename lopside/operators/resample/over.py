@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lopside.functions.draws import SEED, uniform
+from lopside.operators.kernel import fourier_map
 from lopside.operators.neighbours import distances, nearest, sum_over_all, _codes, _matrix
 from lopside.operators.ranks import hash_rank, running
 from lopside.operators.resample.common import (
@@ -222,9 +223,11 @@ def kmeans_smote(points: DataFrame, seed: int = SEED, clusters: int = 8, balance
 
 
 @resampler("SVMSMOTE")
-def svm_smote(points: DataFrame, seed: int = SEED, k: int = 5, m: int = 10, out_step: float = 0.5) -> DataFrame:
-    """New rows from the support rows of a linear SVM, one class against the rest.
+def svm_smote(points: DataFrame, seed: int = SEED, k: int = 5, m: int = 10, out_step: float = 0.5, waves: int = 512) -> DataFrame:
+    """New rows from the support rows of a machine with a Gaussian kernel, one class against the rest.
 
+    The kernel stands as ``waves`` random Fourier features before a linear solver; support rows are those of the class
+    whose margin is at most 1.
     Support rows whose m neighbours are all foreign are noise. Rows in danger
     (half or more foreign) move towards a class neighbour, safe ones away from it.
     """
@@ -233,13 +236,14 @@ def svm_smote(points: DataFrame, seed: int = SEED, k: int = 5, m: int = 10, out_
 
     sizes = class_sizes(points)
     out, start = originals(points), 0
+    lifted = pin(fourier_map(points, waves=waves, seed=seed)(points.select("id", "label", "x"))) if deficits(sizes) else None
     for c, need in deficits(sizes).items():
         few = points.filter(F.col("label") == c)
         ks = _clamped(sizes, [c], k)
-        vectors = points.withColumn("features", array_to_vector("x")).withColumn("y", (F.col("label") == c).cast("double"))
-        model = LinearSVC(labelCol="y", maxIter=100, regParam=0.01).fit(vectors)
+        vectors = lifted.select("id", array_to_vector("x").alias("features"), (F.col("label") == c).cast("double").alias("y"))
+        model = LinearSVC(labelCol="y", maxIter=100, regParam=1.0 / sum(sizes.values()), standardization=False).fit(vectors)
         mine = model.transform(vectors.filter(F.col("y") == 1.0))
-        support = mine.filter(vector_to_array("rawPrediction")[1] <= 1.0).select("id", "label", "x")
+        support = few.join(mine.filter(vector_to_array("rawPrediction")[1] <= 1.0).select("id"), "id", "left_semi").select("id", "label", "x")
         foreign = nearest(support, points, m).groupBy("id").agg(
             F.count(F.when(F.col("nlabel") != F.col("label"), 1)).alias("foreign"), F.count(F.lit(1)).alias("m")
         )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lopside.dataset import Dataset
 from lopside.operators.prep import numeric_columns
-from lopside.operators.profile import complexity, concept, itemset, landmarks, statistical, trees
+from lopside.operators.profile import complexity, concept, cover, density, itemset, landmarks, statistical, trees
 from lopside.operators.profile.scatter import scatter
 from lopside.operators.profile.summary import as_frame, summarise
 from lopside.plans.evaluate import encoded
@@ -41,6 +41,8 @@ def meta_features(ds: Dataset, groups: list[str] = GROUPS) -> dict[str, object]:
         found["f4"] = summarise(complexity.f4_values(points))
         found.update(complexity.neighbourhood(points))
         found["n1"] = complexity.border_share(points)
+        found["density"] = density.density(points)
+        found["t1"] = cover.cover_share(points)
         found["n4"] = complexity.interpolated_error(points)
         found.update(complexity.linearity(points))
     if "landmarking" in groups:

@@ -3,10 +3,11 @@
 from pyspark.sql import functions as F
 
 from lopside.operators.classify import CLASSIFIERS, Effort
-from lopside.operators.classify.single import vote
+from lopside.operators.classify.grower import Plan, grow
+from lopside.operators.classify.single import root_of, vote
 from lopside.operators.folds import holdout
 from lopside.operators.neighbours import nearest
-from lopside.operators.resample.common import class_sizes
+from lopside.operators.resample.common import by_label, class_sizes
 from lopside.plans import evaluate as ev
 from lopside.plans.learn import assess, assess_plain
 from lopside.plans.ranking import best_runs
@@ -32,7 +33,7 @@ def accuracy_of(name, source):
 _SNAKE = {
     "LGBMClassifier": "wide_boosting", "XGBClassifier": "regularised_boosting", "GradientBoostingClassifier": "gradient_boosting",
     "RandomForestClassifier": "random_forest", "RandomForestBaseline": "random_forest_baseline", "ExtraTreesClassifier": "extra_trees",
-    "BaggingClassifier": "bagging", "LogisticRegression": "logistic_regression", "GaussianNB": "gaussian_bayes", "SVC": "linear_machine",
+    "BaggingClassifier": "bagging", "LogisticRegression": "logistic_regression", "GaussianNB": "gaussian_bayes", "SVC": "kernel_machine",
     "AdaBoostClassifier": "adaboost", "RUSBoostClassifier": "rusboost", "EasyEnsembleClassifier": "easy_ensemble",
     "BalancedBaggingClassifier": "balanced_bagging", "BalancedRandomForestClassifier": "balanced_random_forest",
 }
@@ -42,6 +43,28 @@ query("classify_multiclass_forest")(accuracy_of("RandomForestClassifier", roles)
 query("classify_multiclass_boosting")(accuracy_of("GradientBoostingClassifier", roles))
 
 
+def tree_facts(train, classes, plan):
+    """Per tree: nodes, leaves, depth, root feature and cut, and the rows each class counts for at the root."""
+    forest = grow(train.select("id", by_label({c: i for i, c in enumerate(classes)}).alias("y"), "x"), len(classes), plan)
+    rows = [(*f, [int(n) for n in forest.counts[f[0]]]) for f in forest.facts()]
+    return train.sparkSession.createDataFrame(rows, "tree int, nodes int, leaves int, depth int, root_feature int, root_cut double, root_rows array<bigint>")
+
+
+@query("extra_trees_facts")
+def extra_trees_facts(spark, sf):
+    """A hundred trees of all labelled documents, grown until their leaves are pure."""
+    p = pin(labelled_documents(spark, sf).points())
+    return tree_facts(p, sorted(class_sizes(p)), Plan(100, root_of(p)))
+
+
+@query("balanced_forest_facts")
+def balanced_forest_facts(spark, sf):
+    p = pin(labelled_documents(spark, sf).points())
+    sizes = class_sizes(p)
+    share = tuple(min(sizes.values()) / sizes[c] for c in sorted(sizes))
+    return tree_facts(p, sorted(sizes), Plan(100, root_of(p), cuts=16, share=share))
+
+
 @query("classify_nearest_neighbours", f"""
 WITH {EMBEDDED}, tr AS (SELECT * FROM pts WHERE ('0x' || substr(md5('42|' || id::varchar), 1, 8))::bigint / 4294967296.0::double < 0.75),
 te AS (SELECT * FROM pts WHERE id NOT IN (SELECT id FROM tr)),

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lopside.dataset import Dataset
-from lopside.operators.profile import complexity, concept, itemset, landmarks, statistical, trees
+from lopside.operators.profile import complexity, concept, cover, density, itemset, landmarks, statistical, trees
 from lopside.operators.profile.scatter import scatter
 from lopside.operators.profile.summary import SUMMARIES, as_frame, summarise
 from lopside.session import pin
@@ -282,6 +282,28 @@ def neighbourhood(spark, sf):
     return numbers(spark, complexity.neighbourhood(points(spark, sf)), 6)
 
 
+@query("neighbourhood_density", f"""
+WITH {NEAR}, al AS (SELECT id, nid, same, d FROM pr UNION ALL SELECT id, id, true, 0 FROM sp),
+rk AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, nid) AS r FROM al), n AS (SELECT count(*) AS n FROM sp),
+ed AS (SELECT DISTINCT least(id, nid) AS a, greatest(id, nid) AS b FROM rk, n WHERE r <= floor(0.15 * n) AND same AND id <> nid)
+SELECT 'density' AS feature, round(1 - 2 * (SELECT count(*) FROM ed) / (n * (n - 1)::double), 6) AS value FROM n""")
+def neighbourhood_density(spark, sf):
+    return numbers(spark, {"density": density.density(points(spark, sf))}, 6)
+
+
+@query("hypersphere_cover", f"""
+WITH RECURSIVE {NEAR}, en AS MATERIALIZED (SELECT id, arg_min(nid, (d, nid)) AS nid, min(d) AS d FROM pr WHERE NOT same GROUP BY 1),
+e AS MATERIALIZED (SELECT x.id, x.nid, x.d, y.nid = x.id AS m FROM en x JOIN en y ON y.id = x.nid),
+ch AS (SELECT id, id AS cur, 0.0::double AS s, 1 AS g, false AS done FROM e
+  UNION ALL SELECT ch.id, e.nid, s + g * CASE WHEN m THEN d / 2 ELSE d END, -g, m FROM ch JOIN e ON e.id = ch.cur WHERE NOT done),
+ra AS MATERIALIZED (SELECT id, round(s, 9) AS r FROM ch WHERE done),
+ab AS (SELECT DISTINCT pr.id FROM pr JOIN ra q ON q.id = pr.id JOIN ra w ON w.id = pr.nid
+  WHERE (w.r > q.r OR (w.r = q.r AND w.id < q.id)) AND pr.d + q.r <= w.r + 1e-7)
+SELECT 't1' AS feature, round(1 - (SELECT count(*) FROM ab) / (SELECT count(*) FROM ra)::double, 6) AS value""")
+def hypersphere_cover(spark, sf):
+    return numbers(spark, {"t1": cover.cover_share(points(spark, sf))}, 6)
+
+
 @query("border_share")
 def border(spark, sf):
     return numbers(spark, {"n1": complexity.border_share(points(spark, sf))}, 6)
