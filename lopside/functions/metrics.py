@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lopside.functions.scalars import mean_of, round3
-from lopside.operators.ranks import running
+from lopside.operators.ranks import BUCKET_ROWS, running
+from lopside.session import pin
 
 # The score names of a run, by problem type.
 BINARY = ["balanced_accuracy", "f1", "roc_auc", "g_mean", "cohen_kappa"]
@@ -97,15 +98,19 @@ def label_scores(preds: DataFrame, by: list[str], positive: str | None = None) -
     return c.agg(*found)
 
 
-def _by_score(preds: DataFrame, by: list[str], positive: Column) -> DataFrame:
+def _by_score(preds: DataFrame, by: list[str], positive: Column, measures: list[str], rows: int | None, descending: bool = False) -> DataFrame:
+    """One row per score with its hits, misses and running totals; written and counted unless ``rows`` says they are few."""
     hit = F.when(positive, 1).otherwise(0)
-    return preds.groupBy(*by, "score").agg(F.sum(hit).alias("pos"), F.sum(1 - hit).alias("neg"))
+    freq = preds.groupBy(*by, "score").agg(F.sum(hit).alias("pos"), F.sum(1 - hit).alias("neg"))
+    if rows is None or rows > BUCKET_ROWS:
+        freq = pin(freq)
+        rows = freq.count()
+    return running(freq, by, "score", measures, rows, descending)
 
 
 def roc_auc(preds: DataFrame, by: list[str], positive: str, rows: int | None = None) -> DataFrame:
     """Exact area under the ROC curve, ties counted half; null with one class only."""
-    s = _by_score(preds, by, F.col("y") == F.lit(positive))
-    s = running(s, by, "score", ["neg"], preds.count() if rows is None else rows)
+    s = _by_score(preds, by, F.col("y") == F.lit(positive), ["neg"], rows)
     below = F.col("neg_upto") - F.col("neg")
     won = F.sum(F.col("pos") * (below + F.col("neg") / 2))
     pairs = F.sum("pos").cast("double") * F.sum("neg")
@@ -115,8 +120,7 @@ def roc_auc(preds: DataFrame, by: list[str], positive: str, rows: int | None = N
 
 def average_precision(preds: DataFrame, by: list[str], positive: str, rows: int | None = None) -> DataFrame:
     """Sum over score thresholds of precision times the gain in recall."""
-    s = _by_score(preds, by, F.col("y") == F.lit(positive))
-    s = running(s, by, "score", ["pos", "neg"], preds.count() if rows is None else rows, descending=True)
+    s = _by_score(preds, by, F.col("y") == F.lit(positive), ["pos", "neg"], rows, descending=True)
     gain = F.sum(F.col("pos").cast("double") * F.col("pos_upto") / (F.col("pos_upto") + F.col("neg_upto")))
     area = F.when(F.sum("pos") > 0, gain / F.sum("pos")).alias("average_precision")
     return s.groupBy(*by).agg(area) if by else s.agg(area)

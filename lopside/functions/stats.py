@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lopside.functions.scalars import ALPHA, verdict
-from lopside.operators.ranks import running
+from lopside.operators.ranks import BUCKET_ROWS, running
+from lopside.session import pin
 
 
 def erfc(x: Column) -> Column:
@@ -62,7 +63,10 @@ def wilcoxon(pairs: DataFrame, by: list[str], a: str = "a", b: str = "b", alpha:
     freq = diff.filter(d != 0).groupBy(*by, F.abs(d).alias("size")).agg(
         F.count(F.lit(1)).alias("n"), F.count(F.when(d > 0, 1)).alias("up")
     )
-    ranked = running(freq, by, "size", ["n"], pairs.count() if rows is None else rows)
+    if rows is None or rows > BUCKET_ROWS:
+        freq = pin(freq)
+        rows = freq.count()
+    ranked = running(freq, by, "size", ["n"], rows)
     ranked = ranked.withColumn("rank", F.col("n_upto") - (F.col("n") - 1) / 2)
     n = F.col("n").cast("double")  # cubes outgrow a bigint
     sums = ranked.groupBy(*by).agg(

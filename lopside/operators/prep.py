@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 from lopside.functions.draws import draw
 from lopside.functions.scalars import round3, safe_name
 from lopside.operators.quantiles import quantiles
-from lopside.operators.ranks import running
+from lopside.operators.ranks import PLAN_ROWS, running
+from lopside.session import pin
 
 MAX_LEVELS = 10_000
 
@@ -114,14 +115,17 @@ def encode_binary(df: DataFrame, target: str) -> DataFrame:
 def first_seen_codes(df: DataFrame, column: str, row_id: str) -> DataFrame:
     """(column, code): codes 0.. in order of first appearance by row id."""
     first = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.min(row_id).alias("first"))
-    first = first.withColumn("one", F.lit(1))
+    first = pin(first.withColumn("one", F.lit(1)))
     return running(first, [], "first", ["one"], first.count()).select(column, (F.col("one_upto") - 1).alias("code"))
 
 
 def factorize(df: DataFrame, column: str, row_id: str) -> DataFrame:
-    """Replace a column by its first-appearance code, -1 for null."""
-    codes = first_seen_codes(df, column, row_id)
-    out = df.join(codes, column, "left").withColumn(column, F.coalesce("code", F.lit(-1)))
+    """Replace a column by its first-appearance code, -1 for null.
+
+    Few codes are broadcast. Many are joined as a written table, so that the rows of a very common value can be split.
+    """
+    codes = pin(first_seen_codes(df, column, row_id))
+    out = df.join(F.broadcast(codes) if codes.count() <= PLAN_ROWS else codes, column, "left").withColumn(column, F.coalesce("code", F.lit(-1)))
     return out.select(df.columns)
 
 

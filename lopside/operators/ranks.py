@@ -2,20 +2,24 @@
 
 A class, dataset or run may hold most of the rows, so a window partitioned by
 it alone would sort them in a single task. Here the order key is first cut into
-buckets; bucket totals (a small table) give every bucket its offset, and the
-window runs inside one bucket.
+buckets, of its hash or of its range; bucket totals (a small table) give every
+bucket its offset, and the window runs inside one bucket.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lopside.functions.draws import SEED, SPAN, draw
+from lopside.session import pin
 
 BUCKET_ROWS = 500_000
+PLAN_ROWS = 100_000  # rows of a table of totals or codes that is broadcast, counted first
 
 
 def bucket_count(rows: int, bucket_rows: int = BUCKET_ROWS) -> int:
@@ -69,7 +73,9 @@ def hash_take(df: DataFrame, group: list[str], row_id: str, quota: DataFrame, se
     buckets = bucket_count(df.count() if rows is None else rows, bucket_rows)
     drawn = drawn.withColumn("bucket", hash_bucket(F.col("draw"), buckets))
     plan = bucket_totals(drawn, group, buckets, {"n": F.count(F.lit(1))}).join(quota, group)
-    plan = plan.filter(F.col("n_before") < F.col("take"))
+    plan = pin(plan.filter(F.col("n_before") < F.col("take")))
+    if plan.count() <= PLAN_ROWS:  # else a join on (group, bucket), of which none holds more than about bucket_rows rows
+        plan = F.broadcast(plan)
     drawn = drawn.join(plan, [*group, "bucket"])
     whole = F.col("n_before") + F.col("n_in") <= F.col("take")
     inside = Window.partitionBy(*group, "bucket").orderBy("draw", row_id)
@@ -78,43 +84,27 @@ def hash_take(df: DataFrame, group: list[str], row_id: str, quota: DataFrame, se
     return drawn.filter(whole).select(df.columns).unionByName(cut.select(df.columns))
 
 
-def value_bucket(df: DataFrame, value: str, rows: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Add ``bucket``: an order-preserving cut of ``value`` at approximate quantiles.
-
-    The cut points are fixed numbers once found, so every use of the column
-    agrees. Rows of one value share a bucket: collapse equal values first.
-    """
-    buckets = bucket_count(rows, bucket_rows)
-    if buckets == 1:
-        return df.withColumn("bucket", F.lit(0))
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = sorted(set(df.approxQuantile(value, probs, 0.25 / buckets)))
-    points = F.array(*[F.lit(float(c)) for c in cuts])
-    below = F.size(F.filter(points, lambda c: c < F.col(value)))
-    return df.withColumn("bucket", below)
-
-
 def running(df: DataFrame, group: list[str], value: str, measures: list[str], rows: int, descending: bool = False,
             bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Add ``<measure>_upto``: the inclusive running total in order of ``value``.
 
-    ``df`` has at most one row per (group, value).
+    ``df`` has at most one row per (group, value), and about ``rows`` rows at most. More than ``bucket_rows`` of them
+    are dealt out by ranges of (group, value) and written once with the number of their range; the totals of a
+    group's ranges, a row each, give every range its offset, and a window sums inside one range of one group.
     """
-    cut = value_bucket(df, value, rows, bucket_rows)
-    if descending:
-        cut = cut.withColumn("bucket", -F.col("bucket"))
     order = F.col(value).desc() if descending else F.col(value).asc()
+    buckets = bucket_count(rows, bucket_rows)
+    if buckets == 1:
+        inside = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({f"{m}_upto": F.sum(m).over(inside) for m in measures})
+    cut = pin(df.repartitionByRange(buckets, *group, order).withColumn("bucket", F.spark_partition_id()))
     inside = Window.partitionBy(*group, "bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = cut
-    for m in measures:
-        out = out.withColumn(f"{m}_upto", F.sum(m).over(inside))
-    if bucket_count(rows, bucket_rows) > 1:
-        offsets = bucket_totals(cut, group, 0, {m: F.sum(m) for m in measures})
-        offsets = offsets.select(*group, "bucket", *[f"{m}_before" for m in measures])
-        out = out.join(offsets, [*group, "bucket"])
-        for m in measures:
-            out = out.withColumn(f"{m}_upto", F.col(f"{m}_upto") + F.col(f"{m}_before")).drop(f"{m}_before")
-    return out.drop("bucket")
+    offsets = pin(bucket_totals(cut, group, 0, {m: F.sum(m) for m in measures}))
+    keys = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*group, "bucket"]]
+    offsets = offsets.select(*[F.col(c).alias(f"_{c}") for c in [*group, "bucket"]], *[f"{m}_before" for m in measures])
+    out = cut.withColumns({f"{m}_upto": F.sum(m).over(inside) for m in measures}).join(offsets, reduce(and_, keys))
+    out = out.withColumns({f"{m}_upto": F.col(f"{m}_upto") + F.col(f"{m}_before") for m in measures})
+    return out.select(*df.columns, *[f"{m}_upto" for m in measures])
 
 
 def smallest(df: DataFrame, group: list[str], value: str, row_id: str, quota: DataFrame, rows: int,

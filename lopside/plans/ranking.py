@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lopside.operators.ranks import hash_rank
+from lopside.operators.ranks import PLAN_ROWS, hash_rank
+from lopside.session import pin
 
 # The names dropped while the portfolio was reduced.
 WEAK_RESAMPLERS = [
@@ -30,6 +31,9 @@ def positions(full: DataFrame, row_id: str) -> DataFrame:
     freq = full.groupBy("final score").agg(F.count(F.lit(1)).alias("n"))
     down = Window.orderBy(F.desc_nulls_last("final score")).rowsBetween(Window.unboundedPreceding, -1)
     first = freq.select(F.col("final score").alias("_score"), F.coalesce(F.sum("n").over(down), F.lit(0)).alias("first"))  # one row per score
+    first = pin(first)
+    if first.count() <= PLAN_ROWS:
+        first = F.broadcast(first)
     ranked = hash_rank(full, ["final score"], row_id, rows=rows)
     placed = ranked.join(first, F.col("final score").eqNullSafe(F.col("_score")))
     return placed.withColumn("position", F.col("first") + F.col("rank") - 1).drop("first", "rank", "_score")

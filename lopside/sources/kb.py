@@ -99,9 +99,14 @@ def insert_absent(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFra
 
 
 def insert_full_results(stored: DataFrame, new: DataFrame, problem_type: str) -> DataFrame:
-    """All combinations of datasets not seen before, with their final score."""
+    """All combinations of datasets not seen before, with their final score; the table comes sorted, see ``by_score``."""
     new = with_columns(new.withColumn("final score", stored_score(problem_type)), stored.columns)
-    return insert_absent(stored, new, ["dataset"])
+    return by_score(insert_absent(stored, new, ["dataset"]))
+
+
+def by_score(full: DataFrame) -> DataFrame:
+    """Full results, the best final score first; ties by dataset and combination, rows without a score last."""
+    return full.orderBy(F.desc_nulls_last("final score"), *[F.asc_nulls_last(c) for c in ("dataset", "pre processing", "algorithm")])
 
 
 def upsert_characteristics(stored: DataFrame, new: DataFrame, best: DataFrame | None) -> DataFrame:
@@ -177,6 +182,10 @@ class KnowledgeBase:
         schema = T.StructType([T.StructField(c, column_type(c)) for c in columns or ["dataset"]])
         return self.spark.createDataFrame([], schema)
 
+    def full_results(self, problem_type: str, base: str = "kb_full_results") -> DataFrame:
+        """The stored full results of a problem type, sorted by ``by_score``."""
+        return by_score(self.load(base, problem_type))
+
     def save(self, base: str, df: DataFrame, problem_type: str) -> int:
         """Write a new version holding ``df`` and the other problem types unchanged."""
         versions = self.versions(base)
