@@ -105,6 +105,11 @@ def bayes(train: DataFrame, classes: list[str], seed: int = SEED, effort: Effort
     return fitted(NaiveBayes(labelCol="y", modelType="gaussian"), train, classes)
 
 
+@classifier("LinearSVC")
+def linear_machine(train: DataFrame, classes: list[str], seed: int = SEED, effort: Effort = Effort()) -> Predictor:
+    return fitted(_per_class(LinearSVC(labelCol="y", maxIter=effort.iterations, regParam=0.01), classes), train, classes)
+
+
 @classifier("SVC")
 def machine(train: DataFrame, classes: list[str], seed: int = SEED, effort: Effort = Effort()) -> Predictor:
     """A Gaussian kernel as random features, a hinge loss with cost 1 a row; one machine per class beyond two."""

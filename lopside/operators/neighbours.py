@@ -29,6 +29,7 @@ from lopside.session import parallelism, pin
 DATA_BLOCK = 2048
 QUERY_BLOCK = 512
 SALT_BLOCKS = 64
+FIRST_CELLS = 32
 MAX_PIVOTS = 16_384
 PIVOT_BYTES = 64 << 20
 BLOCK_BYTES = 8 << 20
@@ -210,27 +211,29 @@ def lay_out(data: DataFrame, metric: str, block_rows: int = DATA_BLOCK) -> Layou
 
 
 def _pairs(queries: DataFrame, fields: list[str], layout: Layout) -> DataFrame:
-    """One row (q, d) per query block and data block of the same cell.
-
-    The join key is (cell, data chunk, salt): a query block is copied to each
-    chunk of its cell and a data block to each salt, so no key holds more than
-    ``SALT_BLOCKS`` query blocks however large the cell is.
-    """
+    """One row (q, d) per query block and data block of the same cell."""
     counts = {r["cell"]: r["n"] for r in queries.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     counts = counts or {0: 0}
     spark = queries.sparkSession
     q = _pack(queries, QUERY_BLOCK, counts, _tasks(spark, counts, QUERY_BLOCK), fields)
-    d = layout.blocks
     if layout.cells == 1 and layout.count[0] <= 2 * layout.block_rows:
-        small = F.broadcast(d.select(F.col("rows").alias("d")))  # one or two blocks, counted in lay_out
+        small = F.broadcast(layout.blocks.select(F.col("rows").alias("d")))  # one or two blocks, counted in lay_out
         return q.select(F.col("rows").alias("q"), F.lit(0).alias("cell")).join(
             small.withColumn("cell", F.lit(0)), "cell"
         ).select("q", "d")
-    sizes = spark.createDataFrame(
-        [
-            (int(c), _chunks(int(layout.count[c]), layout.block_rows), _chunks(_chunks(n, QUERY_BLOCK), SALT_BLOCKS))
-            for c, n in counts.items()
-        ],
+    return _meet(q, {c: _chunks(n, QUERY_BLOCK) for c, n in counts.items()}, layout).select("q", "d")
+
+
+def _meet(q: DataFrame, blocks: dict[int, int], layout: Layout) -> DataFrame:
+    """One row (cell, q, d) per query block (cell, chunk, rows) and data block of the same cell.
+
+    The join key is (cell, data chunk, salt): a query block is copied to each
+    chunk of its cell and a data block to each salt, so no key holds more than
+    ``SALT_BLOCKS`` query blocks however large the cell is. ``blocks`` are the
+    query blocks of each cell.
+    """
+    sizes = q.sparkSession.createDataFrame(
+        [(int(c), _chunks(int(layout.count[c]), layout.block_rows), _chunks(n, SALT_BLOCKS)) for c, n in blocks.items()],
         "cell int, chunks int, salts int",
     )
     sizes = F.broadcast(sizes)  # at most MAX_PIVOTS rows
@@ -240,13 +243,13 @@ def _pairs(queries: DataFrame, fields: list[str], layout: Layout) -> DataFrame:
         F.pmod("chunk", "salts").alias("salt"),
         F.col("rows").alias("q"),
     )
-    d = d.join(sizes, "cell").select(
+    d = layout.blocks.join(sizes, "cell").select(
         "cell",
         F.col("chunk").alias("data_chunk"),
         F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
         F.col("rows").alias("d"),
     )
-    return q.join(d, ["cell", "data_chunk", "salt"]).select("q", "d")
+    return q.join(d, ["cell", "data_chunk", "salt"]).select("cell", "q", "d")
 
 
 def _block_rows(batch: pa.RecordBatch) -> Iterator[tuple[pa.StructArray, pa.StructArray]]:
@@ -254,12 +257,16 @@ def _block_rows(batch: pa.RecordBatch) -> Iterator[tuple[pa.StructArray, pa.Stru
         yield batch.column("q")[i].values, batch.column("d")[i].values
 
 
-def _top_k(pairs: DataFrame, k: int, relation: str, metric: str) -> DataFrame:
-    """The k best candidates of every query row within each block pair."""
+def _top_k(pairs: DataFrame, k: int, relation: str, metric: str, asking=None) -> DataFrame:
+    """The k best candidates of every query row (that ``asking`` leaves) within each block pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for q, d in _block_rows(batch):
+            for i, (q, d) in enumerate(_block_rows(batch)):
+                if asking is not None:
+                    q = asking(batch.column("cell")[i].as_py(), q)
+                    if not len(q):
+                        continue
                 did = d.field("id").to_numpy(zero_copy_only=False)
                 order = np.argsort(did, kind="stable")
                 qid = q.field("id").to_numpy(zero_copy_only=False)
@@ -344,35 +351,59 @@ def _plan_home(queries: DataFrame, layout: Layout, k: int, relation: str) -> Dat
     return queries.mapInArrow(run, schema)
 
 
-def _plan_rest(queries: DataFrame, layout: Layout, relation: str) -> DataFrame:
-    """One row per (query, cell other than home) that may still hold an answer."""
-    shared = queries.sparkSession.sparkContext.broadcast(_bare(layout))
+def _reachable(lay, x: np.ndarray, limit: np.ndarray, labels: np.ndarray, relation: str) -> np.ndarray:
+    """Per (query, cell) whether the cell may hold an answer within the query's limit."""
+    d = distances(x, lay.pivots, lay.metric)
+    return (d - lay.radius[None, :] <= (limit * (1 + 1e-9) + 1e-8)[:, None]) & _may_hold(lay, relation, labels)
+
+
+def _plan_visits(blocks: DataFrame, layout: Layout, relation: str, seen: int, most: int | None) -> DataFrame:
+    """(home, chunk, cell): the cells that blocks of queries (home, chunk, rows) have to visit next.
+
+    A block takes its cells in the order in which they come near any of its queries, ``most`` of them after the
+    ``seen`` first, the home cell being the first of all. Without vectors: a row is three numbers.
+    """
+    shared = blocks.sparkSession.sparkContext.broadcast(_bare(layout))
 
     def run(batches):
         lay = shared.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("label"), batch.column("x")], names=["id", "label", "x"]
-            )
-            x = _matrix(batch.column("x"))
-            names = np.asarray(batch.column("label").to_pylist(), dtype=object)
-            home = batch.column("cell").to_numpy(zero_copy_only=False)
-            limit = batch.column("limit").to_numpy(zero_copy_only=False)
-            for lo in range(0, len(x), QUERY_BLOCK):
-                part = slice(lo, lo + QUERY_BLOCK)
-                d = distances(x[part], lay.pivots, lay.metric)
-                near = d - lay.radius[None, :] <= (limit[part] * (1 + 1e-9) + 1e-8)[:, None]
-                near &= _may_hold(lay, relation, names[part])
-                near[np.arange(len(d)), home[part]] = False
-                row, cell = np.nonzero(near)
-                got = table.take(pa.array(row + lo))
+            for i in range(batch.num_rows):
+                home, q = batch.column("home")[i].as_py(), batch.column("rows")[i].values
+                x, limit = _matrix(q.field("x")), q.field("limit").to_numpy(zero_copy_only=False)
+                labels = np.asarray(q.field("label").to_pylist(), dtype=object)
+                gap = (distances(x, lay.pivots, lay.metric) - lay.radius[None, :]).min(axis=0)
+                gap[home] = -np.inf
+                order = np.argsort(gap, kind="stable")[seen: None if most is None else seen + most]
+                cells = order[_reachable(lay, x, limit, labels, relation).any(axis=0)[order]].astype(np.int32)
+                n = len(cells)
                 yield pa.RecordBatch.from_arrays(
-                    [*got.columns, pa.array(cell.astype(np.int32))], names=["id", "label", "x", "cell"]
+                    [pa.array(np.full(n, home, np.int32)), pa.array(np.full(n, batch.column("chunk")[i].as_py(), np.int32)), pa.array(cells)],
+                    names=["home", "chunk", "cell"],
                 )
 
-    return queries.mapInArrow(run, "id bigint, label string, x array<double>, cell int")
+    return blocks.mapInArrow(run, "home int, chunk int, cell int")
+
+
+def _visited(visits: DataFrame, blocks: DataFrame, layout: Layout, k: int, relation: str) -> DataFrame:
+    """The k best candidates of every query of the visiting blocks in each block visited.
+
+    Within a block only the queries that the cell's bound does not rule out are compared.
+    """
+    per_cell = {r["cell"]: r["n"] for r in visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per cell
+    q = blocks.join(visits, ["home", "chunk"]).select("cell", F.pmod(F.hash("home", "chunk"), F.lit(1 << 30)).alias("chunk"), "rows")
+    pairs = _meet(q, per_cell or {0: 0}, layout)
+    shared = visits.sparkSession.sparkContext.broadcast(_bare(layout))
+
+    def asking(cell, q):
+        lay = shared.value
+        one = SimpleNamespace(pivots=lay.pivots[cell: cell + 1], radius=lay.radius[cell: cell + 1], count=lay.count[cell: cell + 1],
+                              low=lay.low[cell: cell + 1], high=lay.high[cell: cell + 1], metric=lay.metric)
+        labels = np.asarray(q.field("label").to_pylist(), dtype=object)
+        near = _reachable(one, _matrix(q.field("x")), q.field("limit").to_numpy(zero_copy_only=False), labels, relation)[:, 0]
+        return q.filter(pa.array(near))
+
+    return _top_k(pairs, k, relation, layout.metric, asking)
 
 
 # ---- operators ------------------------------------------------------------------
@@ -402,15 +433,24 @@ def nearest(
     fields = ["id", "label", "x"]
     if layout.cells == 1:
         return _merge(_top_k(_pairs(q.withColumn("cell", F.lit(0)), fields, layout), k, relation, metric), k)
+    # best first: the home cell, then a growing number of the next nearest cells, each round under a tighter limit
     homed = pin(_plan_home(q, layout, k, relation))
-    at_home = pin(_merge(_top_k(_pairs(homed, fields, layout), k, relation, metric), k).drop("rank"))
-    seen = at_home.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("kth"))
-    rest = homed.join(seen, "id", "left").withColumn(
-        "limit", F.when(F.col("n") == k, F.least("limit", "kth")).otherwise(F.col("limit"))
-    )
-    away = pin(_plan_rest(rest.select("id", "label", "x", "cell", "limit"), layout, relation))
-    found = _top_k(_pairs(away, fields, layout), k, relation, metric)
-    return _merge(at_home.unionByName(found), k)
+    best = pin(_merge(_top_k(_pairs(homed, fields, layout), k, relation, metric), k).drop("rank"))
+    seen, most = 1, FIRST_CELLS
+    while seen < layout.cells:
+        kth = best.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("kth"))
+        rest = homed.join(kth, "id", "left").withColumn("limit", F.when(F.col("n") == k, F.least("limit", "kth")).otherwise(F.col("limit")))
+        per_home = {r["cell"]: r["n"] for r in homed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()} if seen == 1 else per_home
+        blocks = _pack(rest, QUERY_BLOCK, per_home or {0: 0}, parallelism(q.sparkSession), [*fields, "limit"]).withColumnRenamed("cell", "home")
+        last = most * 4 > layout.cells - seen
+        blocks = pin(blocks)
+        visits = pin(_plan_visits(blocks, layout, relation, seen, None if last else most))
+        found = best.unionByName(_visited(visits, blocks, layout, k, relation))
+        if last:
+            return _merge(found, k)
+        best = pin(_merge(found, k).drop("rank"))
+        seen, most = seen + most, most * 16
+    return _merge(best, k)
 
 
 def _sum_pairs(pairs: DataFrame, kernel, names: list[str]) -> DataFrame:

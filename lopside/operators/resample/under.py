@@ -182,7 +182,7 @@ def near_miss(points: DataFrame, seed: int = SEED, k: int = 3) -> DataFrame:
 
 
 @resampler("InstanceHardnessThreshold")
-def instance_hardness(points: DataFrame, seed: int = SEED, folds: int = 5, trees: int = 20) -> DataFrame:
+def instance_hardness(points: DataFrame, seed: int = SEED, folds: int = 5, trees: int = 100, depth: int = 30) -> DataFrame:
     """The easiest rows of each class: highest out-of-fold probability of their own class."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -193,7 +193,7 @@ def instance_hardness(points: DataFrame, seed: int = SEED, folds: int = 5, trees
     ready = pin(stratified_folds(ready, "label", "id", folds, 1, seed).drop("repeat"))
     scored = None
     for f in range(folds):
-        model = RandomForestClassifier(labelCol="y", numTrees=trees, seed=seed).fit(ready.filter(F.col("fold") != f))
+        model = RandomForestClassifier(labelCol="y", numTrees=trees, maxDepth=depth, seed=seed).fit(ready.filter(F.col("fold") != f))
         own = F.element_at(vector_to_array("probability"), F.col("y").cast("int") + 1)
         part = model.transform(ready.filter(F.col("fold") == f)).select("id", "label", (1 - own).alias("hardness"))
         scored = part if scored is None else scored.unionByName(part)

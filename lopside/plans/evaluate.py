@@ -80,7 +80,7 @@ def evaluate(points: DataFrame, resamplers: list[str], classifiers: list[str], f
     positive = classes[-1] if problem == "binary" else None
     dealt = pin(stratified_folds(points, "label", "id", folds, repeats, seed))
     spark, folder = points.sparkSession, f"{shared_folder(points.sparkSession)}/lopside/{uuid.uuid4().hex}"
-    spent: dict[tuple[str, str], float] = {(b, c): 0.0 for b in resamplers for c in classifiers}
+    took: list[tuple[str, str, float]] = []  # one entry per fit, summed once the pool is done
     failed: dict[tuple[str, str], str] = {}
 
     def one(task):
@@ -102,7 +102,7 @@ def evaluate(points: DataFrame, resamplers: list[str], classifiers: list[str], f
                 out = out.select(F.lit(balancing).alias(RUN[0]), F.lit(c).alias(RUN[1]), F.lit(repeat).alias("repeat"), F.lit(fold).alias("fold"), "id", "y", "yhat", "scores")
                 out.write.parquet(f"{folder}/{uuid.uuid4().hex}")
                 written.append(out.schema)
-                spent[balancing, c] += prepared + time.time() - start
+                took.append((balancing, c, prepared + time.time() - start))
             except Exception as e:  # noqa: BLE001
                 failed[balancing, c] = f"{type(e).__name__}: {e}"
 
@@ -110,6 +110,9 @@ def evaluate(points: DataFrame, resamplers: list[str], classifiers: list[str], f
     written: list = []
     with ThreadPool(max(1, parallelism)) as pool:
         pool.map(one, tasks, chunksize=1)
+    spent: dict[tuple[str, str], float] = {(b, c): 0.0 for b in resamplers for c in classifiers}
+    for b, c, seconds in took:
+        spent[b, c] += seconds
     predictions = spark.read.schema(written[0]).parquet(f"{folder}/*") if written else None
     rows = [(b, c, "failed" if (b, c) in failed else "success", failed.get((b, c)), round(t, 3)) for (b, c), t in spent.items()]
     runs = spark.createDataFrame(rows, "`pre processing` string, algorithm string, status string, error string, time double")

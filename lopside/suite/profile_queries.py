@@ -11,9 +11,6 @@ from lopside.suite.base import (
     LABELLED, document_points_sql, embedded, labelled_documents, query, table,
 )
 
-SHORT = ["n_words", "word_len"]  # two features, so that SQL can invert a matrix by hand
-
-
 def numbers(spark, features, digits=4):
     return as_frame(spark, features).withColumn("value", F.round("value", digits))
 
@@ -103,42 +100,33 @@ def outlier_columns(spark, sf):
     return numbers(spark, {"nr_outliers": statistical.per_column(lines(spark, sf).df, LINE)["nr_outliers"]})
 
 
-TWO = ["quantity", "price"]
-
-
-def two_features(spark, sf):
+def line_scatter(spark, sf):
     ds = lines(spark, sf)
-    return pin(Dataset(ds.df, TWO, "flag", "id").points())
+    return scatter(pin(Dataset(ds.df, LINE, "flag", "id").points()))
 
 
-MOMENTS = f"""{LINES}, k AS (SELECT flag, count(*)::double AS n, avg(quantity) AS a, avg(price) AS b FROM ln GROUP BY 1),
-t AS (SELECT count(*)::double AS n, avg(quantity) AS a, avg(price) AS b, var_samp(quantity) AS vaa, var_samp(price) AS vbb,
-  covar_samp(quantity, price) AS vab FROM ln),
-wk AS (SELECT flag, k.n, sum(pow(quantity - a, 2)) AS aa, sum(pow(price - b, 2)) AS bb, sum((quantity - a) * (price - b)) AS ab
-  FROM ln JOIN k USING (flag) GROUP BY 1, 2),
-w AS (SELECT sum(aa) AS aa, sum(bb) AS bb, sum(ab) AS ab FROM wk),
-b AS (SELECT sum(k.n * pow(k.a - t.a, 2)) AS aa, sum(k.n * pow(k.b - t.b, 2)) AS bb, sum(k.n * (k.a - t.a) * (k.b - t.b)) AS ab FROM k, t),
-wb AS (SELECT (w.bb * b.aa - 2 * w.ab * b.ab + w.aa * b.bb) / (w.aa * w.bb - w.ab * w.ab) AS tr,
-  (b.aa * b.bb - b.ab * b.ab) / (w.aa * w.bb - w.ab * w.ab) AS det FROM w, b),
-la AS (SELECT tr / 2 + sqrt(greatest(tr * tr / 4 - det, 0)) AS l1, greatest(tr / 2 - sqrt(greatest(tr * tr / 4 - det, 0)), 0) AS l2 FROM wb),
-ev AS (SELECT (vaa + vbb) / 2 + sqrt(pow((vaa - vbb) / 2, 2) + vab * vab) AS e1, (vaa + vbb) / 2 - sqrt(pow((vaa - vbb) / 2, 2) + vab * vab) AS e2 FROM t)"""
+LINE_PAIRS = [(a, b) for i, a in enumerate(LINE) for b in LINE[i + 1:]]
+COVARIANCE = ["cor", "cov", "nr_cor_attr", "gravity"]
 
 
 @query("multivariate_meta_features", f"""
-WITH {MOMENTS}, vs AS (SELECT 'cor' AS feature, abs(vab / sqrt(vaa * vbb)) AS v FROM t UNION ALL SELECT 'cov', abs(vab) FROM t
-  UNION ALL SELECT 'eigenvalues', e1 FROM ev UNION ALL SELECT 'eigenvalues', e2 FROM ev
-  UNION ALL SELECT 'can_cor', sqrt(l1 / (1 + l1)) FROM la UNION ALL SELECT 'can_cor', sqrt(l2 / (1 + l2)) FROM la),
+WITH {LINES}, vs AS MATERIALIZED ({' UNION ALL '.join(f"SELECT 'cor' AS feature, abs(corr({a}, {b})) AS v FROM ln UNION ALL SELECT 'cov', abs(covar_samp({a}, {b})) FROM ln" for a, b in LINE_PAIRS)}),
 {summary_sql('vs')},
-hi AS (SELECT * FROM k ORDER BY n DESC, flag LIMIT 1), lo AS (SELECT * FROM k ORDER BY n, flag LIMIT 1),
-bx AS (SELECT sum(n - 1) AS dof, sum((n - 1) * ln((aa * bb - ab * ab) / pow(n - 1, 2))) AS s, sum(1 / (n - 1)) AS inv FROM wk),
-mm AS (SELECT (1 - 13 / (6 * 3 * 2.0::double) * (inv - 1 / dof)) * (dof * ln((w.aa * w.bb - w.ab * w.ab) / (dof * dof)) - s) AS m, dof FROM bx, w)
-SELECT * FROM summed UNION ALL SELECT 'nr_cor_attr', (abs(vab / sqrt(vaa * vbb)) >= 0.5)::int FROM t
-UNION ALL SELECT 'gravity', round(sqrt(pow(hi.a - lo.a, 2) + pow(hi.b - lo.b, 2)), 4) FROM hi, lo
-UNION ALL SELECT 'w_lambda', round(1 / ((1 + l1) * (1 + l2)), 4) FROM la UNION ALL SELECT 'p_trace', round(l1 / (1 + l1) + l2 / (1 + l2), 4) FROM la
-UNION ALL SELECT 'lh_trace', round(l1 + l2, 4) FROM la UNION ALL SELECT 'roy_root', round(l1, 4) FROM la UNION ALL SELECT 'nr_disc', 2
-UNION ALL SELECT 'sd_ratio', round(exp(m / (2 * dof)), 4) FROM mm""")
+k AS (SELECT flag, count(*) AS n, {', '.join(f'avg({c}) AS {c}' for c in LINE)} FROM ln GROUP BY 1),
+hi AS (SELECT * FROM k ORDER BY n DESC, flag LIMIT 1), lo AS (SELECT * FROM k ORDER BY n, flag LIMIT 1)
+SELECT * FROM summed UNION ALL SELECT 'nr_cor_attr', round(avg((v >= 0.5)::int), 4) FROM vs WHERE feature = 'cor'
+UNION ALL SELECT 'gravity', round(sqrt({' + '.join(f'pow(hi.{c} - lo.{c}, 2)' for c in LINE)}), 4) FROM hi, lo""")
 def multivariate(spark, sf):
-    return numbers(spark, statistical.multivariate(scatter(two_features(spark, sf))))
+    """Covariances of all numeric columns."""
+    found = statistical.multivariate(line_scatter(spark, sf))
+    return numbers(spark, {k: found[k] for k in COVARIANCE})
+
+
+@query("discriminant_meta_features")
+def discriminant(spark, sf):
+    """Eigenvalues, canonical correlations and what follows from them, of all numeric columns."""
+    found = statistical.multivariate(line_scatter(spark, sf))
+    return numbers(spark, {k: v for k, v in found.items() if k not in COVARIANCE})
 
 
 # ---- itemsets: parts -----------------------------------------------------------------------------
@@ -217,15 +205,9 @@ def fisher(spark, sf):
     return numbers(spark, {"f1": complexity.from_scatter(scatter(points(spark, sf)))["f1"]}, 6)
 
 
-@query("directional_fisher_and_dimensions", f"""
-WITH {MOMENTS}, pr AS (SELECT x.flag AS p, y.flag AS q, x.a - y.a AS ga, x.b - y.b AS gb, (wx.aa + wy.aa) / (x.n + y.n) AS aa,
-  (wx.bb + wy.bb) / (x.n + y.n) AS bb, (wx.ab + wy.ab) / (x.n + y.n) AS ab
-  FROM k x JOIN k y ON x.flag < y.flag JOIN wk wx ON wx.flag = x.flag JOIN wk wy ON wy.flag = y.flag),
-vs AS (SELECT 'f1v' AS feature, 1 / (1 + (bb * ga * ga - 2 * ab * ga * gb + aa * gb * gb) / (aa * bb - ab * ab)) AS v FROM pr), {summary_sql('vs')},
-dm AS (SELECT CASE WHEN e1 / (e1 + e2) >= 0.95 THEN 1 ELSE 2 END AS d FROM ev)
-SELECT * FROM summed UNION ALL SELECT 't2', round(2 / n, 4) FROM t UNION ALL SELECT 't3', round(d / n, 4) FROM dm, t UNION ALL SELECT 't4', d / 2.0::double FROM dm""")
+@query("directional_fisher_and_dimensions")
 def directional(spark, sf):
-    found = complexity.from_scatter(scatter(two_features(spark, sf)))
+    found = complexity.from_scatter(line_scatter(spark, sf))
     return numbers(spark, {k: found[k] for k in ("f1v", "t2", "t3", "t4")})
 
 
