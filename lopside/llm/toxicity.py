@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +21,22 @@ TOXIC_SAMPLE, ORDINARY_SAMPLE, SAMPLE_CHARS = 3000, 5000, 20_000
 WINDOW, SUSPECT = 24, 1
 #: What a word needs to enter the toxic dictionary: log likelihood ratio, different words before it, and times the
 #: ordinary share.
-EVIDENCE, CONTEXTS, RATIO = 30.0, 3, 8
-ORDINARY_WORDS = 1500
+EVIDENCE, CONTEXTS, RATIO = 20.0, 3, 8
+#: Sizes of the dictionaries' content: common words of the ordinary one, bytes that only the toxic one has.
+ORDINARY_WORDS, TOXIC_BYTES = 1500, 8192
+#: Longer words are taken piece by piece.
+PIECE = 256
+#: Parts of the sample that calibrate in turn, and kinds of ordinary text told apart by their rates.
+FOLDS, KINDS = 5, 8
 CACHE = 200_000
 
 
 def words_of(text: str) -> list[bytes]:
-    """The text's words with A-Z as lower case."""
-    return text.encode().lower().split()
+    """The text's words with A-Z as lower case; of words over PIECE bytes the consecutive pieces."""
+    words = text.encode().lower().split()
+    if max(map(len, words), default=0) <= PIECE:
+        return words
+    return [w[k : k + PIECE] for w in words for k in range(0, len(w), PIECE)]
 
 
 def _compressor(content: bytes, strategy: int):
@@ -61,13 +69,26 @@ def _surprise(count: int, expected: float) -> float:
 
 @dataclass(frozen=True)
 class Model:
-    """Both dictionaries' content, how often an ordinary word reaches each level, and the calibrated threshold."""
+    """Both dictionaries' content, how often a word of each kind of ordinary text reaches each level, and the threshold."""
 
     ordinary: bytes
     toxic: bytes
-    rates: tuple[float, ...] = (1e-4,) * len(LEVELS)
+    rates: tuple[tuple[float, ...], ...] = ((1e-4,) * len(LEVELS),)
     threshold: float = 3.0
 
+    def evidence(self, words: int, found: list[int]) -> float:
+        """How unlikely the least likely of the counts is in ordinary text of so many words, in powers of ten.
+
+        The text may be of any of the kinds, each as likely as another: languages differ in how often their ordinary
+        words look like a toxic one.
+        """
+        chance = 1.0
+        for level, count in enumerate(found):
+            if count:
+                tails = (10 ** -_surprise(count, words * kind[level]) if words * kind[level] < count else 1.0 for kind in self.rates)
+                chance = min(chance, sum(tails) / len(self.rates))
+        return -math.log10(max(chance, 1e-30))
+
     def counter(self):
         """A function from a text to (words, different ones that reach each of LEVELS, the largest saving of a window).
 
@@ -94,8 +115,7 @@ class Model:
             if got is None:
                 if len(known) >= CACHE:
                     known.clear()
-                short = word[:4096]
-                saving = {"any": saved(short), "best": sum(len(strict(h + short + b" ")) - len(strict_toxic(h + short + b" ")) for h in heads)}
+                saving = {"any": saved(word), "best": sum(len(strict(h + word + b" ")) - len(strict_toxic(h + word + b" ")) for h in heads)}
                 got = known[word] = tuple(k for k, (kind, least) in enumerate(LEVELS) if saving[kind] >= least)
             return got
 
@@ -115,14 +135,13 @@ class Model:
     def scorer(self):
         """A function from a text to (evidence, score).
 
-        The evidence is the surprise, in powers of ten, of the least likely of the counts in ordinary text of
-        this many words, so long documents need more. Among equal evidence the windows' saving decides.
+        Long documents need more for the same evidence. Among equal evidence the windows' saving decides.
         """
         count = self.counter()
 
         def score(text: str) -> tuple[float, float]:
             words, found, most = count(text)
-            best = max(_surprise(c, words * r) for c, r in zip(found, self.rates))
+            best = self.evidence(words, found)
             value = best + 0.01 * min(max(most, 0), 10)
             return best, 1 / (1 + math.exp(-max(-30.0, min(30.0, 2 * (value - self.threshold)))))
 
@@ -163,55 +182,67 @@ def dictionaries(toxic: list[str], ordinary: list[str]) -> Model:
     chosen = sorted((w for w, v in value.items() if v >= EVIDENCE), key=lambda w: (value[w], w))
     uses = Counter(w for t in ordinary for w in words_of(t))
     common = sorted(uses, key=lambda w: (-uses[w], w))[:ORDINARY_WORDS][::-1]
-    plain = b"".join(b" " + w[:64] for w in common) + b" "
-    return Model(plain, plain + b" ".join(w[:64] for w in chosen)[-8192:] + b" " if chosen else plain)
+    plain = b"".join(b" " + w for w in common) + b" "
+    own, room = [], TOXIC_BYTES
+    for w in reversed(chosen):
+        if len(w) + 1 <= room:
+            own.append(w)
+            room -= len(w) + 1
+    return Model(plain, plain + b" ".join(reversed(own)) + b" " if own else plain)
+
+
+def kinds_of(seen: list[tuple[int, list[int], int]]) -> tuple[tuple[float, ...], ...]:
+    """Rates per level of KINDS groups of ordinary texts of about equally many words, by their rate at the first level."""
+    seen = sorted(seen, key=lambda s: (s[1][0] + 0.2) / (s[0] + 200))
+    ends = np.cumsum([n for n, _, _ in seen])
+    cuts = np.searchsorted(ends, np.arange(1, KINDS) * (ends[-1] / KINDS)) + 1 if len(seen) else []
+    groups = [g for g in np.split(np.array(seen, dtype=object), cuts) if len(g)]
+    return tuple(tuple((0.5 + sum(f[k] for _, f, _ in g)) / (1 + sum(n for n, _, _ in g)) for k in range(len(LEVELS))) for g in groups)
 
 
 def fit(toxic: list[str], ordinary: list[str], toxic_share: float = 0.1) -> Model:
     """Train both dictionaries on all sampled texts.
 
-    Dictionaries trained on every other text give, on the rest, the rate at which ordinary words reach
-    each level (the larger of that and the final dictionaries' rate) and the threshold that errs least, had
-    toxic texts the given share (of equals, the middle).
+    Each part of the texts in turn is counted with dictionaries trained on the others. That gives the rates at which
+    ordinary words reach each level and the threshold that errs least, had toxic texts the given share (of equals, the
+    middle).
     """
-    half = dictionaries(toxic[::2], ordinary[::2])
-    count = half.counter()
-    seen = [count(t) for t in ordinary[1::2]]
-    words = 1 + sum(n for n, _, _ in seen)
+    seen, found = [], []
+    for k in range(FOLDS):
+        rest = [[t for i, t in enumerate(texts) if i % FOLDS != k] for texts in (toxic, ordinary)]
+        count = dictionaries(*rest).counter()
+        seen += map(count, ordinary[k::FOLDS])
+        found += map(count, toxic[k::FOLDS])
     trained = dictionaries(toxic, ordinary)
-    again = list(map(trained.counter(), ordinary))
-    whole = 1 + sum(n for n, _, _ in again)
-    rates = tuple(max((0.5 + sum(f[k] for _, f, _ in seen)) / words, (0.5 + sum(f[k] for _, f, _ in again)) / whole) for k in range(len(LEVELS)))
-    evidence = lambda n, found: max(_surprise(c, n * r) for c, r in zip(found, rates))
-    misses = sorted(evidence(n, f) for n, f, _ in seen)
-    hits = sorted(evidence(n, f) for n, f, _ in map(count, toxic[1::2]))
+    model = Model(trained.ordinary, trained.toxic, kinds_of(seen) or Model.rates)
+    misses, hits = (sorted(model.evidence(n, f) for n, f, _ in part) for part in (seen, found))
     lost = lambda cut: np.searchsorted(hits, cut) / max(1, len(hits))
     false = lambda cut: 1 - np.searchsorted(misses, cut) / max(1, len(misses))
-    errors = {cut: round(toxic_share * lost(cut) + (1 - toxic_share) * false(cut), 9) for cut in np.arange(1.0, 8.0, 0.1)}
+    errors = {cut: round(toxic_share * lost(cut) + (1 - toxic_share) * false(cut), 9) for cut in np.arange(0.5, 8.0, 0.05)}
     least = [c for c, e in errors.items() if e == min(errors.values())] if hits and misses else [3.0]
-    return Model(trained.ordinary, trained.toxic, rates, float(least[len(least) // 2]))
+    return replace(model, threshold=float(least[len(least) // 2]))
 
 
 def fold(doc_id):
     return F.crc32(F.col(doc_id).cast("long").cast("string")) % 5
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
+def train(docs: DataFrame, labels: DataFrame, toxic_sample: int = TOXIC_SAMPLE, ordinary_sample: int = ORDINARY_SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Model:
     """Fit on a bounded sample of the labelled rows whose fold is not 0.
 
-    The sample takes per class the documents of smallest hashed id among those of at most SAMPLE_CHARS
-    characters; it is what reaches the driver. Rows without id or label are not used, a document
+    The sample takes per class the documents of smallest hashed id among those of at most ``sample_chars``
+    characters, ``toxic_sample`` and ``ordinary_sample`` of them; it is what reaches the driver. Rows without id or label are not used, a document
     with both labels counts as toxic.
     """
     told = labels.filter("doc_id is not null and toxic is not null").filter(fold("doc_id") != 0)
     told = told.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    sized = docs.filter(F.length("text") <= SAMPLE_CHARS).select(F.col("doc_id").cast("long").alias("doc_id"))
+    sized = docs.filter(F.length("text") <= sample_chars).select(F.col("doc_id").cast("long").alias("doc_id"))
     known = told.join(sized, "doc_id", "left_semi")
     counted = dict(known.groupBy("toxic").count().collect())
     ids = []
-    for label, most in ((1, TOXIC_SAMPLE), (0, ORDINARY_SAMPLE)):
+    for label, most in ((1, toxic_sample), (0, ordinary_sample)):
         ids += known.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()
-    texts = docs.filter(F.length("text") <= SAMPLE_CHARS).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.filter(F.length("text") <= sample_chars).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if not ids:
         return fit([], [])
     chosen = docs.sparkSession.createDataFrame([tuple(r) for r in ids], "doc_id long, toxic int")

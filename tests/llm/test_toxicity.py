@@ -62,3 +62,33 @@ def test_registered_query(spark):
     ids = [r.doc_id for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id").collect()]
     assert sorted(r.doc_id for r in got) == sorted(ids)
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+
+
+def test_held_out_documents_of_the_given_table(spark):
+    from lopside.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.1"  # 825 of them; a tenth of that tells little
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    held = [(r.predicted, labels[r.doc_id]) for r in QUERIES["op7_compression_toxicity"](spark, sf).collect() if r.held_out and r.doc_id in labels]
+    ordinary = [p for p, y in held if not y]
+    assert sum(ordinary) <= 0.02 * len(ordinary)
+    assert sum(p == y for p, y in held) >= 0.95 * len(held)
+
+
+def test_evidence_allows_for_every_kind_of_ordinary_text():
+    """A count that one kind of ordinary text makes likely is no evidence; beyond it, it is."""
+    model = toxicity.Model(b"", b"", ((1e-6,) * 6, (1e-2,) * 6))
+    assert model.evidence(300, [0] * 6) == 0
+    assert model.evidence(300, [2, 0, 0, 0, 0, 0]) < 0.5
+    assert model.evidence(300, [30, 0, 0, 0, 0, 0]) > 8
+    alone = toxicity.Model(b"", b"", ((1e-6,) * 6,))
+    assert alone.evidence(300, [1, 0, 0, 0, 0, 0]) > 3
+
+
+def test_long_words_are_taken_piece_by_piece():
+    word = "x" * 1000 + "Numskull"
+    assert b"".join(toxicity.words_of(word)) == word.lower().encode() and max(map(len, toxicity.words_of(word))) <= toxicity.PIECE
+    rows = sample(5, 400)
+    score = toxicity.fit([t for _, t, y in rows if y], [t for _, t, y in rows if not y]).scorer()
+    filler = "".join(w for _, t, y in rows[:40] if not y for w in t.split())
+    assert score(filler)[1] < 0.5
