@@ -128,15 +128,15 @@ def scores_of(out):
 
 @query("binary_portfolio")
 def binary_portfolio(spark, sf):
-    """Every combination in force for two classes, three folds, models of ten trees."""
-    out = ev.evaluate(labelled_documents(spark, sf).points(), *ev.portfolio("binary"), folds=3, repeats=1, effort=Effort(trees=10))
+    """Every combination in force for two classes, two folds, models of five trees."""
+    out = ev.evaluate(labelled_documents(spark, sf).points(), *ev.portfolio("binary"), folds=2, repeats=1, effort=Effort(trees=5))
     return scores_of(out)
 
 
 @query("multiclass_portfolio")
 def multiclass_portfolio(spark, sf):
     """Every combination in force for more classes, two folds, small models."""
-    effort = Effort(trees=5, rounds=5, members=2)
+    effort = Effort(trees=3, rounds=3, members=2, depth=6)
     return scores_of(ev.evaluate(roles(spark, sf).points(), *ev.portfolio("multiclass"), folds=2, repeats=1, effort=effort))
 
 
@@ -144,10 +144,10 @@ def multiclass_portfolio(spark, sf):
 def learn_then_suggest(spark, sf):
     """Both modules: two tables are learned into a new knowledge base, then a third is given its combinations."""
     base = KnowledgeBase(spark, f"{shared_folder(spark)}/lopside/{uuid.uuid4().hex}")
-    how = dict(resamplers=["RandomOverSampler", "SMOTE"], classifiers=["GradientBoostingClassifier", "ExtraTreesClassifier"], folds=2, repeats=1, effort=Effort(trees=5))
-    groups = ["general", "statistical", "itemset"]
+    how = dict(resamplers=["RandomOverSampler", "SMOTE"], classifiers=["GradientBoostingClassifier"], folds=2, repeats=1, effort=Effort(trees=5))
+    groups = ["general"]
     for ds in (labelled_documents(spark, sf), embedded(spark, sf)):
-        learn(replace(ds, df=pin(ds.df)), base, groups=groups if ds.name == "documents" else ["general"], **how)
+        learn(replace(ds, df=pin(ds.df)), base, groups=groups, **how)
     fresh = labelled_documents(spark, sf, "toxic")
     text = suggest(replace(fresh, df=pin(fresh.df), name="toxic documents"), base, groups=groups)
     return spark.createDataFrame([(i, line) for i, line in enumerate(text.splitlines())], "no int, line string")
