@@ -119,3 +119,18 @@ def test_spanning_tree_and_border_share(spark):
         if y != lead[1]:
             touched |= {i, lead[0]}
     assert complexity.border_share(df) == pytest.approx(len(touched) / len(rows))
+
+
+def test_regions_bound_the_copies_of_a_row(spark, monkeypatch):
+    """Cells join into few regions; regions larger than a task's share are cut into chunks and answers stay the same."""
+    monkeypatch.setattr(nb, "REGION_ROWS", 12)
+    rows, df = table(spark, n=400, d=12, copies=0, grid=False)
+    layout = nb.lay_out(df.withColumn("w", F.lit(1)), "l2", 40)
+    region = nb._regions(layout, 100)
+    per = np.bincount(region, weights=layout.count)
+    assert layout.cells == 20 and per.sum() == 400 and len(per) <= 12
+    assert all(n <= 100 or (region == r).sum() == 1 for r, n in enumerate(per))
+    got = {}
+    for r in sorted(nb.nearest(df, df, 2, block_rows=40).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["id"], []).append(r["nid"])
+    assert got == brute(rows, 2, "any", "l2")
