@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lopside.session import parallelism, pin
+
 # Catalogue columns that must be known, and those a search returns.
 REQUIRED = [
     "NumberOfClasses", "NumberOfInstances", "NumberOfFeatures", "MajorityClassSize", "MinorityClassSize",
@@ -17,6 +23,8 @@ SHOWN = [
 BOUNDS = {
     "classes": "NumberOfClasses", "instances": "NumberOfInstances", "features": "NumberOfFeatures", "imbalance": "ImbalanceRatio",
 }
+# Cells of the grid that counts matches: ranges per statistic, by quantiles.
+GRID = {"classes": 8, "instances": 16, "features": 8, "imbalance": 16}
 # The default search.
 DEFAULTS = {
     "min_classes": 3, "max_classes": 50, "min_instances": 500, "max_instances": 10000, "min_features": 10, "max_features": 40,
@@ -78,32 +86,77 @@ def imbalance_band(ratios: DataFrame, low: float | None = 2.0, high: float | Non
     return ratios.orderBy("imbalance ratio", "id")
 
 
-def _bin(value):
-    return F.floor(F.log2(F.greatest(value.cast("double"), F.lit(1.0)))).cast("int")
+def _cell(cuts: dict[str, list[float]]) -> Column:
+    """The number of the grid cell of a row: mixed-radix digits, one per statistic."""
+    cell = F.lit(0)
+    for name, ends in cuts.items():
+        digit = reduce(lambda total, end: total + F.when(F.col(BOUNDS[name]) > end, 1).otherwise(0), ends, F.lit(0))
+        cell = cell * (len(ends) + 1) + digit
+    return cell.cast("int")
+
+
+def _asked_cells(asked: DataFrame, cells: list) -> DataFrame:
+    """Per configuration the rows of the cells wholly inside its ranges (``inside``) and the cells its ranges cut (``cut``).
+
+    Cells are left uncounted once ``inside`` reaches ``enough``.
+    """
+    low, high = (np.array([[c[f"{end}_{n}"] for c in cells] for n in BOUNDS], dtype=float) for end in ("lo", "hi"))
+    number = np.array([c["cell"] for c in cells], dtype=np.int32)
+    rows = {full: np.array([c[name] for c in cells], dtype=np.int64) for name, full in (("n", True), ("n_whole", False))}
+    shared = asked.sparkSession.sparkContext.broadcast((low, high, number, rows))
+
+    def run(batches):
+        low, high, number, rows = shared.value
+        for batch in batches:
+            least, most = (np.array([batch.column(f"{end}_{n}").to_numpy(zero_copy_only=False) for n in BOUNDS], dtype=float) for end in ("min", "max"))
+            allowed, enough = batch.column("allowed").to_numpy(zero_copy_only=False), batch.column("enough").to_numpy()
+            inside, cut = np.zeros(batch.num_rows, dtype=np.int64), []
+            for i in range(batch.num_rows):
+                a, b, n = least[:, i, None], most[:, i, None], rows[bool(allowed[i])]
+                whole = ((low >= a) & (high <= b)).all(axis=0)
+                apart = ((high < a) | (low > b)).any(axis=0) | (n == 0)
+                inside[i] = n[whole].sum()
+                cut.append(number[~whole & ~apart] if inside[i] < enough[i] else number[:0])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(inside), pa.array(cut, pa.list_(pa.int32()))],
+                                             names=[*batch.schema.names, "inside", "cut"])
+
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema.fields)
+    return asked.mapInArrow(run, f"{types}, inside bigint, cut array<int>")
 
 
 def count_matches(configs: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Fill ``Datasets_Found`` where null with the number of datasets each
     configuration finds, capped at its ``max_results``.
 
-    All configurations are answered by one join: both sides carry the power-of-two
-    bin of classes and of instances (a configuration is repeated for the bins its
-    ranges touch), and the exact ranges are checked on the few rows that meet.
+    Datasets are counted by the cells of a grid of quantiles, a table of at most 16,384 rows. A configuration adds up
+    the cells inside its ranges; unless they reach its ``max_results`` already, the datasets of the cells that its
+    ranges cut are checked one by one.
     """
-    rows = with_ratio(known(catalogue)).withColumns({
-        "bin_c": _bin(F.col("NumberOfClasses")), "bin_i": _bin(F.col("NumberOfInstances"))
-    })
-    rows = rows.select("bin_c", "bin_i", *BOUNDS.values(), "NumberOfMissingValues")
-    bins = lambda name: F.explode(F.sequence(_bin(F.col(f"min_{name}")), _bin(F.col(f"max_{name}"))))
-    todo = configs.filter(F.col("Datasets_Found").isNull() & (F.col("min_classes") <= F.col("max_classes"))
-                          & (F.col("min_instances") <= F.col("max_instances")))
-    asked = todo.withColumn("bin_c", bins("classes")).withColumn("bin_i", bins("instances"))
-    hit = asked.join(rows, ["bin_c", "bin_i"])
+    spark = configs.sparkSession
+    rows = with_ratio(known(catalogue)).groupBy(*BOUNDS.values(), (F.col("NumberOfMissingValues") == 0).alias("whole")).agg(F.count(F.lit(1)).alias("n"))
+    rows = pin(rows)
+    found = rows.approxQuantile([*BOUNDS.values()], [i / 16 for i in range(1, 16)], 0.005)  # where the cuts lie does not change a count
+    cuts = {name: sorted({e for e in ends[:: 16 // GRID[name]] if e == e}) for name, ends in zip(BOUNDS, found)}
+    rows = rows.withColumn("cell", _cell(cuts))
+    ends = [e for name, c in BOUNDS.items() for e in (F.min(c).alias(f"lo_{name}"), F.max(c).alias(f"hi_{name}"))]
+    cells = rows.groupBy("cell").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("whole"), F.col("n")).otherwise(0)).alias("n_whole"), *ends).collect()  # one row per cell
+    sides = [f"{end}_{name}" for name in BOUNDS for end in ("min", "max")]
+    # configurations of one id are counted together, so each counts up to the largest cap among them
+    none = F.lit(2**62)
+    todo = configs.filter(F.col("Datasets_Found").isNull()).na.drop(subset=["config_id", *sides])
+    caps = configs.groupBy("config_id").agg(F.max(F.coalesce(F.col("max_results").cast("bigint"), none)).alias("enough"))
+    todo = todo.join(caps, "config_id").select(
+        "config_id", "enough", F.coalesce("allow_missing_values", F.lit(False)).alias("allowed"), *[F.col(c).cast("double").alias(c) for c in sides],
+        *[F.col(c).alias(f"{c}_exact") for c in sides])
+    todo = todo.repartition(parallelism(spark))
+    asked = pin(_asked_cells(todo, cells))
+    cut = asked.withColumn("cell", F.explode("cut"))
+    hit = cut.join(rows, "cell").filter(F.col("allowed") | F.col("whole"))
     for name, column in BOUNDS.items():
-        hit = hit.filter(F.col(column).between(F.col(f"min_{name}"), F.col(f"max_{name}")))
-    hit = hit.filter(F.col("allow_missing_values") | (F.col("NumberOfMissingValues") == 0))
-    found = hit.groupBy("config_id").agg(F.count(F.lit(1)).alias("found"))
-    out = configs.join(found, "config_id", "left")
+        hit = hit.filter(F.col(column).between(F.col(f"min_{name}_exact"), F.col(f"max_{name}_exact")))
+    parts = asked.select("config_id", F.col("inside").alias("n")).unionByName(hit.select("config_id", "n"))
+    total = parts.groupBy("config_id").agg(F.sum("n").alias("found"))
+    out = configs.join(total, "config_id", "left")
     capped = F.least(F.coalesce("found", F.lit(0)), F.col("max_results")).cast("bigint")
     return out.withColumn("Datasets_Found", F.coalesce("Datasets_Found", capped)).drop("found")
 
