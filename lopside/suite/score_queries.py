@@ -1,5 +1,7 @@
 """Metrics, folds, the knowledge base, ranking, recommendation and tests."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from lopside.functions import metrics, stats
@@ -10,6 +12,7 @@ from lopside.functions.scalars import (
 )
 from lopside.operators.folds import holdout, stratified_folds
 from lopside.plans import ranking, recommend
+from lopside.session import parallelism
 from lopside.sources import kb
 from lopside.suite.base import document_points_sql, labelled_documents, query, table
 
@@ -556,14 +559,19 @@ def upsert_characteristics_seen(spark, sf):
 
 
 _EACH = [f"f{i}" for i in range(N_FEATURES)]
+DATASETS_A_TASK = 50_000
 
 
 @query("characteristics_wide_row", f"""
 WITH {CHAR} SELECT dataset, {', '.join(c for c in _EACH if c not in ('f5', 'f6'))}, CASE WHEN f0 > 0.1 THEN f5 END AS f5,
   CASE WHEN f0 < 0.1 THEN 'infinity'::double ELSE f6 END AS f6 FROM ch""")
 def wide_row(spark, sf):
-    long = characteristics(spark, sf).unpivot(["dataset"], _EACH, "feature", "value")
-    return long.groupBy("dataset").pivot("feature", _EACH).agg(F.first("value"))
+    # datasets are dealt out first, so a task turns a bounded number of them
+    ch = characteristics(spark, sf).select("dataset", *_EACH)
+    ch = ch.repartition(max(parallelism(spark), math.ceil(ch.count() / DATASETS_A_TASK)), "dataset")
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in _EACH]))
+    long = ch.select("dataset", cells.alias("cell")).select("dataset", "cell.*")
+    return long.groupBy("dataset").agg(*[F.first(F.when(F.col("feature") == c, F.col("value")), ignorenulls=True).alias(c) for c in _EACH])
 
 
 # ---- fold scores of three systems --------------------------------------------------------------------
