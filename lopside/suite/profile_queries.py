@@ -109,17 +109,75 @@ LINE_PAIRS = [(a, b) for i, a in enumerate(LINE) for b in LINE[i + 1:]]
 COVARIANCE = ["cor", "cov", "nr_cor_attr", "gravity"]
 
 
+def _cholesky(source, matrix, name, keep):
+    """CTEs that give the lower triangle l00, l10, l11, ... of ``matrix`` (columns m00, m01, ...), one entry after the other."""
+    steps, d = [], len(LINE)
+    for j in range(d):
+        for i in range(j, d):
+            done = " ".join(f"- l{i}{q} * l{j}{q}" for q in range(j))
+            e = f"sqrt({matrix}{j}{j} {done})" if i == j else f"({matrix}{j}{i} {done}) / l{j}{j}"
+            steps.append(f"{name}{i}{j} AS MATERIALIZED (SELECT *, {e} AS l{i}{j} FROM {source})")
+            source = f"{name}{i}{j}"
+    return ", ".join(steps) + f", {name} AS MATERIALIZED (SELECT {keep}, {' + '.join(f'2 * ln(l{i}{i})' for i in range(d))} AS logdet FROM {source})"
+
+
+def _jacobi(sweeps=6):
+    """CTEs that turn t(m00, m01, ...) until only its diagonal is left, the eigenvalues."""
+    d, steps, source = len(LINE), [], "cv0"
+    at = lambda i, j: f"m{min(i, j)}{max(i, j)}"
+    for n, (p, q) in enumerate([(p, q) for _ in range(sweeps) for p in range(d) for q in range(p + 1, d)]):
+        tan = (f"CASE WHEN {at(p, q)} = 0 THEN 0 WHEN {at(p, p)} = {at(q, q)} THEN 1 ELSE sign(h) / (abs(h) + sqrt(h * h + 1)) END")
+        steps.append(f"ja{n} AS MATERIALIZED (SELECT *, ({at(q, q)} - {at(p, p)}) / (2 * CASE WHEN {at(p, q)} = 0 THEN 1 ELSE {at(p, q)} END) AS h FROM {source})")
+        steps.append(f"jb{n} AS MATERIALIZED (SELECT *, {tan} AS tn, 1 / sqrt(pow({tan}, 2) + 1) AS co FROM ja{n})")
+        new = {at(p, p): f"{at(p, p)} - tn * {at(p, q)}", at(q, q): f"{at(q, q)} + tn * {at(p, q)}", at(p, q): "0.0::double"}
+        for r in set(range(d)) - {p, q}:
+            new[at(r, p)] = f"co * ({at(r, p)} - tn * {at(r, q)})"
+            new[at(r, q)] = f"co * ({at(r, q)} + tn * {at(r, p)})"
+        cols = [at(i, j) for i in range(d) for j in range(i, d)]
+        steps.append(f"jc{n} AS MATERIALIZED (SELECT {', '.join(f'{new.get(c, c)} AS {c}' for c in cols)} FROM jb{n})")
+        source = f"jc{n}"
+    return ", ".join(steps) + f", ev AS ({' UNION ALL '.join(f'SELECT m{i}{i} AS e FROM {source}' for i in range(d))})"
+
+
+_IJ = [(i, j) for i in range(len(LINE)) for j in range(i, len(LINE))]
+# Eigenvalues of W^-1 B by Cholesky W = L L': u solves L u = gap for each class, and the two eigenvalues that three classes
+# leave follow from the trace of U'U and of its square.
+_SOLVE = []
+for _i in range(len(LINE)):
+    _SOLVE.append(f"so{_i} AS MATERIALIZED (SELECT *, (sqrt(n) * g{_i} {' '.join(f'- l{_i}{_q} * u{_q}' for _q in range(_i))}) / l{_i}{_i} AS u{_i} FROM {'gp' if not _i else f'so{_i - 1}'})")
+DISCRIMINANT = f"""ml AS (SELECT flag AS f, count(*)::double AS n, {', '.join(f'avg({c}) AS a{i}' for i, c in enumerate(LINE))} FROM ln GROUP BY 1),
+mt AS (SELECT {', '.join(f'avg({c}) AS t{i}' for i, c in enumerate(LINE))} FROM ln),
+cv0 AS (SELECT {', '.join(f'covar_samp({LINE[i]}, {LINE[j]}) AS m{i}{j}' for i, j in _IJ)} FROM ln), {_jacobi()},
+wk AS MATERIALIZED (SELECT flag, any_value(n) AS n, {', '.join(f'sum(({LINE[i]} - a{i}) * ({LINE[j]} - a{j})) AS w{i}{j}' for i, j in _IJ)} FROM ln JOIN ml ON ml.f = ln.flag GROUP BY 1),
+wt AS MATERIALIZED (SELECT sum(n) AS n, {', '.join(f'sum(w{i}{j}) AS w{i}{j}' for i, j in _IJ)} FROM wk),
+{_cholesky('wt', 'w', 'ch', ', '.join(f'l{j}{i}' for i, j in _IJ))},
+gp AS (SELECT ml.f, ml.n, {', '.join(f'a{i} - t{i} AS g{i}' for i in range(len(LINE)))}, {', '.join(f'l{j}{i}' for i, j in _IJ)} FROM ml, mt, ch),
+{', '.join(_SOLVE)},
+uu AS (SELECT x.f = y.f AS own, {' + '.join(f'x.u{i} * y.u{i}' for i in range(len(LINE)))} AS v FROM so{len(LINE) - 1} x, so{len(LINE) - 1} y),
+tr AS (SELECT sum(v) FILTER (own) AS a, sum(v * v) AS b FROM uu),
+la AS MATERIALIZED (SELECT (a + sqrt(greatest(2 * b - a * a, 0))) / 2 AS l1, greatest((a - sqrt(greatest(2 * b - a * a, 0))) / 2, 0) AS l2 FROM tr),
+wd AS (SELECT flag, n, {', '.join(f'w{i}{j} / (n - 1) AS v{i}{j}' for i, j in _IJ)} FROM wk), {_cholesky('wd', 'v', 'ck', 'n')},
+wp AS (SELECT n - (SELECT count(*) FROM wk) AS dof, {', '.join(f'w{i}{j} / (n - (SELECT count(*) FROM wk)) AS p{i}{j}' for i, j in _IJ)} FROM wt),
+{_cholesky('wp', 'p', 'cp', 'dof')},
+bx AS (SELECT sum((n - 1) * logdet) AS s, sum(1 / (n - 1)) AS inv, count(*) AS k FROM ck),
+mm AS (SELECT (1 - {2 * len(LINE) ** 2 + 3 * len(LINE) - 1} / (6 * {len(LINE) + 1} * (k - 1))::double * (inv - 1 / dof)) * (dof * logdet - s) AS m, dof FROM bx, cp)"""
+
+
 @query("multivariate_meta_features", f"""
-WITH {LINES}, vs AS MATERIALIZED ({' UNION ALL '.join(f"SELECT 'cor' AS feature, abs(corr({a}, {b})) AS v FROM ln UNION ALL SELECT 'cov', abs(covar_samp({a}, {b})) FROM ln" for a, b in LINE_PAIRS)}),
+WITH {LINES}, {DISCRIMINANT},
+vs AS MATERIALIZED ({' UNION ALL '.join(f"SELECT 'cor' AS feature, abs(corr({a}, {b})) AS v FROM ln UNION ALL SELECT 'cov', abs(covar_samp({a}, {b})) FROM ln" for a, b in LINE_PAIRS)}
+  UNION ALL SELECT 'eigenvalues', e FROM ev UNION ALL SELECT 'can_cor', sqrt(l1 / (1 + l1)) FROM la UNION ALL SELECT 'can_cor', sqrt(l2 / (1 + l2)) FROM la),
 {summary_sql('vs')},
 k AS (SELECT flag, count(*) AS n, {', '.join(f'avg({c}) AS {c}' for c in LINE)} FROM ln GROUP BY 1),
 hi AS (SELECT * FROM k ORDER BY n DESC, flag LIMIT 1), lo AS (SELECT * FROM k ORDER BY n, flag LIMIT 1)
 SELECT * FROM summed UNION ALL SELECT 'nr_cor_attr', round(avg((v >= 0.5)::int), 4) FROM vs WHERE feature = 'cor'
-UNION ALL SELECT 'gravity', round(sqrt({' + '.join(f'pow(hi.{c} - lo.{c}, 2)' for c in LINE)}), 4) FROM hi, lo""")
+UNION ALL SELECT 'gravity', round(sqrt({' + '.join(f'pow(hi.{c} - lo.{c}, 2)' for c in LINE)}), 4) FROM hi, lo
+UNION ALL SELECT 'w_lambda', round(1 / ((1 + l1) * (1 + l2)), 4) FROM la UNION ALL SELECT 'p_trace', round(l1 / (1 + l1) + l2 / (1 + l2), 4) FROM la
+UNION ALL SELECT 'lh_trace', round(l1 + l2, 4) FROM la UNION ALL SELECT 'roy_root', round(l1, 4) FROM la UNION ALL SELECT 'nr_disc', 2
+UNION ALL SELECT 'sd_ratio', round(exp(m / ({len(LINE)} * dof)), 4) FROM mm""")
 def multivariate(spark, sf):
-    """Covariances of all numeric columns."""
-    found = statistical.multivariate(line_scatter(spark, sf))
-    return numbers(spark, {k: found[k] for k in COVARIANCE})
+    """Covariances, eigenvalues, canonical correlations and what follows from them, of all numeric columns."""
+    return numbers(spark, statistical.multivariate(line_scatter(spark, sf)))
 
 
 @query("discriminant_meta_features")
