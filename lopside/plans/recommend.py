@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lopside.functions.scalars import euclidean, min_max_row, report_line
-from lopside.operators.neighbours import DIGITS, Layout, _block_rows, _matrix, _pack, _pairs, _tasks, distances
+from lopside.operators.neighbours import nearest
 from lopside.operators.prep import drop_incomplete_columns
 from lopside.session import pin
 from lopside.sources.kb import UNKNOWN
@@ -68,53 +66,15 @@ def recommend(kb: DataFrame, dataset: str, top: int = 3, strict: bool = False, s
 def recommend_all(kb: DataFrame, top: int = 3, strict: bool = False) -> DataFrame:
     """``recommend`` for every dataset of the knowledge base at once.
 
-    Blocks of datasets are compared pairwise; a block pair yields one row per
-    (dataset, combination), the nearest, so pairs are never written out.
+    A neighbour search over all datasets that keeps, of each combination, the nearest dataset.
     """
     rows = pin(profile(kb, strict).withColumn("id", name_id(F.col("dataset"))))
     combo = F.to_json(F.struct("pre processing", "algorithm"))
-    pts = rows.select("id", combo.alias("label"), "x", F.when(F.col("offered"), 1).otherwise(0).alias("w"), F.lit(0).alias("cell"))
-    fields = ["id", "label", "x", "w"]
-    n = pts.count()
-    blocks = _pack(pts, 512, {0: n}, _tasks(pts.sparkSession, {0: n}, 512), fields)
-    nothing = np.array([None], dtype=object)
-    layout = Layout(blocks, np.empty((1, 0)), np.array([n]), np.array([np.inf]), nothing, nothing, "l2", 512)
-
-    def run(batches):
-        for batch in batches:
-            for q, d in _block_rows(batch):
-                qid, did = (s.field("id").to_numpy(zero_copy_only=False) for s in (q, d))
-                near = distances(_matrix(q.field("x")), _matrix(d.field("x")), "l2")
-                near[(qid[:, None] == did[None, :]) | (d.field("w").to_numpy(zero_copy_only=False) == 0)[None, :]] = np.inf
-                labels = d.field("label").dictionary_encode()
-                codes = labels.indices.to_numpy(zero_copy_only=False)
-                names = labels.dictionary.to_pylist()
-                # columns of one combination side by side, ids ascending, so that slices need no copies
-                order = np.lexsort((did, codes))
-                near = np.round(near[:, order], DIGITS)
-                starts = np.searchsorted(codes[order], np.arange(len(names) + 1))
-                ids, got, dist, who = [], [], [], []
-                for c, name in enumerate(names):
-                    part = near[:, starts[c]: starts[c + 1]]
-                    best = part.argmin(axis=1)
-                    value = part[np.arange(len(qid)), best]
-                    ok = np.isfinite(value)
-                    ids.append(qid[ok])
-                    got.append(did[order[starts[c] + best]][ok])
-                    dist.append(value[ok])
-                    who += [name] * int(ok.sum())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(ids)), pa.array(who, pa.string()), pa.array(np.concatenate(got)),
-                     pa.array(np.concatenate(dist))], names=["id", "combo", "nid", "distance"],
-                )
-
-    pairs = _pairs(pts, fields, layout).mapInArrow(run, "id bigint, combo string, nid bigint, distance double")
-    first = pairs.groupBy("id", "combo").agg(F.min(F.struct(F.round("distance", DIGITS).alias("distance"), "nid")).alias("m"))
-    order = Window.partitionBy("id").orderBy("m")
-    best = first.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    pts = rows.select("id", combo.alias("label"), "x", "offered")
+    best = nearest(pts, pts.filter("offered"), top, "distinct")
+    best = best.select("id", "nid", F.col("dist").alias("distance"), "rank")
     asked = rows.select("id", "dataset")
     near = rows.select(F.col("id").alias("nid"), F.col("dataset").alias("neighbour"), "pre processing", "algorithm")
-    best = best.select("id", F.col("m.nid").alias("nid"), F.col("m.distance").alias("distance"), "rank")
     return best.join(asked, "id").join(near, "nid").drop("id", "nid")
 
 

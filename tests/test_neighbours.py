@@ -134,3 +134,22 @@ def test_regions_bound_the_copies_of_a_row(spark, monkeypatch):
     for r in sorted(nb.nearest(df, df, 2, block_rows=40).collect(), key=lambda r: r["rank"]):
         got.setdefault(r["id"], []).append(r["nid"])
     assert got == brute(rows, 2, "any", "l2")
+
+
+@pytest.mark.parametrize("d,grid", [(3, True), (12, False)])
+@pytest.mark.parametrize("block_rows", [2048, 40])
+def test_nearest_of_distinct_labels(spark, d, grid, block_rows):
+    """The k nearest labels, each by its nearest row."""
+    rows, df = table(spark, n=400, d=d, grid=grid, copies=100)
+    names = {r[0]: f"{r[1]}{r[0] % 5}" for r in rows}
+    df = df.withColumn("label", F.concat("label", (F.col("id") % 5).cast("string")))
+    got = {}
+    for r in sorted(nb.nearest(df, df, 3, "distinct", "l2", block_rows).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["id"], []).append(r["nid"])
+    want = {}
+    for i, near in brute(rows, len(rows), "any", "l2").items():
+        first = {}
+        for j in near:
+            first.setdefault(names[j], j)
+        want[i] = list(first.values())[:3]
+    assert got == want
