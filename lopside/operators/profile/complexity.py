@@ -19,6 +19,7 @@ from lopside.operators.ranks import hash_rank
 from lopside.operators.resample.common import by_label, class_sizes, fits_broadcast, interpolate, pick
 from lopside.session import pin
 
+KNOWN = 8  # nearest rows of a row that are kept while a spanning tree grows
 EXPLAINED = 0.95  # variance share that counts as the dimensions of the data
 
 
@@ -154,18 +155,40 @@ def neighbourhood(points: DataFrame) -> dict[str, object]:
     return out
 
 
+def _nearest_outside(pts: DataFrame, known: DataFrame, metric: str) -> DataFrame:
+    """(id, label, nid, nlabel, dist): a nearest row of another label, for every row that may be the nearest of its label to one.
+
+    ``known`` holds the first rows (id, nid, dist) by distance of every id. A row whose known ones all share its label searches
+    only if the farthest of them is not beyond the shortest known way out of its label.
+    """
+    names = pts.select("id", "label")
+    ways = known.join(names, "id").join(names.select(F.col("id").alias("nid"), F.col("label").alias("nlabel")), "nid")
+    out = F.when(F.col("label") != F.col("nlabel"), F.struct("dist", "nid", "nlabel"))
+    rows = pin(ways.groupBy("id", "label").agg(F.min(out).alias("e"), F.max("dist").alias("upto"), F.count(F.lit(1)).alias("n")))
+    best = rows.groupBy("label").agg(F.min("e.dist").alias("least"))
+    open_ = rows.filter(F.col("e").isNull() & (F.col("n") >= KNOWN)).join(best, "label")
+    open_ = open_.filter(F.col("least").isNull() | (F.col("upto") <= F.col("least"))).select("id")
+    asked = pin(pts.join(open_, "id"))
+    found = rows.filter(F.col("e").isNotNull()).select("id", "label", "e.nid", "e.nlabel", "e.dist")
+    if asked.isEmpty():
+        return found
+    return found.unionByName(nearest(asked, pts, 1, "other", metric).select("id", "label", "nid", "nlabel", "dist"))
+
+
 def spanning_tree(points: DataFrame, metric: str = "l2") -> DataFrame:
     """Minimum spanning tree edges (id, nid, dist) over distinct points, ties by ids.
 
     Boruvka: each round finds every component's shortest edge to another one and
-    merges along it; the number of components at least halves. ``points`` must
-    hold each x once.
+    merges along it; the number of components at least halves. The ``KNOWN`` nearest
+    rows of each row are found once, and only rows that these leave open search again.
+    ``points`` must hold each x once.
     """
     nodes = pin(points.select("id", "x", F.col("id").alias("comp")))
+    known = pin(nearest(nodes.select("id", F.lit("").alias("label"), "x"), nodes.select("id", F.lit("").alias("label"), "x"), KNOWN, "any", metric).select("id", "nid", "dist"))
     edges = None
     while True:
-        pts = nodes.select("id", F.col("comp").cast("string").alias("label"), "x")
-        near = nearest(pts, pts, 1, "other", metric)
+        pts = pin(nodes.select("id", F.col("comp").cast("string").alias("label"), "x"))
+        near = _nearest_outside(pts, known, metric)
         edge = F.struct("dist", F.least("id", "nid").alias("a"), F.greatest("id", "nid").alias("b"), F.col("nlabel").cast("bigint").alias("to"))
         best = pin(near.groupBy(F.col("label").cast("bigint").alias("comp")).agg(F.min(edge).alias("e")).select("comp", "e.*"))
         if best.isEmpty():

@@ -153,3 +153,20 @@ def test_nearest_of_distinct_labels(spark, d, grid, block_rows):
             first.setdefault(names[j], j)
         want[i] = list(first.values())[:3]
     assert got == want
+
+
+def test_spanning_tree_searches_again_for_few_rows(spark, monkeypatch):
+    """Rows whose known neighbours lead out of their component do not search in the next round."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(80, 3)) + 9 * (np.arange(80) % 3)[:, None]
+    asked, search = [], complexity.nearest
+
+    def counted(q, d, k, relation, metric):
+        asked.append((relation, q.count()))
+        return search(q, d, k, relation, metric)
+
+    monkeypatch.setattr(complexity, "nearest", counted)
+    pts = spark.createDataFrame([(i, [float(c) for c in p]) for i, p in enumerate(x)], "id bigint, x array<double>")
+    assert {(r["id"], r["nid"]) for r in complexity.spanning_tree(pts).collect()} == kruskal(list(range(80)), x)
+    again = [n for relation, n in asked if relation == "other"]
+    assert [r for r, _ in asked].count("any") == 1 and len(again) <= 3 and sum(again) <= 160
