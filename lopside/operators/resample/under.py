@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from multiprocessing.pool import ThreadPool
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +14,7 @@ from lopside.operators.folds import stratified_folds
 from lopside.operators.neighbours import nearest
 from lopside.operators.ranks import hash_take, smallest
 from lopside.operators.resample.common import by_label, class_sizes, minority, originals, others, resampler
-from lopside.session import pin
+from lopside.session import parallelism, pin
 
 
 @resampler("(no pre processing)")
@@ -183,21 +186,28 @@ def near_miss(points: DataFrame, seed: int = SEED, k: int = 3) -> DataFrame:
 
 @resampler("InstanceHardnessThreshold")
 def instance_hardness(points: DataFrame, seed: int = SEED, folds: int = 5, trees: int = 100, depth: int = 30) -> DataFrame:
-    """The easiest rows of each class: highest out-of-fold probability of their own class."""
+    """The easiest rows of each class: highest out-of-fold probability of their own class.
+
+    The forests of the folds are grown side by side: each is a long series of short jobs.
+    """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     sizes = class_sizes(points)
     codes = {c: float(i) for i, c in enumerate(sorted(sizes))}
     ready = points.withColumn("features", array_to_vector("x")).withColumn("y", by_label(codes))
-    ready = pin(stratified_folds(ready, "label", "id", folds, 1, seed).drop("repeat"))
-    scored = None
-    for f in range(folds):
-        model = RandomForestClassifier(labelCol="y", numTrees=trees, maxDepth=depth, seed=seed).fit(ready.filter(F.col("fold") != f))
+    # few bytes a row but a hundred trees: as one or two files of a window's output they would be grown by as many tasks
+    dealt = stratified_folds(ready, "label", "id", folds, 1, seed).drop("repeat")
+    ready = pin(dealt.repartition(parallelism(points.sparkSession), "id").sortWithinPartitions("id"))
+
+    def out_of_fold(f: int) -> DataFrame:
+        forest = RandomForestClassifier(labelCol="y", numTrees=trees, maxDepth=depth, seed=seed, cacheNodeIds=True)
+        model = forest.fit(ready.filter(F.col("fold") != f))
         own = F.element_at(vector_to_array("probability"), F.col("y").cast("int") + 1)
-        part = model.transform(ready.filter(F.col("fold") == f)).select("id", "label", (1 - own).alias("hardness"))
-        scored = part if scored is None else scored.unionByName(part)
-    scored = pin(scored)
+        return model.transform(ready.filter(F.col("fold") == f)).select("id", "label", (1 - own).alias("hardness"))
+
+    with ThreadPool(max(1, folds)) as pool:
+        scored = pin(reduce(DataFrame.unionByName, pool.map(out_of_fold, range(folds), chunksize=1)))
     quota = _quota(points.sparkSession, {c: min(sizes.values()) for c in others(sizes)})
     low = minority(sizes)
     kept = smallest(scored.filter(F.col("label") != low), ["label"], "hardness", "id", quota, sum(sizes.values()))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lopside.operators.resample import RESAMPLERS
 from lopside.operators.resample.common import class_sizes, multiply
+from lopside.operators.resample import under
 from lopside.operators.resample.under import tomek_links
 
 UNDER = ["RandomUnderSampler", "EditedNearestNeighbours", "RepeatedEditedNearestNeighbours", "AllKNN", "NeighbourhoodCleaningRule",
@@ -86,3 +87,12 @@ def test_copies_of_one_row_are_spread(spark):
     out = multiply(df, "n", "j", 250_002)
     assert out.rdd.getNumPartitions() > 1
     assert out.groupBy("id").agg(F.count("*").alias("n"), F.max("j").alias("m")).orderBy("id").collect() == [(1, 250_001, 250_000), (3, 1, 0)]
+
+
+def test_hardness_forests_grow_in_several_tasks(points, monkeypatch):
+    from pyspark.ml.classification import RandomForestClassifier
+
+    parts, fit = [], RandomForestClassifier.fit
+    monkeypatch.setattr(RandomForestClassifier, "fit", lambda self, df: parts.append(df.rdd.getNumPartitions()) or fit(self, df))
+    RESAMPLERS["InstanceHardnessThreshold"](points, trees=3, depth=4)
+    assert len(parts) == 5 and min(parts) > 1
