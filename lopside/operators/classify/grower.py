@@ -2,7 +2,8 @@
 
 A level is two aggregations over one written table, each for all open nodes of all trees: the range of every
 feature in a node, from which the node's reducer draws its candidate cuts, and the class counts left of every
-candidate, from which it picks the best. Counts are whole numbers and every draw is a hash of (seed, tree, path
+candidate, from which it picks the best. Once a node is small its rows go to one task, which grows the subtree under it by the
+same steps, so the table is not routed through the deep levels again. Counts are whole numbers and every draw is a hash of (seed, tree, path
 to the node, feature), so a forest does not depend on partitioning. The driver holds the trees, never rows.
 """
 
@@ -18,12 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lopside.session import pin
+from lopside.session import parallelism, pin
 
 ROWS = 4096
 U64 = np.uint64
 #: Numbers that one task holds at most for the open nodes of one pass.
 HELD = 1 << 23
+#: Rows (as counted by a tree) up to which the subtree of a node is grown in one task, and bytes of rows such a task is dealt.
+SMALL = 4096
+DEALT = 16 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -112,6 +116,26 @@ class Forest:
         self.tree = np.concatenate([self.tree, self.tree[twice]])
         return np.arange(at, at + 2 * n)
 
+    def graft(self, nodes: np.ndarray, under: list[np.ndarray]) -> None:
+        """Put a grown subtree (``_subtrees``) under each of ``nodes``; its first row is the node itself."""
+        if not under:
+            return
+        sizes = np.array([len(u) for u in under])
+        shift = len(self.feature) + np.cumsum(sizes - 1) - sizes + 1  # where the second row of each goes
+        made = np.concatenate(under)
+        top = np.cumsum(sizes) - sizes
+        offset = np.repeat(shift - 1, sizes)
+        sides = {side: np.where(made[side] >= 0, made[side] + offset, -1).astype(np.int32) for side in ("left", "right")}
+        rest = np.delete(np.arange(len(made)), top)
+        self.tree = np.concatenate([self.tree, np.repeat(self.tree[nodes], sizes)[rest]])
+        self.level = np.concatenate([self.level, made["level"][rest]])
+        self.counts = np.concatenate([self.counts, made["counts"][rest].astype(np.int64)])
+        self.key = np.concatenate([self.key, np.zeros(len(rest), dtype=U64)])  # nothing is drawn for them any more
+        for name, theirs in (("feature", made["feature"]), ("cut", made["cut"]), *sides.items()):
+            mine = getattr(self, name)
+            mine[nodes] = theirs[top]
+            setattr(self, name, np.concatenate([mine, theirs[rest]]))
+
     def route(self, x: np.ndarray, tree: int) -> np.ndarray:
         """The node of ``tree`` where every row of x ends."""
         return _routed(self, x, tree)
@@ -316,6 +340,16 @@ def impurity(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return total - (heavy * heavy).sum(-1) / np.maximum(total, 1e-300)
 
 
+def _choice(feature: np.ndarray, left: np.ndarray, counts: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per node the candidate that leaves the least impurity, the first on a tie, and whether there is one."""
+    right = counts[:, None, :] - left
+    weights = weights[:, None, :]
+    cost = impurity(left, weights) + impurity(right, weights)
+    cost[(feature < 0) | (left.sum(-1) == 0) | (right.sum(-1) == 0)] = np.inf
+    pick = cost.argmin(axis=1)
+    return pick, np.isfinite(cost[np.arange(len(pick)), pick])
+
+
 def _best(shared, classes: int):
     """The candidate of every node that leaves the least impurity, the first on a tie, and its left class counts."""
 
@@ -328,18 +362,114 @@ def _best(shared, classes: int):
         first = _heads(slot)
         slot = slot[first]
         left = np.add.reduceat(left, first, axis=0).reshape(len(slot), -1, classes)
-        right = held.counts[slot][:, None, :] - left
-        weights = held.weights[slot][:, None, :]
-        cost = impurity(left, weights) + impurity(right, weights)
-        cost[(held.feature[slot] < 0) | (left.sum(-1) == 0) | (right.sum(-1) == 0)] = np.inf
-        pick = cost.argmin(axis=1)
+        pick, ok = _choice(held.feature[slot], left, held.counts[slot], held.weights[slot])
         at = np.arange(len(slot))
-        ok = np.isfinite(cost[at, pick])
         yield pa.RecordBatch.from_arrays([pa.array(slot[ok]), pa.array(_blobs(pick[ok][:, None].astype(np.int64)), pa.binary()), pa.array(_blobs(left[at, pick][ok]), pa.binary())], schema=_PARTIAL)
 
     return run
 
 
+# ---- subtrees of small nodes ------------------------------------------------------------
+
+_ROWS = pa.schema([("slot", pa.int64()), ("often", pa.int64()), ("y", pa.int32()), ("x", pa.binary())])
+ROWS_OF = "slot long, often long, y int, x binary"
+
+
+def _dealt(shared, plan: Plan):
+    """The rows of every open node, with the times they count."""
+
+    def run(batches):
+        for _, x, y, rows, slot, often in _located(shared, plan, batches):
+            for at in range(0, len(rows), ROWS):
+                part = slice(at, at + ROWS)
+                columns = [pa.array(slot[part]), pa.array(often[part]), pa.array(y[rows[part]], pa.int32()), pa.array(_blobs(x[rows[part]]), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, schema=_ROWS)
+
+    return run
+
+
+def _grown_under(forest: Forest, plan: Plan, slot: np.ndarray, often: np.ndarray, y: np.ndarray, x: np.ndarray) -> None:
+    """Grow ``forest``, whose roots are the nodes the rows are in, to its leaves."""
+    k, at = forest.classes, slot
+    nodes = forest.splittable(np.arange(forest.trees), plan)
+    while len(nodes):
+        place = np.full(len(forest.feature), -1, dtype=np.int64)
+        place[nodes] = np.arange(len(nodes))
+        now = place[at]
+        order = np.argsort(now, kind="stable")
+        order = order[np.searchsorted(now[order], 0) :]  # rows of closed nodes are done with
+        now, often, y, x = now[order], often[order], y[order], x[order]
+        first = _heads(now)
+        feature, cut = drawn(forest.key[nodes], np.fmin.reduceat(x, first, axis=0), np.fmax.reduceat(x, first, axis=0), plan)
+        c = feature.shape[1]
+        below = (x[np.arange(len(x))[:, None], np.maximum(feature, 0)[now]] <= cut[now]) & (feature >= 0)[now]
+        cell = (now[:, None] * c + np.arange(c)) * k + y[:, None]
+        many = np.broadcast_to(often[:, None], cell.shape)
+        left = np.bincount(cell[below], weights=many[below], minlength=len(nodes) * c * k).astype(np.int64).reshape(len(nodes), c, k)
+        pick, ok = _choice(feature, left, forest.counts[nodes], forest.weights[forest.tree[nodes]])
+        each = np.arange(len(nodes))
+        made = forest.split(nodes[ok], feature[each, pick][ok], cut[each, pick][ok], left[each, pick][ok])
+        on = nodes[now]
+        down = np.where(below[np.arange(len(x)), pick[now]], forest.left[on], forest.right[on])
+        at = np.where(ok[now], down, on)
+        nodes = forest.splittable(made, plan)
+
+
+def _record(classes: int) -> np.dtype:
+    """A node of a subtree on its way to the driver; children by their place in the subtree."""
+    return np.dtype([("feature", "i4"), ("left", "i4"), ("right", "i4"), ("level", "i4"), ("cut", "f8"), ("counts", "i4", (classes,))])
+
+
+def _subtrees(shared, plan: Plan, classes: int, dims: int):
+    """Per open node the subtree under it: nodes in order of their making, as bytes."""
+
+    def run(batches):
+        slots, often, y, x = [], [], [], []
+        for batch in batches:
+            slots.append(batch.column("slot").to_numpy())
+            often.append(batch.column("often").to_numpy())
+            y.append(batch.column("y").to_numpy())
+            x += batch.column("x").to_pylist()
+        if not x:
+            return
+        held = shared.value
+        found, slot = np.unique(np.concatenate(slots), return_inverse=True)
+        n = len(found)
+        none = np.full(n, -1, dtype=np.int32)
+        part = Forest(classes, none, np.zeros(n), none.copy(), none.copy(), held.counts[found], held.key[found], held.level[found],
+                      np.arange(n, dtype=np.int32), held.weights[found])
+        matrix = np.frombuffer(b"".join(x), np.float64).reshape(len(x), -1)
+        _grown_under(part, plan, slot, np.concatenate(often), np.concatenate(y), matrix)
+        order = np.argsort(part.tree, kind="stable")
+        inside = np.empty(len(order), dtype=np.int64)  # a node's number in its own subtree
+        bounds = np.searchsorted(part.tree[order], np.arange(n + 1))
+        inside[order] = np.arange(len(order)) - bounds[part.tree[order]]
+        whole = np.empty(len(order), dtype=_record(classes))
+        whole["feature"], whole["cut"], whole["level"], whole["counts"] = part.feature[order], part.cut[order], part.level[order], part.counts[order]
+        for side, child in (("left", part.left[order]), ("right", part.right[order])):
+            whole[side] = np.where(child >= 0, inside[child], -1)
+        for i in range(n):
+            blob = whole[bounds[i] : bounds[i + 1]].tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(found[i : i + 1]), pa.array([blob], pa.binary()), pa.array([b""], pa.binary())], schema=_PARTIAL)
+
+    return run
+
+
+def _finished(table: DataFrame, forest: Forest, nodes: np.ndarray, plan: Plan, dims: int) -> None:
+    """Grow all that is under ``nodes`` (ordered by tree), each in one task."""
+    spark = table.sparkSession
+    slot = np.full(len(forest.feature), -1, dtype=np.int64)
+    slot[nodes] = np.arange(len(nodes))
+    bounds = np.searchsorted(forest.tree[nodes], np.arange(forest.trees + 1))
+    where = spark.sparkContext.broadcast(SimpleNamespace(forest=_slim(forest), slot=slot, bounds=bounds))
+    roots = SimpleNamespace(counts=forest.counts[nodes], key=forest.key[nodes], level=forest.level[nodes], weights=forest.weights[forest.tree[nodes]])
+    tasks = max(parallelism(spark), int(forest.counts[nodes].sum()) * (8 * dims + 32) // DEALT + 1)
+    rows = table.mapInArrow(_dealt(where, plan), ROWS_OF).repartition(tasks, "slot")
+    got = rows.mapInArrow(_subtrees(spark.sparkContext.broadcast(roots), plan, forest.classes, dims), PARTIAL).collect()
+    got.sort(key=lambda r: r.slot)
+    forest.graft(nodes[[r.slot for r in got]], [np.frombuffer(r.a, _record(forest.classes)) for r in got])
+
+
 # ---- growth ----------------------------------------------------------------------------
 
 def _gathered(table: DataFrame, run, merge) -> tuple[np.ndarray, list, list]:
@@ -388,10 +518,19 @@ def grow(rows: DataFrame, classes: int, plan: Plan) -> Forest:
     forest = Forest.of_roots(roots, plan)
     nodes = forest.splittable(np.arange(plan.trees), plan)
     held = max(2 * dims, min(plan.tried, dims) * plan.cuts * classes)
+    small = []
     while len(nodes):
+        few = forest.counts[nodes].sum(1) <= SMALL
+        small.append(nodes[few])
+        nodes = nodes[~few]
+        if not len(nodes):
+            break
         step = max(1, HELD // held)
         made = [_wave(table, forest, nodes[k : k + step], plan, dims) for k in range(0, len(nodes), step)]
         nodes = forest.splittable(np.concatenate(made), plan)
+    small = np.concatenate(small) if small else nodes
+    if len(small):
+        _finished(table, forest, small[np.argsort(forest.tree[small], kind="stable")], plan, dims)
     return forest
 
 

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from lopside.operators.classify import CLASSIFIERS, Effort
+from lopside.operators.classify import CLASSIFIERS, Effort, grower
 from lopside.operators.classify.grower import Forest, Plan, drawn, grow, impurity, leaf_scores, mixed, times
 from lopside.operators.kernel import fourier_map, kernel_width
 
@@ -178,3 +178,17 @@ def test_svm_smote_takes_support_rows_of_the_curved_border(spark):
     where = {i: np.hypot(*x) for i, _, x in rows}
     assert {m.src_id for m in made} < set(range(80))
     assert np.mean([where[m.src_id] for m in made]) > np.mean([where[i] for i in range(80)]) + 0.1
+
+
+@pytest.mark.parametrize("plan", [Plan(3, 2), Plan(2, 2, cuts=4, share=(0.7, 0.9, 2.0)), Plan(2, 2, depth=5, min_rows=6)])
+def test_subtrees_of_small_nodes_are_those_of_level_by_level_growth(spark, monkeypatch, plan):
+    _, df = rows_of(spark, 400)
+    waves, wave = [], grower._wave
+    monkeypatch.setattr(grower, "_wave", lambda *a: waves.append(1) or wave(*a))
+    found = {}
+    for small in (0, 60, 4096):
+        monkeypatch.setattr(grower, "SMALL", small)
+        waves.clear()
+        found[small] = nodes_of(grow(df, 3, plan)), len(waves)
+    assert found[0][0] == found[60][0] == found[4096][0]
+    assert found[0][1] >= found[60][1] > found[4096][1] == 0
