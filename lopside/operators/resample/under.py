@@ -59,16 +59,29 @@ def _overshot(now: dict[str, int], low: str, classes: list[str]) -> bool:
 
 @resampler("RepeatedEditedNearestNeighbours")
 def repeated_enn(points: DataFrame, seed: int = SEED, k: int = 3, rounds: int = 100) -> DataFrame:
-    """Edit until nothing changes, a class falls below the minority, or ``rounds`` is reached."""
+    """Edit until nothing changes, a class falls below the minority, or ``rounds`` is reached.
+
+    A row stays while its k nearest rows share its class, and dropping other rows does not change them. So after the
+    first round only rows that lost one of their neighbours are searched for again.
+    """
     sizes = class_sizes(points)
     classes, low = others(sizes), minority(sizes)
-    now = points
+    now = pin(points.select("id", "label", "x"))
+    asked = now.filter(F.col("label").isin(classes))
+    held = None  # (id, nid): the neighbours of the rows that stayed
     for _ in range(rounds):
-        now = pin(edited(now, classes, k))
+        near = pin(nearest(asked, now, k).select("id", "nid", (F.col("nlabel") != F.col("label")).alias("odd")))
+        odd = pin(near.filter("odd").select("id").distinct())
+        now = pin(now.join(odd, "id", "left_anti").select("id", "label", "x"))
         after = class_sizes(now)
         if after == sizes or _overshot(after, low, classes):
             break
         sizes = after
+        found = near.select("id", "nid")
+        held = found if held is None else held.join(asked.select("id"), "id", "left_anti").unionByName(found)
+        held = pin(held.join(odd, "id", "left_anti").select("id", "nid"))
+        lost = held.join(odd.select(F.col("id").alias("nid")), "nid", "left_semi").select("id").distinct()
+        asked = pin(now.filter(F.col("label").isin(classes)).join(lost, "id", "left_semi").select("id", "label", "x"))
     return originals(now)
 
 

@@ -97,3 +97,18 @@ def test_hardness_forests_grow_in_several_tasks(points, monkeypatch):
     monkeypatch.setattr(under, "ONE_TASK", 100)
     RESAMPLERS["InstanceHardnessThreshold"](points, trees=3, depth=4)
     assert len(parts) == 5 and min(parts) > 1
+
+
+def test_repeated_editing_asks_again_only_where_a_neighbour_went(points, monkeypatch):
+    want, sizes = points, class_sizes(points)
+    while True:
+        want = under.pin(under.edited(want, ["a", "b"]))
+        after = class_sizes(want)
+        if after == sizes or under._overshot(after, "c", ["a", "b"]):
+            break
+        sizes = after
+    asked, search = [], under.nearest
+    monkeypatch.setattr(under, "nearest", lambda q, d, k: asked.append(q.count()) or search(q, d, k))
+    got = RESAMPLERS["RepeatedEditedNearestNeighbours"](points)
+    assert sorted(r["id"] for r in got.collect()) == sorted(r["id"] for r in want.collect())
+    assert len(asked) > 1 and asked[1] < asked[0] / 2
