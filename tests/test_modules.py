@@ -144,3 +144,20 @@ def test_a_centre_for_every_row_wanted(spark):
     points = spark.createDataFrame(rows, "id long, label string, x array<double>")
     got = RESAMPLERS["ClusterCentroids"](points).groupBy("label").count().collect()
     assert {r["label"]: r["count"] for r in got} == {"low": 5, "high": 5}
+
+
+def test_folds_of_a_failed_combination_are_not_started(spark, monkeypatch):
+    rows = [(i, "ab"[i % 3 == 0], [float(i % 7), float(i % 5)]) for i in range(60)]
+    points = spark.createDataFrame(rows, "id bigint, label string, x array<double>")
+    tried, resample = [], ev.resample
+
+    def failing(train, name, seed):
+        tried.append(name)
+        if name == "SMOTE":
+            raise ValueError("no")
+        return resample(train, name, seed)
+
+    monkeypatch.setattr(ev, "resample", failing)
+    out = ev.evaluate(points, ["SMOTE", ev.NO_RESAMPLING], ["GaussianNB"], folds=4, repeats=1, parallelism=1)
+    assert {r["pre processing"]: r["status"] for r in out.runs.collect()} == {"SMOTE": "failed", ev.NO_RESAMPLING: "success"}
+    assert tried.count("SMOTE") == 1 and tried.count(ev.NO_RESAMPLING) == 4
