@@ -55,13 +55,13 @@ def shallow_boosting(train: DataFrame, classes: list[str], seed: int = SEED, eff
 
 @classifier("RandomForestClassifier")
 def forest(train: DataFrame, classes: list[str], seed: int = SEED, effort: Effort = Effort()) -> Predictor:
-    rf = RandomForestClassifier(labelCol="y", weightCol="weight", numTrees=effort.trees, maxDepth=effort.depth, featureSubsetStrategy="sqrt", seed=seed)
+    rf = RandomForestClassifier(labelCol="y", weightCol="weight", numTrees=effort.trees, maxDepth=effort.depth, featureSubsetStrategy="sqrt", seed=seed, cacheNodeIds=True)
     return fitted(rf, train, classes, True)
 
 
 @classifier("RandomForestBaseline")
 def forest_baseline(train: DataFrame, classes: list[str], seed: int = SEED, effort: Effort = Effort()) -> Predictor:
-    rf = RandomForestClassifier(labelCol="y", numTrees=effort.trees, maxDepth=effort.depth, featureSubsetStrategy="0.15", seed=seed)
+    rf = RandomForestClassifier(labelCol="y", numTrees=effort.trees, maxDepth=effort.depth, featureSubsetStrategy="0.15", seed=seed, cacheNodeIds=True)
     return fitted(rf, train, classes)
 
 
@@ -91,7 +91,7 @@ def extra_trees(train: DataFrame, classes: list[str], seed: int = SEED, effort:
 
 @classifier("BaggingClassifier")
 def bagging(train: DataFrame, classes: list[str], seed: int = SEED, effort: Effort = Effort()) -> Predictor:
-    rf = RandomForestClassifier(labelCol="y", numTrees=effort.members, maxDepth=effort.depth, featureSubsetStrategy="all", seed=seed)
+    rf = RandomForestClassifier(labelCol="y", numTrees=effort.members, maxDepth=effort.depth, featureSubsetStrategy="all", seed=seed, cacheNodeIds=True)
     return fitted(rf, train, classes)
 
 
