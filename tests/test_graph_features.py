@@ -41,6 +41,20 @@ def test_density_equals_brute_force(spark, step, share, block):
     assert density.density(df, share, block_rows=block) == pytest.approx(brute_density(rows, share), abs=1e-12)
 
 
+@pytest.mark.parametrize("step, drawn", [(None, 30), (3, 8), (None, 2)])
+def test_density_from_a_bracket_equals_brute_force(spark, step, drawn, monkeypatch):
+    """A bracket of no width at all, which most rows miss, changes nothing; with one, few rounds are left."""
+    rows, df = cloud(spark, step=step)
+    want = pytest.approx(brute_density(rows, 0.15), abs=1e-12)
+    rounds = []
+    narrowed = density._narrowed
+    monkeypatch.setattr(density, "_narrowed", lambda *a: rounds.append(1) or narrowed(*a))
+    assert density.density(df, drawn=drawn) == want
+    assert len(rounds) <= 6  # 16 bins of the whole range took eight rounds or more for distances alone
+    monkeypatch.setattr(density, "SPREADS", 0)
+    assert density.density(df, drawn=drawn) == want
+
+
 def test_density_of_a_known_table(spark):
     """The stored value comes from another order among equal distances."""
     assert density.density(load(spark, CARS).points()) == pytest.approx(0.88867, abs=0.001)
