@@ -108,3 +108,35 @@ def test_cover_of_simple_tables(spark):
     assert cover.cover_share(spark.createDataFrame(rows, schema)) == pytest.approx(0.2)
     line = [(i, "a" if i % 2 else "b", [float(i)]) for i in range(9)]
     assert cover.cover_share(spark.createDataFrame(line, schema)) == 1.0
+
+
+def test_concept_kernel_holds_no_table_of_all_pairs():
+    """One pair of blocks: sums equal brute force, with memory for tiles instead of a dozen tables of all pairs."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from lopside.operators.profile.concept import _kernel
+
+    def block(n, seed, labels):
+        rng = np.random.default_rng(seed)
+        x = rng.random((n, 6))
+        x[0], x[1] = 0.0, 1.0  # as far apart as can be
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, 6 * n + 1, 6), pa.int32()), pa.array(x.ravel()))
+        return pa.StructArray.from_arrays([pa.array(np.arange(n) * 2), pa.array(rng.integers(0, labels, n).astype(str)), lists, pa.array(rng.integers(1, 4, n))], names=["id", "label", "x", "w"])
+
+    for labels in (2, 40):
+        q, d = block(512, 1, labels), block(2048, 1, labels)
+        tracemalloc.start()
+        got = _kernel(q, d)
+        assert tracemalloc.get_traced_memory()[1] < 2 * 8 * 512 * 2048
+        tracemalloc.stop()
+        a, b = (np.array(s.field("x").to_pylist()) for s in (q, d))
+        far = np.round(np.sqrt(((a[:, None] - b[None]) ** 2).sum(2)), 9)
+        w = np.array(d.field("w"), dtype=float)[None] - (np.array(q.field("id"))[:, None] == np.array(d.field("id"))[None])
+        other = np.array(q.field("label"))[:, None] != np.array(d.field("label"))[None]
+        rest = np.sqrt(6) - far
+        near, ring = w * 2.0 ** (-2 * far / np.where(rest > 0, rest, 1e-9)), w * 2.0 ** -np.ceil(far)
+        want = [near.sum(1), (near * far).sum(1), (near * other).sum(1), ring.sum(1), (ring * other).sum(1)]
+        for g, e in zip(got, want):
+            assert g == pytest.approx(e, rel=1e-12, abs=1e-12)
