@@ -488,8 +488,14 @@ def _plan_regions(queries: DataFrame, layout: Layout, region: np.ndarray, relati
     return queries.mapInArrow(run, T.StructType([*queries.schema.fields, T.StructField("regions", T.ArrayType(T.IntegerType()))]))
 
 
-def _searched(asked: DataFrame, per_region: dict[int, int], layout: Layout, region: np.ndarray, most: int, k: int, relation: str) -> DataFrame:
-    """The k best candidates of every query (id, label, x, limit, cell, region) in each chunk of its region.
+def _region_rows(layout: Layout) -> int:
+    """How many rows a region may hold."""
+    rows, dims = int(layout.count.sum()), max(1, layout.pivots.shape[1])
+    return max(1, min(max(layout.block_rows, math.ceil(rows / REGIONS)), REGION_ROWS, REGION_BYTES // (8 * dims)))
+
+
+def _dealt(asked: DataFrame, per_region: dict[int, int], layout: Layout, region: np.ndarray, most: int, fields: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Queries (any columns, id and region) and data rows (``fields``) with the ``part`` in which they meet.
 
     A region of more than ``most`` rows is cut into chunks and its queries into splits, by hashes of the ids; a task
     holds one chunk and one split. Queries are copied to each chunk and rows to each split of their region.
@@ -505,15 +511,20 @@ def _searched(asked: DataFrame, per_region: dict[int, int], layout: Layout, regi
     sizes = F.broadcast(spark.createDataFrame(sizes or [(0, 0, 1, 1)], "region int, base int, chunks int, splits int"))  # a row per region
     names = F.broadcast(spark.createDataFrame([(c, int(r)) for c, r in enumerate(region)], "cell int, region int"))  # at most MAX_PIVOTS rows
     spot = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    kept = [c for c in asked.columns if c != "region"]
     q = asked.join(sizes, "region").select(
-        F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), spot("splits").alias("split"), "base", "splits", "id", "label", "x", "limit", "cell")
+        F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), spot("splits").alias("split"), "base", "splits", *kept)
     d = layout.placed.join(names, "cell").join(sizes, "region").select(
-        spot("chunks").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("split"), "base", "splits", "id", "label", "x", "cell")
+        spot("chunks").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("split"), "base", "splits", *fields)
     part = (F.col("base") + F.col("chunk") * F.col("splits") + F.col("split")).alias("part")
     tasks = max(1, min(2 * parts, 2 * parallelism(spark)))
-    q = q.select(part, "id", "label", "x", "limit", "cell").repartition(tasks, "part")
-    d = d.select(part, "id", "label", "x", "cell").repartition(tasks, "part")
-    shared = spark.sparkContext.broadcast(_bare(layout))
+    return q.select(part, *kept).repartition(tasks, "part"), d.select(part, *fields).repartition(tasks, "part")
+
+
+def _searched(asked: DataFrame, per_region: dict[int, int], layout: Layout, region: np.ndarray, most: int, k: int, relation: str) -> DataFrame:
+    """The k best candidates of every query (id, label, x, limit, cell, region) in each chunk of its region."""
+    q, d = _dealt(asked.select("id", "label", "x", "limit", "cell", "region"), per_region, layout, region, most, ["id", "label", "x", "cell"])
+    shared = asked.sparkSession.sparkContext.broadcast(_bare(layout))
 
     def run(q: pa.Table, d: pa.Table) -> pa.Table:
         return _search_chunk(q.combine_chunks(), d.combine_chunks(), shared.value, k, relation)
@@ -615,9 +626,7 @@ def nearest(
     if layout.cells == 1:
         return _merge(_top_k(_pairs(q.withColumn("cell", F.lit(0)), fields, layout), k, relation, metric), k, relation)
     # the home region first; the others are ruled out by the distance found there
-    rows = int(layout.count.sum())
-    dims = max(1, layout.pivots.shape[1])
-    most = max(1, min(max(layout.block_rows, math.ceil(rows / REGIONS)), REGION_ROWS, REGION_BYTES // (8 * dims)))
+    most = _region_rows(layout)
     region = _regions(layout, most)
     homed = pin(_plan_home(q, layout, k, relation))
     per_cell = {r["cell"]: r["n"] for r in homed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -99,6 +99,22 @@ def test_cover_equals_brute_force(spark, step, block):
     assert cover.cover_share(df) == pytest.approx(1 - len(want) / 150)
 
 
+def test_a_ball_is_sent_once_to_a_region(spark, monkeypatch):
+    """As many copies as regions at most, where there were as many as cells; the ids are those of brute force."""
+    rng = np.random.default_rng(3)
+    x, r = rng.random((900, 3)), np.where(rng.random(900) < 0.1, 0.4, 0.02) * rng.random(900)
+    balls = [(i, x[i].tolist(), round(float(r[i]), 9)) for i in range(900)] + [(900 + i, x[i].tolist(), round(float(r[i]), 9)) for i in range(50)]
+    sent, dealt = [], cover._dealt
+    monkeypatch.setattr(cover, "_dealt", lambda asked, visits, layout, region, *a: sent.append((sum(visits.values()), int(region.max()) + 1, layout.cells)) or dealt(asked, visits, layout, region, *a))
+    got = {row.id for row in cover.absorbed(spark.createDataFrame(balls, "id long, x array<double>, r double"), block_rows=60).collect()}
+    ids, xs, rs = (np.array([b[i] for b in balls]) for i in range(3))
+    far = np.round(np.abs(xs[:, None] - xs[None]).sum(2), 9)
+    larger = (rs[None] > rs[:, None]) | ((rs[None] == rs[:, None]) & (ids[None] < ids[:, None]))
+    assert got == set(ids[(larger & (far + rs[:, None] <= rs[None] + cover.TOUCH)).any(1)].tolist())
+    copies, regions, cells = sent[0]
+    assert copies <= regions * len(balls) and regions < cells
+
+
 def test_cover_of_simple_tables(spark):
     schema = "id long, label string, x array<double>"
     assert cover.cover_share(spark.createDataFrame([(1, "a", [1.0]), (2, "a", [2.0])], schema)) is None
