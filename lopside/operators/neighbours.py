@@ -678,51 +678,79 @@ def count_within(queries: DataFrame, data: DataFrame, metric: str = "l2", block_
         return [(near < radius[:, None]) @ weight]
 
     q = queries.select("id", "x", "radius")
-    fields = ["id", "x", "radius"]
     if layout.cells == 1:
-        visits, inside = q.withColumn("cell", F.lit(0)), None
-    else:
-        totals = np.zeros(layout.cells)
-        by_cell = layout.blocks.select("cell", F.expr("aggregate(rows, 0L, (a, r) -> a + r.w)").alias("w"))
-        for r in by_cell.groupBy("cell").agg(F.sum("w").alias("w")).collect():  # one row per cell
-            totals[r["cell"]] = r["w"]
-        planned = pin(_plan_radius(q, layout, totals))
-        visits = planned.filter(F.col("cell") >= 0).drop("w")
-        inside = planned.filter(F.col("cell") < 0).select("id", F.col("w").alias("n"))
-    found = _sum_pairs(_pairs(visits, fields, layout), kernel, ["n"])
-    if inside is not None:
-        found = found.unionByName(inside).groupBy("id").agg(F.sum("n").alias("n"))
-    return found.select("id", F.col("n").cast("bigint").alias("n"))
-
-
-def _plan_radius(queries: DataFrame, layout: Layout, totals: np.ndarray) -> DataFrame:
-    """Per query: the cells its radius cuts, and (cell -1) the weight of those inside it."""
-    shared = queries.sparkSession.sparkContext.broadcast((_bare(layout), totals))
+        found = _sum_pairs(_pairs(q.withColumn("cell", F.lit(0)), ["id", "x", "radius"], layout), kernel, ["n"])
+        return found.select("id", F.col("n").cast("bigint").alias("n"))
+    totals = np.zeros(layout.cells)
+    for r in layout.placed.groupBy("cell").agg(F.sum("w").alias("w")).collect():  # one row per cell
+        totals[r["cell"]] = r["w"]
+    most = _region_rows(layout)
+    region = _regions(layout, most)
+    planned = pin(_plan_radius(q, layout, totals, region))
+    found = planned.select("id", F.col("w").alias("n"))
+    asked = planned.select("id", "x", "radius", F.explode("regions").alias("region"))
+    visits = {r["region"]: r["n"] for r in asked.groupBy("region").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per region
+    if visits:
+        qs, ds = _dealt(asked, visits, layout, region, most, ["id", "x", "w", "cell"])
+        shared = queries.sparkSession.sparkContext.broadcast(_bare(layout))
+
+        def run(q: pa.Table, d: pa.Table) -> pa.Table:
+            return _count_chunk(q.combine_chunks(), d.combine_chunks(), shared.value)
+
+        found = found.unionByName(qs.groupBy("part").cogroup(ds.groupBy("part")).applyInArrow(run, "id bigint, n double"))
+    return found.groupBy("id").agg(F.sum("n").cast("bigint").alias("n"))
+
+
+def _inside_and_cut(d: np.ndarray, radius: np.ndarray, reach: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per (query, cell), from the distances to the pivots: whether the cell lies inside the radius, and whether that cuts it."""
+    inside = d + reach[None, :] < radius[:, None] - 1e-8
+    return inside, ~inside & (d - reach[None, :] <= radius[:, None] + 1e-8) & (count > 0)[None, :]
+
+
+def _plan_radius(queries: DataFrame, layout: Layout, totals: np.ndarray, region: np.ndarray) -> DataFrame:
+    """Per query the weight ``w`` of the cells inside its radius and the ``regions`` with a cell that it cuts."""
+    shared = queries.sparkSession.sparkContext.broadcast((_bare(layout), totals, region))
 
     def run(batches):
-        lay, weight = shared.value
+        lay, weight, region = shared.value
+        order = np.argsort(region, kind="stable")
+        start = np.searchsorted(region[order], np.arange(region.max() + 1))
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = _matrix(batch.column("x"))
             radius = batch.column("radius").to_numpy(zero_copy_only=False)
+            w, found = [], []
             for lo in range(0, len(x), QUERY_BLOCK):
                 part = slice(lo, lo + QUERY_BLOCK)
-                d = distances(x[part], lay.pivots, lay.metric)
-                r = radius[part][:, None]
-                inside = d + lay.radius[None, :] < r - 1e-8
-                cut = ~inside & (d - lay.radius[None, :] <= r + 1e-8) & (lay.count > 0)[None, :]
-                row, cell = np.nonzero(cut)
-                every = np.arange(len(d))
-                pick = np.concatenate([row, every])
-                got = batch.take(pa.array(pick + lo))
-                where = np.concatenate([cell, np.full(len(d), -1)]).astype(np.int32)
-                w = np.concatenate([np.zeros(len(row)), inside @ weight])
-                yield pa.RecordBatch.from_arrays(
-                    [*got.columns, pa.array(where), pa.array(w)], names=[*got.schema.names, "cell", "w"]
-                )
+                inside, cut = _inside_and_cut(distances(x[part], lay.pivots, lay.metric), radius[part], lay.radius, lay.count)
+                w.append(inside @ weight)
+                found += [np.nonzero(t)[0].tolist() for t in np.logical_or.reduceat(cut[:, order], start, axis=1)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(np.concatenate(w)), pa.array(found, pa.list_(pa.int32()))], names=[*batch.schema.names, "w", "regions"])
 
-    return queries.mapInArrow(run, "id bigint, x array<double>, radius double, cell int, w double")
+    return queries.mapInArrow(run, "id bigint, x array<double>, radius double, w double, regions array<int>")
+
+
+def _count_chunk(q: pa.Table, d: pa.Table, lay) -> pa.Table:
+    """Per row of ``q`` the weight of the rows of ``d`` nearer than its radius, in cells that the radius cuts."""
+    ids, n = _column(q, "id"), np.zeros(len(q))
+    if len(q) and len(d):
+        d = d.sort_by([("cell", "ascending")])
+        qx, dx = _matrix(_column(q, "x")), _matrix(_column(d, "x"))
+        radius = _column(q, "radius").to_numpy(zero_copy_only=False)
+        w = _column(d, "w").to_numpy(zero_copy_only=False).astype(float)
+        cells, start = np.unique(_column(d, "cell").to_numpy(zero_copy_only=False), return_index=True)
+        end = np.append(start[1:], len(d))
+        for lo in range(0, len(q), QUERY_BLOCK):
+            part = np.arange(lo, min(len(q), lo + QUERY_BLOCK))
+            _, cut = _inside_and_cut(distances(qx[part], lay.pivots[cells], lay.metric), radius[part], lay.radius[cells], lay.count[cells])
+            for c in np.nonzero(cut.any(axis=0))[0]:
+                ask = part[cut[:, c]]
+                for at in range(start[c], end[c], TILE_COLUMNS):
+                    some = slice(at, min(end[c], at + TILE_COLUMNS))
+                    n[ask] += (np.round(distances(qx[ask], dx[some], lay.metric), DIGITS) < radius[ask, None]) @ w[some]
+    return pa.table({"id": ids, "n": pa.array(n)})
 
 
 def sum_over_all(points: DataFrame, kernel, names: list[str], block_rows: int = DATA_BLOCK,

@@ -59,6 +59,21 @@ def test_count_within(spark, block_rows):
     assert got == {r[0]: int(n) for r, n in zip(rows, want)}
 
 
+def test_counted_rows_are_sent_once_to_a_region(spark, monkeypatch):
+    """As many copies of a query as regions at most, where there were as many as cells that its radius cuts."""
+    rows, df = table(spark, n=1500, grid=False, copies=5)
+    sent, dealt = [], nb._dealt
+    monkeypatch.setattr(nb, "_dealt", lambda asked, visits, layout, region, *a: sent.append((sum(visits.values()), int(region.max()) + 1, layout.cells)) or dealt(asked, visits, layout, region, *a))
+    x = np.array([r[2] for r in rows])
+    radius = np.array([None if r[0] % 10 == 0 else (r[0] % 13) / 4 for r in rows], dtype=float)  # without a radius nothing is counted
+    want = (np.round(nb.distances(x, x, "l1"), 9) < radius[:, None]).sum(1)
+    asked = df.withColumn("radius", F.when(F.col("id") % 10 != 0, (F.col("id") % 13) / 4))
+    got = {r["id"]: r["n"] for r in nb.count_within(asked, df, "l1", 40).collect()}
+    assert got == {r[0]: int(n) for r, n in zip(rows, want)}
+    copies, regions, cells = sent[0]
+    assert copies <= regions * len(rows) and regions < cells
+
+
 @pytest.mark.parametrize("block_rows", [2048, 50])
 def test_pair_sums(spark, block_rows):
     rows, df = table(spark, n=300, copies=90)
