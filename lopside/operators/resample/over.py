@@ -54,10 +54,12 @@ def random_over(points: DataFrame, seed: int = SEED) -> DataFrame:
     return originals(points).unionByName(new)
 
 
-def _with_neighbours(seeds: DataFrame, data: DataFrame, k: int) -> DataFrame:
-    """(id, label, x, nrank, nid, nx): seeds joined to their same-class neighbours."""
+def _with_neighbours(seeds: DataFrame, data: DataFrame, k: int, few: bool = True) -> DataFrame:
+    """(id, label, x, nrank, nid, nx): seeds joined to their same-class neighbours, through the driver only if ``few``."""
     near = nearest(seeds, data, k, relation="same").select("id", "nid", F.col("rank").alias("nrank"))
     to = data.select(F.col("id").alias("nid"), F.col("x").alias("nx"))
+    if not few:
+        near, to = near.hint("merge"), to.hint("merge")
     return seeds.select("id", "label", "x").join(near, "id").join(to, "nid")
 
 
@@ -70,10 +72,12 @@ def _interpolated(spark, seeds: DataFrame, counts: dict[str, int], wanted: dict[
     """
     ranked = hash_rank(seeds, ["label"], "id", seed, rows=sum(counts.values()))
     extra = [c for c in seeds.columns if c not in ("id", "label", "x")]
-    sides = _with_neighbours(seeds.select("id", "label", "x"), data, max(ks.values()))
-    sides = sides.join(ranked.select("id", "rank", *extra), "id")
-    if fits_broadcast(sum(counts.values()) * max(ks.values()), _dims(data), 2):
-        sides = F.broadcast(sides)
+    few = fits_broadcast(sum(counts.values()) * max(ks.values()), _dims(data), 2)
+    sides = _with_neighbours(seeds.select("id", "label", "x"), data, max(ks.values()), few)
+    ranked = ranked.select("id", "rank", *extra)
+    sides = sides.join(ranked if few else ranked.hint("merge"), "id")
+    # beyond that size never through the driver, also where Spark finds it small after compression
+    sides = F.broadcast(sides) if few else sides.hint("merge")
     u = uniform(seed, F.col("label"), F.col("j"), F.lit("gap"))
     new = draws(spark, wanted).select(
         "no", "label", "j",

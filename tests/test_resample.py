@@ -112,3 +112,13 @@ def test_repeated_editing_asks_again_only_where_a_neighbour_went(points, monkeyp
     got = RESAMPLERS["RepeatedEditedNearestNeighbours"](points)
     assert sorted(r["id"] for r in got.collect()) == sorted(r["id"] for r in want.collect())
     assert len(asked) > 1 and asked[1] < asked[0] / 2
+
+
+def test_smote_beyond_a_few_megabytes_is_not_broadcast(spark):
+    """11,000 seeds of five neighbours, 8 MB: rows meet by sorting, the driver sees none of them."""
+    n = F.col("id")
+    df = spark.range(25_000).select("id", F.when(n < 11_000, "few").otherwise("many").alias("label"), F.array(*[((n * p) % 9973).cast("double") for p in (7, 31, 57, 101, 211, 509)]).alias("x"))
+    out = RESAMPLERS["SMOTE"](df)
+    made = out._jdf.queryExecution().optimizedPlan().toString()
+    assert made.count("strategy=merge") >= 4  # neighbours, their rows, ranks, draws
+    assert {r["label"]: r["n"] for r in out.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()} == {"few": 14_000, "many": 14_000}
