@@ -21,7 +21,7 @@ SLOT_BLOCK = 1 << 10
 #: A shingle is cold if its slot counts no more than this above four times the mean: no more texts can hold it.
 COLD = 1000
 #: Shingles that two similar sets share among their rarest, and members up to which a shingle is taken pair by pair.
-SHARED, FEW = 3, 4
+SHARED, FEW = 3, 64
 GROUP = 64
 BLOCK = 256
 #: Shingles that one side of a block is meant to hold at most.
@@ -169,15 +169,40 @@ def crossed(pairs: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
     return pin(both.filter(fits & F.arrays_overlap("center_low", "doc_low") & F.arrays_overlap("center_high", "doc_high")).select("center", "doc"))
 
 
-def counted(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (center, doc) of different labels that share enough keys; ``members`` (key, doc, n_shingles, label) of FEW a key."""
-    rows = members.groupBy("key").agg(F.collect_list(F.struct("doc", "n_shingles", "label")).alias("rows"))
+def _met(percent: int):
+    """Of rows sorted by key, the pairs of one key whose labels differ and whose sizes fit, and the larger size."""
+    schema = pa.schema([("center", pa.int64()), ("doc", pa.int64()), ("most", pa.int64())])
+
+    def paired(rows: pa.RecordBatch, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
+        a, b = _pairs(first, last)
+        doc, n, label = (rows.column(c).to_numpy() for c in ("doc", "n_shingles", "label"))
+        least, most = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+        ok = (doc[a] != doc[b]) & (label[a] != label[b]) & (100 * least >= percent * most)
+        a, b = a[ok], b[ok]
+        return tx.batch_of(schema, center=np.minimum(doc[a], doc[b]), doc=np.maximum(doc[a], doc[b]), most=most[ok])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None
+        for batch in batches:
+            if left is not None and len(left):
+                batch = pa.Table.from_batches([left, batch]).combine_chunks().to_batches()[0]
+            if not len(batch):
+                continue
+            key = batch.column("key").to_numpy()
+            first = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
+            if len(first) > 1:
+                yield paired(batch, first[:-1], first[1:])
+            left = batch.slice(int(first[-1]))
+        if left is not None and len(left):
+            yield paired(left, np.array([0]), np.array([len(left)]))
+
+    return run
 
-    def partners(a: Column) -> Column:
-        fits = lambda b: (a["doc"] < b["doc"]) & (a["label"] != b["label"]) & (100 * F.least(a["n_shingles"], b["n_shingles"]) >= percent * F.greatest(a["n_shingles"], b["n_shingles"]))
-        return F.transform(F.filter("rows", fits), lambda b: F.struct(a["doc"].alias("center"), b["doc"].alias("doc"), F.greatest(a["n_shingles"], b["n_shingles"]).alias("most")))
 
-    pairs = rows.select(F.explode(F.flatten(F.transform("rows", partners))).alias("p")).select("p.*")
+def counted(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (center, doc) of different labels that share enough keys; ``members`` (key, doc, n_shingles, label) of FEW a key."""
+    rows = members.select("key", "doc", "n_shingles", "label").repartition("key").sortWithinPartitions("key")
+    pairs = rows.mapInArrow(tx.trimmed(_met(percent)), "center long, doc long, most long")
     return pairs.groupBy("center", "doc", "most").agg(F.count("*").alias("n")).filter(F.col("n") >= enough(F.col("most"), percent)).select("center", "doc")
 
 

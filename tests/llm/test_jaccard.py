@@ -52,6 +52,38 @@ def test_small_blocks_groups_and_no_broadcast(spark, monkeypatch):
     assert result(docs, size=2) == wanted(rows, 2)
 
 
+def test_a_shingle_of_some_documents_is_counted_and_not_taken_to_blocks(spark, monkeypatch):
+    """A run of words that twelve texts hold by chance sends none of them to the blocks; their links stay."""
+    rng, seen, crossing = random.Random(5), [], jaccard.crossing
+    runs = [[f"r{g}_{k}" for k in range(5)] for g in range(10)]
+    rows = [(k, " ".join([str(rng.randrange(10**9)) for _ in range(20)] + runs[k % 10] + runs[(k + 1) % 10])) for k in range(60)]
+    rows += [(100 + k, text + " one") for k, text in rows[:5]]
+
+    def watched(members, *rest):
+        seen.append(members.count())
+        return crossing(members, *rest)
+
+    monkeypatch.setattr(jaccard, "crossing", watched)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert result(docs) == wanted(rows, 5) and seen == [0]
+
+
+def test_pairs_of_a_key_are_counted_whole(spark):
+    """Pairs that share three keys, against brute force, with batches that end within a key."""
+    rng = random.Random(6)
+    docs = {d: (rng.randrange(20, 30), rng.randrange(30)) for d in range(40)}
+    rows = [(key, d, *docs[d]) for key in range(60) for d in rng.sample(sorted(docs), rng.randrange(1, 13))]
+    keys = {d: {r[0] for r in rows if r[1] == d} for d in docs}
+    fits = lambda a, b: docs[a][1] != docs[b][1] and 100 * min(docs[a][0], docs[b][0]) >= 80 * max(docs[a][0], docs[b][0])
+    want = {(a, b) for a in docs for b in docs if a < b and fits(a, b) and len(keys[a] & keys[b]) >= 3}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = jaccard.counted(spark.createDataFrame(rows, "key long, doc long, n_shingles long, label long"), 80).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 0
+
+
 def test_registered_query(spark):
     from lopside.llm.queries import QUERIES
 
