@@ -53,10 +53,10 @@ def test_small_blocks_groups_and_no_broadcast(spark, monkeypatch):
 
 
 def test_a_shingle_of_some_documents_is_counted_and_not_taken_to_blocks(spark, monkeypatch):
-    """A run of words that twelve texts hold by chance sends none of them to the blocks; their links stay."""
+    """Texts of three runs of words, each held by about twelve: none goes to the blocks, and their links stay."""
     rng, seen, crossing = random.Random(5), [], jaccard.crossing
-    runs = [[f"r{g}_{k}" for k in range(5)] for g in range(10)]
-    rows = [(k, " ".join([str(rng.randrange(10**9)) for _ in range(20)] + runs[k % 10] + runs[(k + 1) % 10])) for k in range(60)]
+    runs = [[f"r{g}_{k}" for k in range(20)] for g in range(15)]
+    rows = [(k, " ".join(sum(rng.sample(runs, 3), []))) for k in range(60)]
     rows += [(100 + k, text + " one") for k, text in rows[:5]]
 
     def watched(members, *rest):
