@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from lopside.operators import neighbours
 from lopside.operators.profile import cover, density
 from lopside.operators.profile.concept import scaled
 from lopside.sources.tables import load
@@ -55,6 +56,23 @@ def test_density_from_a_bracket_equals_brute_force(spark, step, drawn, monkeypat
     assert density.density(df, drawn=drawn) == want
 
 
+def test_density_writes_no_row_per_pair_of_blocks(spark, monkeypatch):
+    """What a round finds for a row comes from one task: the rows are dealt once, no partial results are joined or summed."""
+    rows, df = cloud(spark, step=3)
+    plans, narrowed = [], density._narrowed
+
+    def kept(*a):
+        out = narrowed(*a)
+        plans.append(out._jdf.queryExecution().optimizedPlan().toString())
+        return out
+
+    monkeypatch.setattr(density, "_narrowed", kept)
+    monkeypatch.setattr(neighbours, "GROUP_ROWS", 3)  # more groups than cores
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 10)
+    assert density.density(df, block_rows=50) == pytest.approx(brute_density(rows, 0.15), abs=1e-12)
+    assert plans and all("Join" not in p and "Aggregate" not in p and p.count("RepartitionByExpression") == 1 for p in plans)
+
+
 def test_density_of_a_known_table(spark):
     """The stored value comes from another order among equal distances."""
     assert density.density(load(spark, CARS).points()) == pytest.approx(0.88867, abs=0.001)
