@@ -1,6 +1,7 @@
 """Nearest neighbours, range counts and pair sums against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,6 +101,47 @@ def test_concept_measures(spark):
     assert found["impconceptvar"]["mean"] == pytest.approx((ring * (y[:, None] != y[None, :])).sum(0).mean())
 
 
+@pytest.mark.parametrize("group, classes", [(65_536, 3), (40, 3), (40, 30)])
+def test_concept_measures_of_pairs_seen_once(spark, monkeypatch, group, classes):
+    """All four measures, per row and in several groups, with copies, rows on a grid and a class without a name."""
+    monkeypatch.setattr(nb, "GROUP_ROWS", group)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.random((150, 3)), rng.integers(0, 3, (60, 3)) / 2, np.eye(3), np.zeros((1, 3)), 1e-7 * rng.random((20, 3))])
+    x = np.concatenate([x, x[:50]])
+    y = [None if i % 11 == 3 else f"c{i % classes}" for i in range(len(x) - 50)]
+    y += y[:50]
+    df = spark.createDataFrame([(i, c, v.tolist()) for i, (c, v) in enumerate(zip(y, x))], "id long, label string, x array<double>")
+    low = x.min(0)
+    x = (x - low) / (x.max(0) - low)
+    far = np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), 9)
+    rest = np.where(np.sqrt(3) - far > 0, np.sqrt(3) - far, 1e-9)
+    near, ring = 2.0 ** (-2 * far / rest), 2.0 ** -np.ceil(far)
+    odd = np.array([[a is None or b is None or a != b for b in y] for a in y])
+    for k in (near, ring):
+        np.fill_diagonal(k, 0)
+    want = np.stack([ring.sum(1), (near * odd).sum(1) / near.sum(1), (ring * odd).sum(1), (near * far).sum(1) / near.sum(1)], axis=1)
+    got = {r["id"]: [r[c] for c in concept.NAMES] for r in concept.concept_rows(df).collect()}
+    same = {i: min(j for j in range(len(x)) if y[j] == y[i] and (x[j] == x[i]).all()) for i in range(len(x))}
+    assert set(got) == set(same.values())
+    named = [i for i in range(len(x)) if y[i] is not None]  # copies without a class differ from each other, a row from itself does not
+    assert np.array([got[same[i]] for i in named]) == pytest.approx(want[named], rel=1e-9)
+
+
+def test_concept_kernel_looks_at_a_pair_once(monkeypatch):
+    rng = np.random.default_rng(6)
+    seen, gaps = [], concept._gaps
+    monkeypatch.setattr(concept, "_gaps", lambda a, b, *rest: seen.append(len(a) * len(b)) or gaps(a, b, *rest))
+    monkeypatch.setattr(concept, "COLUMNS", 64)
+    n = 640
+    rows = pa.StructArray.from_arrays(
+        [pa.array(range(n)), pa.array(["a", "b"] * (n // 2)), pa.array(rng.random((n, 3)).tolist()), pa.array([1] * n)], names=["id", "label", "x", "w"])
+    concept._kernel(rows, None)
+    assert sum(seen) <= n * (n + 2 * 64) / 2
+    seen.clear()
+    concept._kernel(rows.slice(0, 200), rows.slice(200))
+    assert sum(seen) == 200 * (n - 200)
+
+
 def kruskal(ids, x):
     dist = np.round(nb.distances(x, x, "l2"), 9)
     up = list(range(len(ids)))
