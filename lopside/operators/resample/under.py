@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lopside.functions.draws import SEED
 from lopside.functions.scalars import euclidean
+from lopside.operators.clusters import kmeans
 from lopside.operators.folds import stratified_folds
 from lopside.operators.neighbours import nearest
 from lopside.operators.ranks import hash_take, smallest
@@ -232,6 +233,14 @@ def instance_hardness(points: DataFrame, seed: int = SEED, folds: int = 5, trees
     return originals(points.join(keep, "id", "left_semi").select("id", "label", "x"))
 
 
+def _bisected(points: DataFrame, k: int, seed: int) -> DataFrame:
+    from pyspark.ml.clustering import BisectingKMeans
+    from pyspark.ml.functions import array_to_vector
+
+    ready = pin(points.withColumn("features", array_to_vector("x")))
+    return pin(BisectingKMeans(k=k, seed=seed, maxIter=300).fit(ready).transform(ready).select("id", "prediction", "x"))
+
+
 @resampler("ClusterCentroids")
 def cluster_centroids(points: DataFrame, seed: int = SEED, method: str = "kmeans") -> DataFrame:
     """Every class but the minority replaced by as many cluster centres as the minority has rows.
@@ -239,19 +248,15 @@ def cluster_centroids(points: DataFrame, seed: int = SEED, method: str = "kmeans
     ``method`` is "kmeans" or "bisecting" (hierarchical), the same at every size. A clustering may end with fewer
     clusters than asked for; the rows farthest from their centres then stand in for the missing ones.
     """
-    from pyspark.ml.clustering import BisectingKMeans, KMeans
-    from pyspark.ml.functions import array_to_vector
-
     sizes = class_sizes(points)
     low, k = minority(sizes), min(sizes.values())
     out, start = originals(points.filter(F.col("label") == low)), 0
     for c in others(sizes):
-        mine = pin(points.filter(F.col("label") == c).withColumn("features", array_to_vector("x")))
+        mine = pin(points.filter(F.col("label") == c))
         if sizes[c] == k:
             out = out.unionByName(originals(mine.select("id", "label", "x")))
             continue
-        maker = {"kmeans": KMeans, "bisecting": BisectingKMeans}[method](k=k, seed=seed, maxIter=300)
-        placed = pin(maker.fit(mine).transform(mine).select("id", "prediction", "x"))
+        placed = {"kmeans": kmeans, "bisecting": _bisected}[method](mine, k, seed)
         found = placed.select("prediction").distinct().count()
         # centres as per-feature means: one combined aggregation, no centre leaves the cluster
         cells = placed.select("prediction", F.posexplode("x").alias("pos", "v"))

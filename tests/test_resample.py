@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lopside.operators import clusters
 from lopside.operators.resample import RESAMPLERS
 from lopside.operators.resample.common import class_sizes, multiply
 from lopside.operators.resample import under
@@ -99,6 +100,43 @@ def test_hardness_forests_grow_in_several_tasks(points, monkeypatch):
     assert len(parts) == 5 and min(parts) > 1
 
 
+def test_clusters_are_lloyds_and_start_without_candidates(spark, monkeypatch):
+    """Every row ends at its nearest mean, as good as the best of plain Lloyd runs; the driver is sent centres, not several times as many."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(c, 0.5, (60, 4)) for c in rng.random((12, 4)) * 20])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>").repartition(4)
+    sent, placed = [], clusters._placed
+    monkeypatch.setattr(clusters, "_placed", lambda s, c, m: sent.append(len(c)) or placed(s, c, m))
+    monkeypatch.setattr(clusters, "CENTRE_TILE", 16)
+    got = np.array([r["prediction"] for r in sorted(clusters.kmeans(df, 60).collect(), key=lambda r: r["id"])])
+    assert max(sent) == 60 and len(sent) > clusters.START_ROUNDS
+    means = np.array([x[got == c].mean(0) if (got == c).any() else np.full(4, np.inf) for c in range(60)])
+    far = ((x[:, None] - means[None]) ** 2).sum(2)
+    assert far[np.arange(len(x)), got] == pytest.approx(far.min(1), abs=1e-9)
+    cost = far.min(1).sum()
+
+    def lloyd(seed):
+        c = x[np.random.default_rng(seed).choice(len(x), 60, replace=False)]
+        for _ in range(50):
+            at = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+            c = np.array([x[at == k].mean(0) if (at == k).any() else c[k] for k in range(60)])
+        return ((x[:, None] - c[None]) ** 2).sum(2).min(1).sum()
+
+    assert cost <= 1.05 * min(lloyd(s) for s in range(5))
+    assert len(set(r["prediction"] for r in clusters.kmeans(df.filter("id < 3").unionAll(df.filter("id < 3")), 5).collect())) == 3
+
+
+def test_centroids_call_no_local_reduction(points, monkeypatch):
+    from pyspark.ml.clustering import KMeans
+
+    def never(*a):
+        raise AssertionError("k-means|| of Spark reduces four times as many candidates as centres on the driver")
+
+    monkeypatch.setattr(KMeans, "fit", never)
+    sizes = class_sizes(RESAMPLERS["ClusterCentroids"](points))
+    assert set(sizes.values()) == {min(class_sizes(points).values())}
+
+
 def test_repeated_editing_asks_again_only_where_a_neighbour_went(points, monkeypatch):
     want, sizes = points, class_sizes(points)
     while True:
