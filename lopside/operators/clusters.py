@@ -68,6 +68,8 @@ def _replaced(x: np.ndarray, prediction: np.ndarray, near: np.ndarray, centres:
         there = _apart(x[rows], centres[pick])
         less = there < far[rows]
         out[rows[less]], far[rows[less]] = pick[less], there[less]
+    lost = out < 0  # a feature that is no number: near to nothing, never drawn
+    out[lost], far[lost] = 0, 0.0
     return out, far
 
 
@@ -78,7 +80,10 @@ def _placed(state: DataFrame, centres: np.ndarray, moved: np.ndarray) -> DataFra
     def run(batches):
         centres, moved = shared.value
         for batch in batches:
-            x = _matrix(batch.column("x"))
+            lists = batch.column("x")
+            if lists.null_count or lists.flatten().null_count:
+                raise ValueError("k-means takes no missing features")
+            x = _matrix(lists)
             if not len(x):
                 continue
             was, near = batch.column("prediction").to_numpy(), batch.column("near").to_numpy()

@@ -135,10 +135,10 @@ def test_concept_kernel_looks_at_a_pair_once(monkeypatch):
     n = 640
     rows = pa.StructArray.from_arrays(
         [pa.array(range(n)), pa.array(["a", "b"] * (n // 2)), pa.array(rng.random((n, 3)).tolist()), pa.array([1] * n)], names=["id", "label", "x", "w"])
-    concept._kernel(rows, None)
+    concept._both(rows, None)
     assert sum(seen) <= n * (n + 2 * 64) / 2
     seen.clear()
-    concept._kernel(rows.slice(0, 200), rows.slice(200))
+    concept._both(rows.slice(0, 200), rows.slice(200))
     assert sum(seen) == 200 * (n - 200)
 
 
